@@ -1,0 +1,41 @@
+"""Scoring with a user's ONNX file, one session per Python worker."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from sieveguard import schema as S
+from sieveguard.detectors.trees import matrix
+
+
+def score_onnx(df: DataFrame, path: str, output: int = 0, column: int = 0,
+               inputs: list[str] | None = None, name: str = "onnx_score") -> DataFrame:
+    """Adds one column of one model output; the model takes float32 rows.
+
+    The file is read once on the driver and sent with the job, so workers need no
+    shared model folder.
+    """
+    with open(path, "rb") as handle:
+        sent = df.sparkSession.sparkContext.broadcast(handle.read())
+
+    @F.pandas_udf("double")
+    def score(parts: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+        import onnxruntime
+        options = onnxruntime.SessionOptions()
+        options.intra_op_num_threads = 1
+        session = onnxruntime.InferenceSession(sent.value, options)
+        feed = session.get_inputs()[0].name
+        for part in parts:
+            if part.empty:
+                yield pd.Series([], dtype="float64")
+                continue
+            out = session.run(None, {feed: matrix(part).astype(np.float32)})[output]
+            out = np.asarray(out)
+            yield pd.Series(out.reshape(len(part), -1)[:, column].astype(np.float64))
+
+    return df.withColumn(name, score(F.struct(*(inputs or S.FEATURES))))
