@@ -345,12 +345,12 @@ def _(spark, sf):
 
 
 @query("escalation_topk", sql(SQL_SCORED + """,
-o as (select *, row_number() over (order by round(uncertainty, 9) desc, seq) as place,
-    count(*) over () as n from g)""", """
+o as (select *, row_number() over (order by uncertainty desc, seq) as place,
+    count(*) over () as whole from g)""", """
 select rate, count(*) as escalated, cast(sum(seq) as bigint) as seqs,
   cast(sum(label) as bigint) as labels
 from o join (values (25e-3), (5e-2), (1e-1), (2e-1), (4e-1), (1e0)) v(rate)
-  on place <= round_even(rate * n, 0) group by rate"""))
+  on place <= round_even(rate * whole, 0) group by rate"""))
 def _(spark, sf):
     rows = scored(spark, sf)
     out = topk.escalation_topk(rows, unique="seq")

@@ -153,12 +153,12 @@ def _(spark, sf):
 @query("context_window", sql(SQL_READINGS + """,
 o as (select *, row_number() over (order by ts, seq) - 1 as pos from r),
 c as (select *, row_number() over (partition by anomaly_type order by ts, seq) - 1 as nth from o),
-a as (select anomaly_type as around, pos as at from c
+a as (select anomaly_type as around, pos as spot from c
   where (anomaly_type = 'SPIKE_TEMP' and nth = 10) or (anomaly_type = 'DRIFT' and nth = 20)
     or (anomaly_type = 'FLATLINE' and nth = 15))""", """
-select around, seq, temperature, cast(pos - at as int) as "offset" from o join a
-  on o.pos >= at - case around when 'SPIKE_TEMP' then 50 else 60 end
-    and o.pos < at + case around when 'SPIKE_TEMP' then 50 else 60 end"""))
+select around, seq, temperature, cast(pos - spot as int) as "offset" from o join a
+  on o.pos >= spot - case around when 'SPIKE_TEMP' then 50 else 60 end
+    and o.pos < spot + case around when 'SPIKE_TEMP' then 50 else 60 end"""))
 def _(spark, sf):
     rows = readings(spark, sf)
     parts = [W.context_window(rows, kind, nth, reach, reach, ORDER).select(
