@@ -40,7 +40,7 @@ def fit_platt(df: DataFrame, score: str, label: str = "label") -> Calibration:
     vectors = VectorAssembler(inputCols=["_s"], outputCol="_x").transform(weighted)
     fit = LogisticRegression(featuresCol="_x", labelCol="label", weightCol="_w",
                              standardization=False, regParam=1.0 / w["n"], maxIter=100,
-                             tol=1e-9).fit(vectors)
+                             tol=1e-8).fit(vectors)
     return Calibration(float(fit.coefficients[0]), float(fit.intercept))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sieveguard import schema as S
-from sieveguard.detectors.trees import NODE_SCHEMA, TreeSet, collect_trees, matrix
+from sieveguard.detectors.trees import TreeSet, collect_trees, matrix
 from sieveguard.functions.columns import clean, ensemble_mean
 from sieveguard.operators.aggregates import class_weights
 from sieveguard.scratch import scratch_path, written
@@ -53,7 +53,7 @@ def fit_fallback(df: DataFrame, trees: int = TREES, depth: int = DEPTH, step: fl
     weights = F.array(*[F.lit(float(x)) for x in model.treeWeights])
     node, leaf = F.col("nodeData"), F.col("nodeData.leftChild") < 0
     mine = node["id"]
-    saved = spark.read.parquet(f"{path}/data").select(
+    return spark.read.parquet(f"{path}/data").select(
         F.col("treeID").alias("tree"), mine.alias("node"),
         F.when(leaf, 0).otherwise(node["split"]["featureIndex"]).alias("feature"),
         F.when(leaf, 0.0).otherwise(
@@ -62,8 +62,6 @@ def fit_fallback(df: DataFrame, trees: int = TREES, depth: int = DEPTH, step: fl
         F.when(leaf, mine).otherwise(node["leftChild"]).alias("left"),
         F.when(leaf, mine).otherwise(node["rightChild"]).alias("right"),
         (node["prediction"] * F.element_at(weights, F.col("treeID") + 1)).alias("value"))
-    # At most trees * 2^(depth + 1) rows.
-    return spark.createDataFrame(saved.limit(trees << (depth + 1)).toPandas(), NODE_SCHEMA)
 
 
 def tree_scorer(nodes: DataFrame) -> BatchScorer:

@@ -13,9 +13,12 @@ from pyspark.sql import functions as F
 from sieveguard import schema as S
 from sieveguard.detectors.trees import NODE_SCHEMA, batches, collect_trees
 from sieveguard.functions.columns import clean_features
+from sieveguard.scratch import written
 
 
 HASH_SPAN = 1 << 31
+# Node tables up to this length (a thousand trees) are sent to tasks.
+MAX_NODES = 1_100_000
 
 
 def mean_path(n: int) -> float:
@@ -102,12 +105,11 @@ def fit_forest(df: DataFrame, trees: int = 100, samples: int = 512,
         ordered = rows.sort_values(["_draw", *features])
         return grow_tree(ordered[features].to_numpy(dtype=np.float64), int(key[0]), seed, height)
 
-    nodes = picked.groupBy("tree").applyInPandas(grow, NODE_SCHEMA)
-    # At most trees * (2 * samples - 1) rows: kept as a local table, so every later
-    # use sees the same trees.
-    local = nodes.toPandas()
-    nodes = df.sparkSession.createDataFrame(local, NODE_SCHEMA).withColumns(
-        {"samples": F.lit(size), "offset": F.lit(0.0)})
+    # A fixed partition number: the samples are small, growing trees is the work.
+    tasks = min(trees, 2 * df.sparkSession.sparkContext.defaultParallelism)
+    grown = picked.repartition(tasks, "tree").groupBy("tree").applyInPandas(grow, NODE_SCHEMA)
+    # Written once, so that every later use sees the same trees.
+    nodes = written(grown, "forest").withColumns({"samples": F.lit(size), "offset": F.lit(0.0)})
     raw = score_forest(base, nodes, "_raw")
     offset = raw.agg(F.percentile_approx("_raw", contamination, 10_000)).first()[0]
     return nodes.withColumn("offset", F.lit(float(offset)))
@@ -117,8 +119,8 @@ def score_forest(df: DataFrame, nodes: DataFrame, name: str = "if_score") -> Dat
     """Adds the decision score; lower means more anomalous."""
     first = nodes.select("samples", "offset").first()
     size, offset = int(first["samples"]), float(first["offset"])
-    n_trees = nodes.select("tree").distinct().count()
-    trees = collect_trees(nodes, n_trees * 2 * size)
+    trees = collect_trees(nodes, MAX_NODES)
+    n_trees = len(trees.trees)
     sent = df.sparkSession.sparkContext.broadcast(trees)
     scale = n_trees * mean_path(size)
 

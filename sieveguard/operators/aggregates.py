@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sieveguard import schema as S
 from sieveguard.operators.ordering import running_totals
@@ -141,7 +142,8 @@ def with_idle(status: DataFrame, run_id: str | None, system: str) -> DataFrame:
     if run_id is not None:
         return one
     row = {"system_name": system, "status": "idle", "total": 0, "anomalies": 0, "escalated": 0}
-    return status.sparkSession.createDataFrame([row], status.schema)
+    open_schema = T.StructType([T.StructField(f.name, f.dataType) for f in status.schema])
+    return status.sparkSession.createDataFrame([row], open_schema)
 
 
 # Span and bucket length in seconds of each series window.

@@ -95,7 +95,8 @@ def _search(df: DataFrame, order: list[str], wanted: dict[int, int], total: int,
         rows = ordered_sequence(df, order)
         hits = {r["pos"]: r for r in
                 rows.where(F.col("pos").isin(sorted(set(wanted.values())))).collect()}
-        return {i: hits[k].asDict() for i, k in wanted.items()}
+        names = [split_order(o)[0] for o in order]
+        return {i: {n: hits[k][n] for n in names} for i, k in wanted.items()}
 
     key = -number if down else number
     keyed = df.withColumn("_key", key)
