@@ -77,39 +77,41 @@ def order_cuts(df: DataFrame, order: Sequence[str], ranks: Sequence[int],
     names = [split_order(o)[0] for o in order]
     df = df.select(*names)
     total = df.count()
-    found: list[dict | None] = [None] * len(ranks)
     wanted = {i: k for i, k in enumerate(ranks) if 0 <= k < total}
+    found: dict[int, dict] = {}
     if wanted:
-        for i, cut in _search(df, list(order), wanted, total, slice_rows).items():
-            found[i] = cut
-    return found
+        found, small = _narrow(df, list(order), F.lit(True), wanted, total, slice_rows)
+        found.update(_pick(df, order, small))
+    return [found.get(i) for i in range(len(ranks))]
 
 
-def _search(df: DataFrame, order: list[str], wanted: dict[int, int], total: int,
-            slice_rows: int) -> dict[int, dict]:
+# Rows under a condition, and for each wanted cut its rank among them.
+Bracket = tuple[Column, dict[int, int]]
+
+
+def _narrow(df: DataFrame, order: list[str], test: Column, wanted: dict[int, int], total: int,
+            slice_rows: int) -> tuple[dict[int, dict], list[Bracket]]:
+    """Shrink the rows under ``test`` to brackets of at most ``slice_rows`` rows."""
     if total <= slice_rows:
-        return _pick(df, order, wanted)
+        return {}, [(test, wanted)]
     name, down = split_order(order[0])
+    rows = df.where(test)
     number = _numeric(df, name)
     if number is None:
-        rows = ordered_sequence(df, order)
-        hits = {r["pos"]: r for r in
-                rows.where(F.col("pos").isin(sorted(set(wanted.values())))).collect()}
-        names = [split_order(o)[0] for o in order]
-        return {i: {n: hits[k][n] for n in names} for i, k in wanted.items()}
+        hits = {r["pos"]: r.asDict() for r in ordered_sequence(
+            rows, order).where(F.col("pos").isin(sorted(set(wanted.values())))).collect()}
+        return {i: {n: hits[k][n] for n in df.columns} for i, k in wanted.items()}, []
 
     key = -number if down else number
-    keyed = df.withColumn("_key", key)
     margin = 2.0 / SKETCH_ACCURACY
     probs = sorted({min(1.0, max(0.0, k / total + d))
                     for k in wanted.values() for d in (-margin, margin)})
-    marks = keyed.agg(F.percentile_approx("_key", probs, SKETCH_ACCURACY).alias("q"),
-                      F.min("_key").alias("lo"), F.max("_key").alias("hi")).first()
+    marks = rows.agg(F.percentile_approx(key, probs, SKETCH_ACCURACY).alias("q"),
+                     F.min(key).alias("lo"), F.max(key).alias("hi")).first()
     edges = sorted({marks["lo"], marks["hi"], *marks["q"]})
-    counts = keyed.agg(
-        *[F.count_if(F.col("_key") < e).alias(f"b{j}") for j, e in enumerate(edges)],
-        *[F.count_if(F.col("_key") <= e).alias(f"u{j}") for j, e in enumerate(edges)],
-    ).first()
+    counts = rows.agg(*[f(t).alias(f"{n}{j}") for j, e in enumerate(edges)
+                        for n, f, t in (("b", F.count_if, key < e), ("u", F.count_if, key <= e))]
+                      ).first()
     below = [counts[f"b{j}"] for j in range(len(edges))]
     upto = [counts[f"u{j}"] for j in range(len(edges))]
 
@@ -118,40 +120,41 @@ def _search(df: DataFrame, order: list[str], wanted: dict[int, int], total: int,
     for i, k in wanted.items():
         j = max(j for j in range(len(edges)) if below[j] <= k)
         groups.setdefault((j, k < upto[j]), {})[i] = k
-    out: dict[int, dict] = {}
+    found: dict[int, dict] = {}
+    small: list[Bracket] = []
     for (j, on_edge), part in groups.items():
         if on_edge:
-            ties = keyed.where(F.col("_key") == F.lit(edges[j]))
+            ties = test & (key == F.lit(edges[j]))
             local = {i: k - below[j] for i, k in part.items()}
-            size = upto[j] - below[j]
             if len(order) == 1:
-                value = ties.select(name).first()[0]
-                out.update({i: {name: value} for i in local})
-            elif size <= slice_rows:
-                out.update(_pick(ties, order, local))
+                one = df.where(ties).first().asDict()
+                more, rest = {i: one for i in local}, []
             else:
-                value = ties.select(name).first()[0]
-                rest = _search(ties.select(*[split_order(o)[0] for o in order[1:]]),
-                               order[1:], local, size, slice_rows)
-                out.update({i: {name: value, **cut} for i, cut in rest.items()})
+                more, rest = _narrow(df, order[1:], ties, local, upto[j] - below[j], slice_rows)
         else:
-            inside = keyed.where((F.col("_key") > F.lit(edges[j]))
-                                 & (F.col("_key") < F.lit(edges[j + 1])))
+            inside = test & (key > F.lit(edges[j])) & (key < F.lit(edges[j + 1]))
             local = {i: k - upto[j] for i, k in part.items()}
-            out.update(_search(inside.drop("_key"), order, local,
-                               below[j + 1] - upto[j], slice_rows))
-    return out
-
-
-def _pick(df: DataFrame, order: list[str], wanted: dict[int, int]) -> dict[int, dict]:
-    """Single rows by rank out of a slice whose size was checked."""
-    names = [split_order(o)[0] for o in order]
-    ranked = df.select(*names, F.row_number().over(
-        Window.orderBy(*sort_columns(order))).alias("_rank"))
-    rows = ranked.where(
-        F.col("_rank").isin(sorted({k + 1 for k in wanted.values()}))).collect()
-    by_rank = {r["_rank"]: {n: r[n] for n in names} for r in rows}
-    return {i: by_rank[k + 1] for i, k in wanted.items()}
+            more, rest = _narrow(df, order, inside, local, below[j + 1] - upto[j], slice_rows)
+        found.update(more)
+        small += rest
+    return found, small
+
+
+def _pick(df: DataFrame, order: Sequence[str], brackets: list[Bracket]) -> dict[int, dict]:
+    """The wanted rows of all brackets in one job; each bracket's size was checked."""
+    if not brackets:
+        return {}
+    place, asked = F.lit(None).cast("int"), F.lit(False)
+    for b, (test, wanted) in enumerate(brackets):
+        place = F.when(test, b).otherwise(place)
+        asked = asked | ((F.col("_bracket") == b) & F.col("_rank").isin(
+            sorted({k + 1 for k in wanted.values()})))
+    inside = Window.partitionBy("_bracket").orderBy(*sort_columns(order))
+    rows = (df.withColumn("_bracket", place).where("_bracket is not null")
+            .withColumn("_rank", F.row_number().over(inside)).where(asked).collect())
+    hits = {(r["_bracket"], r["_rank"]): r for r in rows}
+    return {i: {n: hits[b, k + 1][n] for n in df.columns}
+            for b, (_, wanted) in enumerate(brackets) for i, k in wanted.items()}
 
 
 def take_first(df: DataFrame, order: Sequence[str], n: int,

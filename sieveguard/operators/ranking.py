@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sieveguard.operators.aggregates import detection_metrics, ratio
@@ -80,12 +80,18 @@ def running_quality(df: DataFrame, every: int = 500, order: Sequence[str] = ("ts
 
 def _running_latency(placed: DataFrame, latency: str) -> DataFrame:
     """p50 and p95 over all rows up to each step."""
-    counts = placed.where(F.col(latency).isNotNull()).groupBy("_step", latency).agg(
+    counts = placed.where(F.col(latency).isNotNull()).groupBy(latency, "_step").agg(
         F.count("*").alias("_c"))
     last = placed.agg(F.max("_step")).scalar()
-    spread = counts.withColumn("_last", last)
-    spread = spread.withColumn("_step", F.explode(F.sequence("_step", "_last")))
-    upto = spread.groupBy("_step", latency).agg(F.sum("_c").alias("_c"))
+    # One empty row per value and step from the value's first step on; the running sum
+    # takes the counts of the same step along.
+    steps = counts.groupBy(latency).agg(F.min("_step").alias("_from")).withColumn("_last", last)
+    empty = steps.select(latency, F.explode(F.sequence("_from", "_last")).alias("_step"),
+                         F.lit(0).cast("long").alias("_c"), F.lit(True).alias("_empty"))
+    line = Window.partitionBy(latency).orderBy("_step").rangeBetween(
+        Window.unboundedPreceding, 0)
+    upto = empty.unionByName(counts.withColumn("_empty", F.lit(False))).withColumn(
+        "_c", F.sum("_c").over(line)).where("_empty")
     return upto.groupBy("_step").agg(
         F.percentile(latency, 0.5, F.col("_c")).alias("p50"),
         F.percentile(latency, 0.95, F.col("_c")).alias("p95"))

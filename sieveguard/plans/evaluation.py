@@ -77,6 +77,11 @@ def sweep_rates_join(df: DataFrame, rates: Sequence[float] = SWEEP_RATES,
                      fallback: str = "p_fallback", unique: str = "event_id") -> DataFrame:
     """Confusion counts at every rate from one aggregation, without multiplying rows."""
     banded, counts = escalation_bands(df, rates, unique)
+    return _rate_counts(banded, rates, counts, fallback)
+
+
+def _rate_counts(banded: DataFrame, rates: Sequence[float], counts: Sequence[int],
+                 fallback: str) -> DataFrame:
     fast, strong, truth = ensemble_mean(), F.col(fallback), F.col("label") == 1
     cells = []
     for i in range(len(rates)):
@@ -91,15 +96,13 @@ def sweep_rates_join(df: DataFrame, rates: Sequence[float] = SWEEP_RATES,
         f"stack({len(rates)}, {parts}) as (rate, escalated, tp, fp, fn, tn)"))
 
 
-def sweep_pr_auc(df: DataFrame, rates: Sequence[float] = SWEEP_RATES,
-                 fallback: str = "p_fallback", unique: str = "event_id") -> DataFrame:
+def _rate_areas(banded: DataFrame, rates: Sequence[float], fallback: str) -> DataFrame:
     """Average precision at every rate from one ordered pass.
 
     A row gives two records: its fast score, which counts below its band, and its strong
     score, which counts from its band on.  Records collapse by score with one counter per
     rate, so all rates share one sort.
     """
-    banded, _ = escalation_bands(df, rates, unique)
     pair = F.array(F.struct(ensemble_mean().alias("p"), F.lit(False).alias("strong")),
                    F.struct(F.col(fallback).alias("p"), F.lit(True).alias("strong")))
     records = banded.select("label", "band", F.explode(pair).alias("r"))
@@ -123,10 +126,15 @@ def sweep_pr_auc(df: DataFrame, rates: Sequence[float] = SWEEP_RATES,
 def escalation_sweep(df: DataFrame, rates: Sequence[float] = SWEEP_RATES,
                      fallback: str = "p_fallback", unique: str = "event_id") -> DataFrame:
     """F1, precision, recall, average precision and false-positive rate when the top
-    share of rows by uncertainty takes the stronger score."""
+    share of rows by uncertainty takes the stronger score.
+
+    The scores are written once; the rank search, the counts and the ordered pass read
+    that narrow table.
+    """
     base = written(df.select(unique, "p_if", "p_ae", fallback, "label"), "sweep")
-    quality = detection_metrics(sweep_rates_join(base, rates, fallback, unique), 0.0)
-    return quality.join(sweep_pr_auc(base, rates, fallback, unique), "rate").select(
+    banded, counts = escalation_bands(base, rates, unique)
+    quality = detection_metrics(_rate_counts(banded, rates, counts, fallback), 0.0)
+    return quality.join(_rate_areas(banded, rates, fallback), "rate").select(
         "rate", "escalated", "f1", "precision", "recall", "pr_auc", "fpr")
 
 

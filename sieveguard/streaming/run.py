@@ -48,9 +48,10 @@ def run_stream(records: DataFrame, path: str, checkpoint: str, trigger: dict | N
             .foreachBatch(fan_out(path, branches)).start())
 
 
-def alert_console(records: DataFrame, checkpoint: str) -> StreamingQuery:
-    """Print alerts as they come."""
-    return (alerts(records).writeStream.format("console").option("truncate", False)
+def alert_console(records: DataFrame, checkpoint: str, sink: str = "console",
+                  name: str = "alerts") -> StreamingQuery:
+    """Print alerts as they come (or keep them in memory, to look at in a session)."""
+    return (alerts(records).writeStream.format(sink).queryName(name).option("truncate", False)
             .option("checkpointLocation", checkpoint).start())
 
 
