@@ -23,12 +23,15 @@ def latest_by_key(df: DataFrame, key: Sequence[str] = S.EVENT_KEY,
 
 
 def top_per_group(df: DataFrame, by: Sequence[str], order: Sequence[str], n: int,
-                  unique: str, salts: int = 256) -> DataFrame:
+                  unique: str, salts: int | None = None) -> DataFrame:
     """The first n rows per group; a group may hold most of the table.
 
     Each salted part keeps its own first n, so the second step sees at most
-    ``salts * n`` rows per group.
+    ``salts * n`` rows per group.  The default spreads a group over all reducers, up to
+    1024 parts.
     """
+    if salts is None:
+        salts = min(1024, max(16, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     part = df.withColumn("_salt", F.pmod(F.xxhash64(unique), F.lit(salts)))
     first = Window.partitionBy(*by, "_salt").orderBy(*sort_columns(order))
     last = Window.partitionBy(*by).orderBy(*sort_columns(order))

@@ -71,7 +71,7 @@ def inject_spikes(df: DataFrame, rate: float = 0.012, seed: int = 42,
                   order: Sequence[str] = ORDER) -> DataFrame:
     """Shocks int(rate * n) rows: half in temperature (8 to 20, 70 % upwards), half as a
     voltage drop (0.4 to 0.9, not below 1.8)."""
-    rows = written(ordered_sequence(df, order, name="_gpos"), "positions")
+    rows = ordered_sequence(df, order, name="_gpos")
     return _spikes(rows, rate, seed, rows.count()).drop("_gpos")
 
 
@@ -201,7 +201,9 @@ def _flatline(rows: DataFrame, rate: float, seed: int, sizes: DataFrame, total:
 
 def _prepared(df: DataFrame, order: Sequence[str], scope: str, key: Sequence[str]):
     rows, by = _positioned(df, order, scope, key)
-    rows = written(rows.withColumnRenamed("pos", "_pos"), "positions")
+    rows = rows.withColumnRenamed("pos", "_pos")
+    if by:  # per sensor, positions cost a join that later passes should not repeat
+        rows = written(rows, "positions")
     sizes = _sizes(rows, by)
     return rows, by, sizes, rows.count()
 
@@ -235,7 +237,7 @@ def inject_anomalies(df: DataFrame, seed: int = 42, spikes: float = 0.012,
     """Spikes, then drifts, then flatlines, with labels."""
     rows, by, sizes, total = _prepared(df, order, scope, key)
     if by:
-        rows = written(ordered_sequence(rows, order, name="_gpos"), "positions")
+        rows = ordered_sequence(rows, order, name="_gpos")
     else:
         rows = rows.withColumn("_gpos", F.col("_pos"))
     edited = _drift(_spikes(rows, spikes, seed, total), drift, seed, sizes, total, by)

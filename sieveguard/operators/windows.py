@@ -71,16 +71,24 @@ def over_rows(df: DataFrame, key: Sequence[str], order: Sequence[str], reach: in
     keys, same = _same_key(df, busy, key)
     calm = build(df.join(keys, same, "left_anti"), plain)
     blocks = ordered_blocks(df.join(keys, same, "left_semi"), [*key, *order], "busy")
+    # Where each sensor begins and ends in a block: at most one row per block and per
+    # busy sensor, so this has the bound of the sensor list.
+    cells = blocks.groupBy(*key, BLOCK).agg(F.min(INDEX).alias("_first"),
+                                            F.max(INDEX).alias("_last"))
+    cells = cells.select(*[F.col(c).alias(f"_cell_{c}") for c in (*key, BLOCK)],
+                         "_first", "_last")
+    here = F.lit(True)
+    for c in (*key, BLOCK):
+        here = here & F.col(c).eqNullSafe(F.col(f"_cell_{c}"))
+    bounded = busy.count() <= BUSY_KEYS_BROADCAST
+    placed = blocks.join(F.broadcast(cells) if bounded else cells, here).withColumns({
+        "_nth": F.col(INDEX) - F.col("_first"), "_left": F.col("_last") - F.col(INDEX)})
     in_block = Window.partitionBy(*key, BLOCK).orderBy(INDEX)
-    whole_block = Window.partitionBy(*key, BLOCK)
-    placed = blocks.withColumns({
-        "_nth": F.row_number().over(in_block),
-        "_left": F.count("*").over(whole_block) - F.row_number().over(in_block),
-    })
-    body = build(placed, in_block).where(F.col("_nth") > reach)
-    border = placed.where((F.col("_nth") <= reach) | (F.col("_left") < reach))
-    heads = build(border, plain).where(F.col("_nth") <= reach)
-    extra = [BLOCK, INDEX, "_nth", "_left"]
+    body = build(placed, in_block).where(F.col("_nth") >= reach)
+    # Only rows near block borders move again.
+    border = placed.where((F.col("_nth") < reach) | (F.col("_left") < reach))
+    heads = build(border, plain).where(F.col("_nth") < reach)
+    extra = [BLOCK, INDEX, "_nth", "_left", *cells.columns]
     return calm.unionByName(body.drop(*extra)).unionByName(heads.drop(*extra))
 
 
