@@ -35,18 +35,20 @@ def draw_samples(df: DataFrame, trees: int, samples: int, seed: int, unique: str
     """``samples`` distinct rows for each tree, repeatable for a seed.
 
     A row hash first thins the table to little more than the rows needed, so only a
-    bounded number of rows is ever ranked.  Large tables give disjoint samples; small
-    ones draw per tree.
+    bounded number of rows is ever ranked.  ``total`` counts distinct rows; repeated
+    deliveries of a row collapse after thinning, before they meet in one task.  Large
+    tables give disjoint samples; small ones draw per tree.
     """
     need = trees * samples
     if total > 4 * need:
         draw = F.pmod(F.xxhash64(F.col(unique), F.lit(seed)), F.lit(HASH_SPAN))
-        share = 1.1 * need / total + 1000.0 / total
+        share = 1.15 * need / total + 1000.0 / total
         thin = df.withColumn("_draw", draw).where(F.col("_draw") < int(share * HASH_SPAN))
+        thin = thin.dropDuplicates([unique])
         rank = F.row_number().over(Window.orderBy("_draw", unique))
         return thin.withColumn("_rank", rank).where(F.col("_rank") <= need).withColumn(
             "tree", ((F.col("_rank") - 1) % trees).cast("int")).drop("_rank")
-    each = df.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+    each = df.dropDuplicates([unique]).withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
     draw = F.pmod(F.xxhash64(F.col(unique), F.lit(seed), F.col("tree")), F.lit(HASH_SPAN))
     share = min(1.0, (1.3 * samples + 100.0) / max(total, 1))
     thin = each.withColumn("_draw", draw).where(F.col("_draw") <= int(share * HASH_SPAN))
@@ -93,7 +95,10 @@ def fit_forest(df: DataFrame, trees: int = 100, samples: int = 512,
     decision score below 0 marks about that share.
     """
     base = clean_features(df.select(unique, *S.FEATURES))
-    total = base.count()
+    # A sketch is enough to thin a large table; a small one is counted.
+    total = base.agg(F.approx_count_distinct(unique, 0.01)).first()[0]
+    if total < 5 * trees * samples:
+        total = base.select(unique).distinct().count()
     size = min(samples, total)
     if size < 2:
         raise ValueError("a forest needs at least two rows")

@@ -174,13 +174,6 @@ def state_report_text(df: DataFrame, name: str = "report") -> DataFrame:
 DETAIL_CHARS = 220
 
 
-def failure_status(kind: str, detail: Column) -> Column:
-    """``kind`` with the message on one line, for a failed external call."""
-    line = F.substring(F.trim(F.regexp_replace(detail, r"\s+", " ")), 1, DETAIL_CHARS)
-    return F.when(F.coalesce(line, F.lit("")) == "", kind).otherwise(
-        F.concat(F.lit(f"{kind}:"), line))
-
-
 def decision_result(df: DataFrame, response: str = "response", http: str = "http_status",
                     error: str = "error") -> DataFrame:
     """Decision columns from an external answer.

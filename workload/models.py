@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 from functools import partial
 
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sieveguard import schema as S
@@ -15,45 +14,13 @@ from sieveguard.detectors.fallback import fit_fallback, score_fallback
 from sieveguard.detectors.forest import fit_forest, score_forest
 from sieveguard.detectors.reconstruction import (
     ReconstructionModel, fit_reconstruction, score_reconstruction)
-from sieveguard.functions.columns import uncertainty_gate
 from sieveguard.operators.aggregates import error_profile
-from sieveguard.operators.prepare import chronological_split, inject_anomalies
-from sieveguard.operators.windows import dual_window_features
-from sieveguard.plans.evaluation import evaluate_systems, system_scores
-from sieveguard.plans.flow import Models
+from sieveguard.plans.study import evaluate_models, fit_models, prepare_splits
 from sieveguard.scratch import written
 from workload.base import (
     ORDER, SQL_SCORED, features, query, readings, rounded, s6, scored, sql)
 
 
-def split_features(spark, sf) -> dict[str, DataFrame]:
-    """Clean training rows; validation and test rows with injected anomalies."""
-    rows = readings(spark, sf).withColumns({"label": F.lit(0), "anomaly_type": F.lit("NORMAL")})
-    split = chronological_split(rows, order=ORDER)
-    out = {}
-    for name in ("train", "val", "test"):
-        part = split.where(F.col("split") == name)
-        if name != "train":
-            part = inject_anomalies(part, order=ORDER)
-        out[name] = written(dual_window_features(part, order=ORDER), name)
-    return out
-
-
-def fit_models(splits: dict[str, DataFrame], with_fallback: bool = True) -> Models:
-    """Fit on train, calibrate and fit the stronger model on validation."""
-    forest = fit_forest(splits["train"])
-    net = fit_reconstruction(splits["train"])
-    raw = score_reconstruction(score_forest(splits["val"], forest), net)
-    raw = written(raw.withColumn("_s", -F.col("if_score")), "calibrate")
-    models = Models(forest, fit_platt(raw, "_s"), net, fit_platt(raw, "reconstruction_error"))
-    if with_fallback:
-        gated = uncertainty_gate(raw.withColumns({
-            "p_if": models.forest_calibration.prob("_s"),
-            "p_ae": models.reconstruction_calibration.prob("reconstruction_error")}))
-        models.fallback = fit_fallback(gated)
-    return models
-
-
 @query("isolation_forest_fit")
 def _(spark, sf):
     return fit_forest(features(spark, sf), unique="seq")
@@ -122,13 +89,8 @@ def _(spark, sf):
 @query("trained_systems")
 def _(spark, sf):
     """Train on the first rows, calibrate on the next, compare all systems on the last."""
-    splits = split_features(spark, sf)
-    enough = splits["val"].count() >= 1000
-    models = fit_models(splits, with_fallback=enough)
-    rows = uncertainty_gate(models.probabilities(splits["test"]))
-    rows = score_fallback(rows, models.fallback) if enough else rows
-    rows = written(rows, "test_scores")
-    return evaluate_systems(rows, system_scores(rows, "p_fallback" if enough else None))
+    splits = prepare_splits(readings(spark, sf), order=ORDER)
+    return evaluate_models(splits, fit_models(splits))
 
 
 def answer(requests: list[str], limit: float) -> list[tuple[int, str]]:
