@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sieveguard import schema as S
 from sieveguard.functions.columns import event_priority, uncertainty_score
 from sieveguard.operators.ordering import before_cut, order_cuts, sort_columns, take_first
+from sieveguard.scratch import written
 
 NEWEST = ("-processed_at_epoch_ms", "event_id")
 
@@ -44,21 +45,26 @@ def chronological_sort(df: DataFrame, order: Sequence[str] = ("ts", "event_id"))
 
 
 def escalation_bands(df: DataFrame, rates: Sequence[float] = SWEEP_RATES,
-                     unique: str = "event_id") -> tuple[DataFrame, list[int]]:
+                     unique: str = "event_id", stored: bool = False
+                     ) -> tuple[DataFrame, list[int]]:
     """Adds ``uncertainty`` and ``band``: the index of the lowest rate at which the row
     is escalated (``len(rates)`` when none).  Also returns the row count per rate.
 
     Rates must ascend.  The rank limits come from a rank search, so no row is sorted or
-    moved and rows are not multiplied by the number of rates.
+    moved and rows are not multiplied by the number of rates.  The search takes a few
+    passes: over ``df`` itself when it is a ``stored`` table, else over a written copy of
+    the two columns it needs, so that scoring is not repeated.
     """
     if list(rates) != sorted(rates):
         raise ValueError("rates must ascend")
     scored = df.withColumn("uncertainty", uncertainty_score())
-    total = df.count()
+    narrow = scored.select("uncertainty", unique)
+    narrow = narrow if stored else written(narrow, "uncertainty")
+    total = narrow.count()
     counts = [round(r * total) for r in rates]
     order = ["-uncertainty", unique]
     band = F.lit(len(rates))
-    for i, cut in reversed(list(enumerate(order_cuts(scored, order, counts)))):
+    for i, cut in reversed(list(enumerate(order_cuts(narrow, order, counts)))):
         inside = F.lit(True) if cut is None else before_cut(order, cut)
         band = F.when(inside, i).otherwise(band)
     return scored.withColumn("band", band), counts

@@ -132,7 +132,7 @@ def escalation_sweep(df: DataFrame, rates: Sequence[float] = SWEEP_RATES,
     that narrow table.
     """
     base = written(df.select(unique, "p_if", "p_ae", fallback, "label"), "sweep")
-    banded, counts = escalation_bands(base, rates, unique)
+    banded, counts = escalation_bands(base, rates, unique, stored=True)
     quality = detection_metrics(_rate_counts(banded, rates, counts, fallback), 0.0)
     return quality.join(_rate_areas(banded, rates, fallback), "rate").select(
         "rate", "escalated", "f1", "precision", "recall", "pr_auc", "fpr")
