@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sieveguard import schema as S
-from sieveguard.detectors.trees import TreeSet, collect_trees, matrix
+from sieveguard.detectors.trees import collect_trees, leaf_sum, matrix
 from sieveguard.functions.columns import clean, ensemble_mean
 from sieveguard.operators.aggregates import class_weights
 from sieveguard.scratch import scratch_path, written
@@ -66,8 +66,8 @@ def fit_fallback(df: DataFrame, trees: int = TREES, depth: int = DEPTH, step: fl
 
 def tree_scorer(nodes: DataFrame) -> BatchScorer:
     """Anomaly probability of a batch from a boosted node table."""
-    forest: TreeSet = collect_trees(nodes, MAX_NODES)
-    return lambda x: 1.0 / (1.0 + np.exp(-2.0 * forest.total(x, False)))
+    forest = collect_trees(nodes, MAX_NODES)
+    return lambda x: 1.0 / (1.0 + np.exp(-2.0 * leaf_sum(forest, x, False)))
 
 
 def masked_prob(scorer: BatchScorer, mask: Column | str,

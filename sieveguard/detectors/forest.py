@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sieveguard import schema as S
-from sieveguard.detectors.trees import NODE_SCHEMA, batches, collect_trees
+from sieveguard.detectors.trees import NODE_SCHEMA, batches, collect_trees, leaf_sum
 from sieveguard.functions.columns import clean_features
 from sieveguard.scratch import written
 
@@ -125,13 +125,13 @@ def score_forest(df: DataFrame, nodes: DataFrame, name: str = "if_score") -> Dat
     first = nodes.select("samples", "offset").first()
     size, offset = int(first["samples"]), float(first["offset"])
     trees = collect_trees(nodes, MAX_NODES)
-    n_trees = len(trees.trees)
+    n_trees = len(trees)
     sent = df.sparkSession.sparkContext.broadcast(trees)
     scale = n_trees * mean_path(size)
 
     @F.pandas_udf("double")
     def decision(parts: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
         forest = sent.value
-        return batches(parts, lambda x: -np.exp2(-forest.total(x, True) / scale) - offset)
+        return batches(parts, lambda x: -np.exp2(-leaf_sum(forest, x, True) / scale) - offset)
 
     return df.withColumn(name, decision(F.struct(*S.FEATURES)))

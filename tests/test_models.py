@@ -17,7 +17,7 @@ from sieveguard.detectors.fallback import (
 from sieveguard.detectors.onnx import score_onnx
 from sieveguard.detectors.reconstruction import (
     ReconstructionModel, fit_reconstruction, score_reconstruction)
-from sieveguard.detectors.trees import TreeSet
+from sieveguard.detectors.trees import leaf_sum, tree_arrays
 
 
 @pytest.fixture(scope="module")
@@ -75,7 +75,7 @@ def test_tree_walk_matches_a_recursive_walk():
         while nodes.left[at] != at:
             at = nodes.left[at] if row[nodes.feature[at]] < nodes.threshold[at] else nodes.right[at]
         return nodes.value[at]
-    assert TreeSet(nodes).total(x, True) == pytest.approx([walk(r) for r in x])
+    assert leaf_sum(tree_arrays(nodes), x, True) == pytest.approx([walk(r) for r in x])
 
 
 def test_components_match_numpy(spark, table):

@@ -9,7 +9,7 @@ from sieveguard.operators import aggregates as A
 from sieveguard.operators import ranking, topk
 from sieveguard.sources.sinks import event_rows, run_registry
 from workload.base import (
-    ORDER, SQL_FEATURES, SQL_READINGS, SQL_RECORDS, SQL_SCORED, features, query, r6, readings,
+    ORDER, SQL_FEATURES, SQL_READINGS, SQL_RECORDS, SQL_SCORED, features, query, readings,
     records, rounded, s6, scored, sql, two_mode_events)
 
 SQL_SUMMARY = SQL_RECORDS + """,

@@ -13,7 +13,7 @@ from sieveguard.scratch import scratch_path
 from sieveguard.sources import readings as src
 from sieveguard.sources import sinks
 from workload.base import (
-    ORDER, PLAIN, SQL_FEATURES, SQL_READINGS, SQL_RECORDS, features, query, r6, readings, records,
+    ORDER, PLAIN, SQL_FEATURES, SQL_READINGS, SQL_RECORDS, features, query, readings, records,
     rounded, s6, sql, two_mode_events, two_mode_records)
 
 READING_SQL = sql(SQL_READINGS, f"select {', '.join(PLAIN)} from r")
