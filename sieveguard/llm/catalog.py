@@ -2,5 +2,6 @@
 
 from __future__ import annotations
 
-from sieveguard.llm import sharding, url_filter, mixing  # noqa: F401
+from sieveguard.llm import (  # noqa: F401
+    sharding, url_filter, mixing, simhash, language_id)
 from sieveguard.llm.registry import ORACLES, QUERIES  # noqa: F401
