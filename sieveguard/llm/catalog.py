@@ -3,5 +3,6 @@
 from __future__ import annotations
 
 from sieveguard.llm import (  # noqa: F401
-    sharding, url_filter, mixing, simhash, language_id)
+    sharding, url_filter, mixing, simhash, language_id,
+    decontamination, embedding_dedup)
 from sieveguard.llm.registry import ORACLES, QUERIES  # noqa: F401
