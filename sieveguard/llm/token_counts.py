@@ -27,15 +27,16 @@ from sieveguard.llm.registry import query
 from sieveguard.scratch import scratch_path
 
 BLOCK_IDS = 1 << 18       # ids of a block
+WIDTH = "<u2"             # as a numpy type; the ids of the query are below 65,536
 END_ID = 50256            # beyond the byte-pair ranks, so no text gives it
 BLOCK_SCHEMA = "file long, block long, ids binary, names array<long>"
 
 
 def write_flat(docs: DataFrame, path: str, encoder: RankEncoder, end_id: int = END_ID,
-               block_ids: int = BLOCK_IDS) -> None:
+               block_ids: int = BLOCK_IDS, width: str = WIDTH) -> None:
     """Encode ``docs(doc_id, text)`` into flat files at ``path``, one per task.
 
-    A row is a block (little-endian unsigned 32-bit ids); ``names`` are the doc_ids that end
+    A row is a block (little-endian unsigned ids of ``width``); ``names`` are the doc_ids that end
     in it, in order, and tell nothing of where.
     """
     shared = docs.sparkSession.sparkContext.broadcast(encoder)
@@ -55,7 +56,7 @@ def write_flat(docs: DataFrame, path: str, encoder: RankEncoder, end_id: int = E
                 inside = [n for p, n in ends if p < done + size]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([file], pa.int64()), pa.array([made], pa.int64()),
-                     pa.array([data[:size].astype("<u4").tobytes()], pa.binary()),
+                     pa.array([data[:size].astype(width).tobytes()], pa.binary()),
                      pa.array([inside], pa.list_(pa.int64()))],
                     names=["file", "block", "ids", "names"])
                 ends = ends[len(inside):]
@@ -75,17 +76,15 @@ def write_flat(docs: DataFrame, path: str, encoder: RankEncoder, end_id: int = E
     docs.select("doc_id", "text").mapInArrow(flatten, BLOCK_SCHEMA).write.parquet(path)
 
 
-def read_flat(spark: SparkSession, path: str, width: str = "<u4") -> DataFrame:
+def read_flat(spark: SparkSession, path: str) -> DataFrame:
     """Blocks of raw binary files: each file a block of its own name, without document names."""
     raw = spark.read.format("binaryFile").load(path)
-    if width != "<u4":
-        raise ValueError("files of unsigned 32-bit ids only")
     return raw.select(F.xxhash64("path").alias("file"), F.lit(0).cast("long").alias("block"),
                       F.col("content").alias("ids"),
                       F.lit(None).cast("array<long>").alias("names"))
 
 
-def scan_blocks(blocks: DataFrame, end_id: int = END_ID) -> DataFrame:
+def scan_blocks(blocks: DataFrame, end_id: int = END_ID, width: str = WIDTH) -> DataFrame:
     """(file, block, rank, at, since, doc_id) of every end, and one row per block (rank -1).
 
     ``since`` counts the ids from the end before, or from the block's start; in the block's own
@@ -97,7 +96,7 @@ def scan_blocks(blocks: DataFrame, end_id: int = END_ID) -> DataFrame:
             for i in range(batch.num_rows):
                 data = batch.column(2)[i].as_py() or b""
                 names = batch.column(3)[i].as_py()
-                ids = np.frombuffer(data, "<u4")
+                ids = np.frombuffer(data, width)
                 at = np.flatnonzero(ids == end_id)
                 if names is not None and len(names) != len(at):
                     raise ValueError("block and names disagree")
