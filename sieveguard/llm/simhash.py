@@ -14,14 +14,20 @@ crowded place is dealt into chunks by the order of the first pivot; chunk pairs
 lie apart are never formed. Each pair of chunks returns a spanning forest of its links, not
 the pairs: every link's two ends stay connected, and the number of rows stays linear.
 
+Wider fingerprints (``LANES`` words of 64 bits, the further ones from remixed shingle hashes)
+serve similarities below those that three bits stand for: there the meeting places are keyed
+by sampled bits instead of pieces, as many and as often as the number of fingerprints and the
+target recall ask for.
+
 Nulls and texts without words have fingerprint 0 and are linked like any other. Repeated
 rows share their fingerprint. Empty tables give empty results.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, islice
 
 import numpy as np
 import pyarrow as pa
@@ -38,25 +44,23 @@ RADIUS = 3
 PIECES = 5
 PIVOTS = 16
 CHUNK = 2048              # fingerprints of a crowded place compared in one task at a time
+SMALL = 32                # places up to this size are compared side by side
 SEED = 42
+LANES = 4
+# Of 256 bits: sets of equal size that share 0.8 of their union (cosine 0.89) differ in 39 of
+# them on average, 6 more or less; those that share 0.6 in 59.
+WIDE_RADIUS = 46
+RECALL = 0.99             # of pairs at the radius, among wide fingerprints
 
 
-def fingerprint(text: str | None, words: int = 3) -> int:
-    """Unsigned 64-bit SimHash of one text over shingles of lower-cased words."""
-    tokens = (text or "").encode().lower().split()
-    if not tokens:
-        return 0
-    if len(tokens) <= words:
-        return xxhash.xxh64_intdigest(b" ".join(tokens), SEED)
-    digest = xxhash.xxh64_intdigest
-    shingles = zip(*[tokens[i:] for i in range(words)])
-    counts, total, part = np.zeros(64, np.int64), len(tokens) - words + 1, []
-    for start in range(0, total, 65536):
-        part = np.fromiter((digest(b" ".join(s), SEED) for _, s in
-                            zip(range(min(65536, total - start)), shingles)), np.uint64)
-        counts += bit_counts(part)
-    bits = counts * 2 > total
-    return int(np.packbits(bits, bitorder="little").view("<u8")[0])
+def remixed(hashes: np.ndarray, lane: int) -> np.ndarray:
+    """Further 64-bit hashes made from given ones; lane 0 leaves them as they are."""
+    if not lane:
+        return hashes
+    x = hashes ^ np.uint64(0x9E3779B97F4A7C15 * lane & (1 << 64) - 1)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
 def bit_counts(hashes: np.ndarray) -> np.ndarray:
@@ -66,49 +70,97 @@ def bit_counts(hashes: np.ndarray) -> np.ndarray:
     return bits.sum(axis=0, dtype=np.int64)
 
 
-def with_fingerprints(docs: DataFrame, keep: list[Column], words: int = 3) -> DataFrame:
-    """(kept columns, fp) of every document; ``fp`` is the fingerprint's bits as a long."""
+def fingerprints(text: str | None, words: int = 3, lanes: int = 1) -> np.ndarray:
+    """Unsigned SimHash words of one text over shingles of its lower-cased words."""
+    tokens = (text or "").encode().lower().split()
+    if not tokens:
+        return np.zeros(lanes, np.uint64)
+    digest = xxhash.xxh64_intdigest
+    size = min(words, len(tokens))
+    shingles = zip(*[tokens[i:] for i in range(size)])
+    counts, total = np.zeros((lanes, 64), np.int64), len(tokens) - size + 1
+    for start in range(0, total, 65536):
+        part = np.fromiter((digest(b" ".join(s), SEED) for s in islice(shingles, 65536)), np.uint64)
+        for lane in range(lanes):
+            counts[lane] += bit_counts(remixed(part, lane))
+    return np.packbits(counts * 2 > total, axis=1, bitorder="little").view("<u8")[:, 0]
+
+
+def fp_names(lanes: int) -> list[str]:
+    return ["fp"] + [f"fp{i}" for i in range(1, lanes)]
+
+
+def with_fingerprints(docs: DataFrame, keep: list[Column], words: int = 3,
+                      lanes: int = 1) -> DataFrame:
+    """(kept columns, fp, fp1, ...) of every document: the fingerprint's bits as longs."""
     slim = docs.select(*keep, F.col("text").alias("_text"))
     names = slim.columns[:-1]
-    schema = slim.drop("_text").withColumn("fp", F.lit(0).cast("long")).schema
+    schema = slim.drop("_text").withColumns(
+        {n: F.lit(0).cast("long") for n in fp_names(lanes)}).schema
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sized_batches(batches, "_text"):
             texts = batch.column(batch.num_columns - 1).to_pylist()
-            fps = np.array([fingerprint(t, words) for t in texts], np.uint64).view(np.int64)
+            fps = np.array([fingerprints(t, words, lanes) for t in texts], np.uint64)
+            fps = fps.reshape(-1, lanes).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                batch.columns[:-1] + [pa.array(fps)], names=names + ["fp"])
+                batch.columns[:-1] + [pa.array(fps[:, i].copy()) for i in range(lanes)],
+                names=names + fp_names(lanes))
 
     return slim.mapInArrow(compute, schema)
 
 
-def pivots(count: int = PIVOTS) -> np.ndarray:
+def pivots(lanes: int = 1, count: int = PIVOTS) -> np.ndarray:
     """Reference fingerprints, drawn once and for all."""
-    return np.random.default_rng(SEED).integers(0, 2 ** 64, count, dtype=np.uint64)
+    return np.random.default_rng(SEED).integers(0, 2 ** 64, (count, lanes), dtype=np.uint64)
 
 
-def meeting_keys(fp: Column, pieces: int, radius: int) -> Column:
-    """One key per choice of pieces that must agree, the choice mixed into the key."""
+def signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def piece_keys(pieces: int, radius: int) -> Column:
+    """One key per choice of pieces of ``fp`` that must agree, the choice mixed into the key."""
     edges = [64 * i // pieces for i in range(pieces + 1)]
     keys = []
     for n, chosen in enumerate(combinations(range(pieces), pieces - radius)):
-        mask = 0
-        for i in chosen:
-            mask |= ((1 << (edges[i + 1] - edges[i])) - 1) << edges[i]
-        if mask >= 1 << 63:
-            mask -= 1 << 64
-        keys.append(F.xxhash64(F.lit(n), fp.bitwiseAND(F.lit(mask))))
+        mask = sum(((1 << (edges[i + 1] - edges[i])) - 1) << edges[i] for i in chosen)
+        keys.append(F.xxhash64(F.lit(n), F.col("fp").bitwiseAND(F.lit(signed(mask)))))
+    return F.array(*keys)
+
+
+def sampled_keys(rows: int, lanes: int, differing: float, recall: float) -> Column:
+    """Keys of sampled bits, for pairs that differ in a share ``differing`` of their bits.
+
+    A key samples about as many bits as leave a few of ``rows`` in one place; there are as many
+    keys as let such a pair meet with probability ``recall``.
+    """
+    bits = max(8, math.ceil(math.log2(max(rows, 2))) - 2)
+    meet = (1 - differing) ** bits
+    rng = np.random.default_rng(SEED)
+    keys = []
+    for n in range(math.ceil(math.log(1 - recall) / math.log(1 - meet))):
+        masks = [0] * lanes
+        for at in rng.choice(64 * lanes, bits, replace=False).tolist():
+            masks[at // 64] |= 1 << at % 64
+        keys.append(F.xxhash64(F.lit(n), *[
+            F.col(c).bitwiseAND(F.lit(signed(m))) for c, m in zip(fp_names(lanes), masks)]))
     return F.array(*keys)
 
 
-def forest(fps: np.ndarray, split: int, tables: np.ndarray, radius: int) -> list[tuple]:
-    """Links of a chunk pair as a spanning forest, each node with its smallest root.
+def bit_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int16)
+
+
+def crowd_links(fps: np.ndarray, split: int, tables: np.ndarray, radius: int) -> list[tuple]:
+    """Links of one place or chunk pair that span what its links connect, as row pairs.
 
     ``split`` > 0: only pairs across the first ``split`` rows and the others. Rows come in
     order of ``tables[:, 0]``, in either part.
     """
     n = len(fps)
     parent = np.arange(n)
+    out = []
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -117,90 +169,93 @@ def forest(fps: np.ndarray, split: int, tables: np.ndarray, radius: int) -> list
         return i
 
     first = tables[:, 0]
-    low, high = (split, n) if split else (0, n)
     for i in range(split or n):
-        a = max(low, i + 1) if not split else low
-        a += np.searchsorted(first[a:high], first[i] - radius, "left")
-        b = a + np.searchsorted(first[a:high], first[i] + radius, "right")
+        low = split or i + 1
+        a = low + np.searchsorted(first[low:], first[i] - radius, "left")
+        b = low + np.searchsorted(first[low:], first[i] + radius, "right")
         if a >= b:
             continue
         near = np.abs(tables[a:b] - tables[i]).max(axis=1) <= radius
         close = np.flatnonzero(near) + a
-        close = close[np.bitwise_count(fps[close] ^ fps[i]) <= radius]
-        for j in close[parent[close] != parent[i]]:
-            x, y = root(i), root(int(j))
+        close = close[bit_distance(fps[close], fps[i]) <= radius]
+        for j in close[parent[close] != parent[i]].tolist():
+            x, y = root(i), root(j)
             if x != y:
                 parent[max(x, y)] = min(x, y)
-    return [(int(fps[i]), int(fps[root(i)])) for i in range(n) if parent[i] != i]
+                out.append((i, j))
+    return out
 
 
-def link_edges(distinct: DataFrame, pieces: int = PIECES, radius: int = RADIUS,
+def link_edges(distinct: DataFrame, keys: Column, radius: int = RADIUS, lanes: int = 1,
                chunk: int = CHUNK) -> DataFrame:
-    """Edges (a, b) that connect what links of ``distinct(fp)`` connect.
+    """Edges (a, b) that connect what links of ``distinct(id, fp, ...)`` connect.
 
     ``distinct`` must be a written table: it is read several times.
     """
-    refs = pivots()
-    first = F.bit_count(F.col("fp").bitwiseXOR(F.lit(int(refs[:1].view(np.int64)[0]))))
-    keyed = distinct.select("fp", first.alias("d"), F.explode(
-        meeting_keys(F.col("fp"), pieces, radius)).alias("key"))
-    # Places with two or more rows; how many rows each first pivot distance has there.
-    sizes = keyed.groupBy("key", "d").agg(F.count("*").alias("n"))
-    places = sizes.groupBy("key").agg(
-        F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("d", "n")))
-        .alias("hist")).filter("n > 1")
+    refs, names = pivots(lanes), fp_names(lanes)
+    first = sum((F.bit_count(F.col(n).bitwiseXOR(F.lit(signed(int(r)))))
+                 for n, r in zip(names, refs[0])), F.lit(0))
+    keyed = distinct.select("id", *names, first.alias("d"), F.explode(keys).alias("key"))
+    # Crowded places, and how many rows they have at each distance from the first pivot: one
+    # row per place with at most 64 * lanes + 1 entries.
+    crowded = written(keyed.groupBy("key").agg(F.count("*").alias("n")).filter(
+        F.col("n") > chunk).select("key"), "crowded")
+    hists = written(keyed.join(crowded, "key").groupBy("key", "d").agg(F.count("*").alias("n"))
+                    .groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("d", "n")))
+                                        .alias("hist")), "hists")
+    met = keyed.join(hists, "key", "left")
     # Chunks follow the pivot distance; a distance with many rows takes several chunks.
-    # ``hist`` has 65 entries at most, so a place is described by one short row.
-    met = keyed.join(places, "key")
-    crowded = F.col("n") > chunk
-    parts = F.when(crowded, F.ceil(F.element_at("hist", F.col("d")) / F.lit(chunk))).otherwise(1)
-    spread = F.pmod(F.xxhash64("fp", F.lit("part")), parts).cast("int")
-    own = F.when(crowded, F.struct(F.col("d").alias("d"), spread.alias("p"))).otherwise(
+    full = F.col("hist").isNotNull()
+    parts = F.ceil(F.element_at("hist", F.col("d")) / F.lit(chunk))
+    part = F.pmod(F.xxhash64("id", F.lit("part")), parts).cast("int")
+    own = F.when(full, F.struct(F.col("d").alias("d"), part.alias("p"))).otherwise(
         F.struct(F.lit(-1).alias("d"), F.lit(0).alias("p")))
-    other = F.when(crowded, F.flatten(F.transform(
+    other = F.when(full, F.flatten(F.transform(
         F.filter(F.map_entries("hist"), lambda e: F.abs(e["key"] - F.col("d")) <= radius),
         lambda e: F.transform(
             F.sequence(F.lit(0), F.ceil(e["value"] / F.lit(chunk)).cast("int") - 1),
             lambda p: F.struct(e["key"].alias("d"), p.alias("p")))))).otherwise(F.array(own))
-    pairs = met.select("fp", "d", "key", own.alias("own"), F.explode(other).alias("other"))
-    unit = F.struct("key", F.least("own", "other").alias("l"),
-                    F.greatest("own", "other").alias("r"))
+    pairs = met.select("id", *names, "d", "key", own.alias("own"), F.explode(other).alias("other"))
+    left, right = F.least("own", "other"), F.greatest("own", "other")
     dealt = pairs.select(
-        F.xxhash64(unit).alias("unit"), F.col("key"), F.least("own", "other").alias("l"),
-        F.greatest("own", "other").alias("r"),
-        F.when(F.col("own") == F.least("own", "other"), 0).otherwise(1).alias("side"), "d", "fp")
+        F.xxhash64("key", left, right).alias("unit"), "key",
+        F.when(F.col("own") == left, 0).otherwise(1).alias("side"), "d", "id", *names)
     ordered = dealt.repartition("unit").sortWithinPartitions(
-        "unit", "key", "l", "r", "side", "d", "fp").select("unit", "key", "side", "fp")
+        "unit", "key", "side", "d", "id").select("unit", "key", "side", "id", *names)
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
         def close(block: np.ndarray) -> pa.RecordBatch:
-            """Forests of all complete units in rows of (unit, key, side, fp)."""
-            change = np.flatnonzero(np.any(block[1:, :2] != block[:-1, :2], axis=1)) + 1
-            starts = np.concatenate([[0], change])
-            ends = np.concatenate([change, [len(block)]])
-            fps = block[:, 3].view(np.uint64)
-            out: list[tuple] = []
-            two = starts[ends - starts == 2]
-            good = np.bitwise_count(fps[two] ^ fps[two + 1]) <= radius
-            dist = np.bitwise_count(fps[two][:, None] ^ refs).astype(np.int16)
-            dist2 = np.bitwise_count(fps[two + 1][:, None] ^ refs).astype(np.int16)
-            good &= np.abs(dist - dist2).max(axis=1, initial=0) <= radius
-            a, b = [fps[two][good].view(np.int64)], [fps[two + 1][good].view(np.int64)]
-            for s, e in zip(starts, ends):
-                if e - s < 3:
-                    continue
+            """Links of all complete units in rows of (unit, key, side, id, fp, ...)."""
+            new = np.any(block[1:, :2] != block[:-1, :2], axis=1)
+            group = np.concatenate([[0], np.cumsum(new)])
+            size = np.bincount(group)
+            fps = np.ascontiguousarray(block[:, 4:]).view(np.uint64)
+            small = size[group] <= SMALL
+            links: list[tuple] = []
+            for apart in range(1, SMALL):
+                i = np.flatnonzero(small[:-apart] & (group[apart:] == group[:-apart]))
+                if not len(i):
+                    break
+                for k in range(len(refs)):
+                    gap = bit_distance(fps[i], refs[k]) - bit_distance(fps[i + apart], refs[k])
+                    i = i[np.abs(gap) <= radius]
+                    if k >= 3 and len(i) * 4 < len(block):
+                        break
+                i = i[bit_distance(fps[i], fps[i + apart]) <= radius]
+                links += zip(i.tolist(), (i + apart).tolist())
+            starts = np.concatenate([[0], np.flatnonzero(new) + 1])
+            for g in np.flatnonzero(size > SMALL):
+                s, e = int(starts[g]), int(starts[g] + size[g])
                 side = block[s:e, 2]
-                tables = np.bitwise_count(fps[s:e][:, None] ^ refs).astype(np.int16)
-                out += forest(fps[s:e], int((side == 0).sum()) if side[-1] else 0,
-                              tables, radius)
-            if out:
-                more = np.array(out, np.uint64).view(np.int64)
-                a.append(more[:, 0])
-                b.append(more[:, 1])
+                tables = np.stack([bit_distance(fps[s:e], r) for r in refs], axis=1)
+                links += [(s + i, s + j) for i, j in crowd_links(
+                    fps[s:e], int((side == 0).sum()) if side[-1] else 0, tables, radius)]
+            at = np.array(links, np.int64).reshape(-1, 2)
+            ends = np.unique(np.sort(block[:, 3][at], axis=1), axis=0)
             return pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+                [pa.array(ends[:, 1].copy()), pa.array(ends[:, 0].copy())], names=["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -219,27 +274,39 @@ def link_edges(distinct: DataFrame, pieces: int = PIECES, radius: int = RADIUS,
     return ordered.mapInArrow(link, "a long, b long")
 
 
-def classes(marked: DataFrame, pieces: int = PIECES, radius: int = RADIUS) -> DataFrame:
-    """(fp, component_id) for ``marked(doc_id, fp)``, a written table."""
-    distinct = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "prints")
-    roots = written(components(link_edges(distinct.select("fp"), pieces, radius)), "roots")
-    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root"))
+def classes(marked: DataFrame, radius: int = RADIUS, lanes: int = 1, pieces: int = PIECES,
+            recall: float = RECALL) -> DataFrame:
+    """(fp, ..., component_id) for ``marked(doc_id, fp, ...)``, a written table.
+
+    One lane is searched exactly, by pieces; more lanes by sampled bits, to the recall.
+    """
+    names = fp_names(lanes)
+    number = F.col("fp") if lanes == 1 else F.monotonically_increasing_id()
+    distinct = written(marked.groupBy(*names).agg(F.min("doc_id").alias("least"))
+                       .withColumn("id", number), "prints")
+    keys = piece_keys(pieces, radius) if lanes == 1 else sampled_keys(
+        distinct.count(), lanes, radius / (64 * lanes), recall)
+    edges = link_edges(distinct.select("id", *names), keys, radius, lanes)
+    roots = written(components(edges), "roots")
+    rooted = distinct.join(roots, distinct["id"] == roots["node"], "left").select(
+        *names, "least", F.coalesce("root", "id").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rooted.join(named, "root").select("fp", "component_id")
+    return rooted.join(named, "root").select(*names, "component_id")
 
 
-def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
-    """(doc_id, fp, text_key, component_id) of every document with ``doc_id, text``."""
+def near_duplicates(docs: DataFrame, words: int = 3, radius: int = RADIUS,
+                    lanes: int = 1) -> DataFrame:
+    """(doc_id, text_key, fp, ..., component_id) of every document with ``doc_id, text``."""
     marked = written(with_fingerprints(
-        docs, [F.col("doc_id"), F.xxhash64("text").alias("text_key")], words), "simhash")
-    return marked.join(classes(marked), "fp")
+        docs, [F.col("doc_id"), F.xxhash64("text").alias("text_key")], words, lanes), "simhash")
+    return marked.join(classes(marked, radius, lanes), fp_names(lanes))
 
 
-def keep_one(docs: DataFrame, words: int = 5) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = 5, radius: int = WIDE_RADIUS,
+             lanes: int = LANES) -> DataFrame:
     """``docs`` with one row of each class: its smallest doc_id; equal rows count once."""
     clear_names(docs, ["text_key"])
-    near = near_duplicates(docs, words)
+    near = near_duplicates(docs, words, radius, lanes)
     chosen = near.groupBy("component_id").agg(
         F.min(F.struct("doc_id", "text_key")).alias("k")).select("k.doc_id", "k.text_key")
     keyed = docs.withColumn("text_key", F.xxhash64("text"))

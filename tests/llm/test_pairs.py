@@ -37,12 +37,15 @@ def test_components_of_long_chains_and_stars(spark):
 
 
 def test_fingerprint_of_edge_cases():
-    assert simhash.fingerprint(None) == simhash.fingerprint(" \t\n") == 0
-    assert simhash.fingerprint("Ab  c") == xxhash.xxh64_intdigest(b"ab c", 42)
+    def one(text):
+        return int(simhash.fingerprints(text)[0])
+
+    assert one(None) == one(" \t\n") == 0
+    assert one("Ab  c") == xxhash.xxh64_intdigest(b"ab c", 42)
     hashes = [xxhash.xxh64_intdigest(" ".join(s).encode(), 42)
               for s in (("a", "b", "a"), ("b", "a", "b"), ("a", "b", "a"), ("b", "a", "É"))]
     want = sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) * 2 > 4)
-    assert simhash.fingerprint("A b a B a É") == want
+    assert one("A b a B a É") == want
 
 
 @pytest.mark.parametrize("chunk", [2048, 6])
@@ -57,8 +60,9 @@ def test_links_reach_what_all_pairs_reach(spark, chunk):
         prints.append(p)
     prints = sorted(set(prints + [0, 1, (1 << 64) - 1]))
     signed = [p - (1 << 64) if p >> 63 else p for p in prints]
-    table = written(spark.createDataFrame([(s,) for s in signed], "fp long"), "fps")
-    edges = [(r["a"], r["b"]) for r in simhash.link_edges(table, chunk=chunk).collect()]
+    table = written(spark.createDataFrame([(s, s) for s in signed], "id long, fp long"), "fps")
+    edges = [(r["a"], r["b"]) for r in simhash.link_edges(
+        table, simhash.piece_keys(5, 3), chunk=chunk).collect()]
     place = {s: i for i, s in enumerate(signed)}
     links = [(i, j) for i in range(len(prints)) for j in range(i)
              if (prints[i] ^ prints[j]).bit_count() <= 3]
@@ -79,6 +83,24 @@ def test_simhash_classes_and_kept_rows(spark):
     assert simhash.keep_one(docs.limit(0)).count() == 0
 
 
+def test_wide_fingerprints_find_changed_copies(spark):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(4000)]
+    rows, kin = [], []
+    for d in range(40):
+        text = rng.choices(words, k=300)
+        rows.append((2 * d, " ".join(text), "s"))
+        # Replacements in one stretch each leave about 0.87 of the five-word shingles shared.
+        for at in rng.sample(range(0, 300, 30), 3):
+            text[at] = "new"
+        rows.append((2 * d + 1, " ".join(text), "s"))
+        kin.append((2 * d, 2 * d + 1))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = {r["doc_id"] for r in simhash.keep_one(docs).collect()}
+    assert sum(b not in kept for _, b in kin) >= 39
+    assert all(a in kept for a, _ in kin)
+
+
 @pytest.mark.parametrize("cell,fan_out", [(1024, 64), (40, 8), (10, 8)])
 def test_vectors_against_all_pairs(spark, cell, fan_out):
     rng = np.random.default_rng(cell)
