@@ -8,44 +8,86 @@ from __future__ import annotations
 
 import base64
 import os
-from itertools import chain
+import re
+from itertools import chain, repeat
 from pathlib import Path
 
 import numpy as np
 
 
 class WordEncoder:
-    """Encodes with a tokenizer that treats white-space-divided words one by one.
+    """Encodes with the tokenizer of ``word_bpe_49k.json``, piece by piece.
 
-    Right for tokenizers whose normalizer and pre-tokenizer drop white space, such as
-    ``word_bpe_49k.json``: the ids of a text are then those of its words, strung together.
-    Known words are kept, KNOWN at most, which changes the speed only.
+    Its pre-tokenizer cuts a text into pieces that are encoded one by one, and drops white
+    space. Texts of Latin letters, ASCII and common signs are cut here in the same way, any
+    other text at ASCII white space only; the tokenizer sees every piece once and its ids are
+    kept in flat arrays. At most KNOWN pieces are kept, which changes the speed only.
     """
 
     KNOWN = 1_500_000
+    # Control characters are no white space for the tokenizer and fall into the last class of
+    # PIECE, as they do there. The file's pre-tokenizer pattern for the letters of PLAIN.
+    PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿœ]+|[0-9]|[^\t-\r a-zß-öø-ÿœ0-9]+")
+    PLAIN = re.compile(r"[\t-\r -~À-ÖØ-öø-ÿŒœ«»–—‘’“”…·]*+")
+    SPECIAL = "<|"        # special ids are looked for in the text as it stands
 
     def __init__(self, path: str) -> None:
         self.data = Path(path).read_text()
         self.tokenizer = None
-        self.known: dict[bytes, tuple[int, ...]] = {}
+
+    def _clear(self) -> None:
+        self.known: dict[str, int] = {}
+        self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.starts, self.sizes = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+
+    def _cut(self, text: str | None) -> list[str]:
+        if not text:
+            return []
+        if (text.isascii() or self.PLAIN.fullmatch(text)) and self.SPECIAL not in text:
+            return self.PIECE.findall(text.lower())
+        return [w.decode() for w in text.encode().split()]
+
+    def _learn(self, new: list[str]) -> None:
+        for at in range(0, len(new), 20_000):
+            part = new[at:at + 20_000]
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(
+                part, add_special_tokens=False)]
+            first, sizes = len(self.known), np.fromiter(map(len, ids), np.int64, len(ids))
+            end = self.used + int(sizes.sum())
+            while end > len(self.pool):
+                self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+            while first + len(part) > len(self.starts):
+                self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
+                self.sizes = np.concatenate([self.sizes, np.zeros_like(self.sizes)])
+            self.pool[self.used:end] = np.fromiter(chain.from_iterable(ids), np.uint32,
+                                                   end - self.used)
+            self.starts[first:first + len(part)] = self.used + np.cumsum(sizes) - sizes
+            self.sizes[first:first + len(part)] = sizes
+            self.known.update(zip(part, range(first, first + len(part))))
+            self.used = end
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         if self.tokenizer is None:
             os.environ["TOKENIZERS_PARALLELISM"] = "false"
             from tokenizers import Tokenizer
             self.tokenizer = Tokenizer.from_str(self.data)
-        split = [t.encode().split() if t else [] for t in texts]
-        new = list(set(chain.from_iterable(split)).difference(self.known))
-        if len(self.known) + len(new) > self.KNOWN:
-            self.known.clear()
-            new = list(set(chain.from_iterable(split)))
-        for at in range(0, len(new), 10_000):
-            part = new[at:at + 10_000]
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in part],
-                                                     add_special_tokens=False)
-            self.known.update((w, tuple(e.ids)) for w, e in zip(part, found))
-        get = self.known.__getitem__
-        return [np.fromiter(chain.from_iterable(map(get, w)), np.uint32) for w in split]
+            self._clear()
+        if len(self.known) > self.KNOWN:
+            self._clear()
+        cut = [self._cut(t) for t in texts]
+        flat = list(chain.from_iterable(cut))
+        at = np.fromiter(map(self.known.get, flat, repeat(-1)), np.int64, len(flat))
+        unknown = np.flatnonzero(at < 0)
+        if len(unknown):
+            self._learn(list({flat[i] for i in unknown}))
+            at[unknown] = [self.known[flat[i]] for i in unknown]
+        sizes = self.sizes[at]
+        ends = np.cumsum(sizes)
+        ids = self.pool[np.repeat(self.starts[at] - ends + sizes, sizes)
+                        + np.arange(ends[-1] if len(ends) else 0)]
+        counts = np.cumsum([0] + [len(w) for w in cut])
+        bounds = np.concatenate([[0], ends])[counts]
+        return [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
 
 
 class RankEncoder:

@@ -58,11 +58,12 @@ class WaveletMatrix:
             steps = np.bitwise_count(padded.view(np.uint64)).reshape(-1, RANK_STEP // 64).sum(axis=1)
             counts = np.zeros(len(steps) + 1, np.uint32)
             np.cumsum(steps, out=counts[1:])
-            low = now[~ones]
+            # Places first, then take: several times as fast as a mask over random bits.
+            low = now.take(np.flatnonzero(~ones))
             zeros.append(len(low))
             planes.append(packed.tobytes())
             ranks.append(counts.tobytes())
-            now = np.concatenate([low, now[ones]])
+            now = np.concatenate([low, now.take(np.flatnonzero(ones))])
         return cls(len(ids), zeros, planes, ranks)
 
     def ids(self) -> np.ndarray:
@@ -75,8 +76,8 @@ class WaveletMatrix:
             ones = np.unpackbits(np.frombuffer(self.planes[level], np.uint8), count=self.n,
                                  bitorder="little").view(bool)
             now = np.empty(self.n, kind)
-            now[~ones] = low[:self.zeros[level]]
-            now[ones] = low[self.zeros[level]:] | kind(1 << back)
+            now[np.flatnonzero(~ones)] = low[:self.zeros[level]]
+            now[np.flatnonzero(ones)] = low[self.zeros[level]:] | kind(1 << back)
             low = now
         return low
 
