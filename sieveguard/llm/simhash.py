@@ -50,7 +50,8 @@ LANES = 4
 # Of 256 bits: sets of equal size that share 0.8 of their union (cosine 0.89) differ in 39 of
 # them on average, 6 more or less; those that share 0.6 in 59.
 WIDE_RADIUS = 46
-RECALL = 0.99             # of pairs at the radius, among wide fingerprints
+SOUGHT = 39 / 256         # share of differing bits for which wide fingerprints reach RECALL
+RECALL = 0.99
 
 
 def remixed(hashes: np.ndarray, lane: int) -> np.ndarray:
@@ -217,23 +218,26 @@ def link_edges(distinct: DataFrame, keys: Column, radius: int = RADIUS, lanes: i
             lambda p: F.struct(e["key"].alias("d"), p.alias("p")))))).otherwise(F.array(own))
     pairs = met.select("id", *names, "d", "key", own.alias("own"), F.explode(other).alias("other"))
     left, right = F.least("own", "other"), F.greatest("own", "other")
-    dealt = pairs.select(
-        F.xxhash64("key", left, right).alias("unit"), "key",
-        F.when(F.col("own") == left, 0).otherwise(1).alias("side"), "d", "id", *names)
-    ordered = dealt.repartition("unit").sortWithinPartitions(
-        "unit", "key", "side", "d", "id").select("unit", "key", "side", "id", *names)
+    # Two units of one hash are compared as one, which finds no false links.
+    dealt = pairs.select(F.xxhash64("key", left, right).alias("unit"), F.when(
+        F.col("own") == left, 0).otherwise(1).cast("byte").alias("side"), "id", *names)
+    ordered = dealt.repartition("unit").sortWithinPartitions("unit", "side", "id")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
         def close(block: np.ndarray) -> pa.RecordBatch:
-            """Links of all complete units in rows of (unit, key, side, id, fp, ...)."""
-            new = np.any(block[1:, :2] != block[:-1, :2], axis=1)
+            """Links of all complete units in rows of (unit, side, id, fp, ...).
+
+            A row linked in its unit gets an edge to the smallest id it reaches there, so that
+            the same edges come out of many units and are soon merged.
+            """
+            new = block[1:, 0] != block[:-1, 0]
             group = np.concatenate([[0], np.cumsum(new)])
             size = np.bincount(group)
-            fps = np.ascontiguousarray(block[:, 4:]).view(np.uint64)
+            fps = np.ascontiguousarray(block[:, 3:]).view(np.uint64)
             small = size[group] <= SMALL
-            links: list[tuple] = []
+            links: list[np.ndarray] = [np.zeros((0, 2), np.int64)]
             for apart in range(1, SMALL):
                 i = np.flatnonzero(small[:-apart] & (group[apart:] == group[:-apart]))
                 if not len(i):
@@ -244,18 +248,29 @@ def link_edges(distinct: DataFrame, keys: Column, radius: int = RADIUS, lanes: i
                     if k >= 3 and len(i) * 4 < len(block):
                         break
                 i = i[bit_distance(fps[i], fps[i + apart]) <= radius]
-                links += zip(i.tolist(), (i + apart).tolist())
+                links.append(np.stack([i, i + apart], axis=1))
             starts = np.concatenate([[0], np.flatnonzero(new) + 1])
             for g in np.flatnonzero(size > SMALL):
                 s, e = int(starts[g]), int(starts[g] + size[g])
-                side = block[s:e, 2]
                 tables = np.stack([bit_distance(fps[s:e], r) for r in refs], axis=1)
-                links += [(s + i, s + j) for i, j in crowd_links(
-                    fps[s:e], int((side == 0).sum()) if side[-1] else 0, tables, radius)]
-            at = np.array(links, np.int64).reshape(-1, 2)
-            ends = np.unique(np.sort(block[:, 3][at], axis=1), axis=0)
+                side = block[s:e, 1]
+                order = np.lexsort((tables[:, 0], side))
+                found = crowd_links(fps[s:e][order], int((side == 0).sum()) if side[-1] else 0,
+                                    tables[order], radius)
+                links.append(s + order[np.array(found, np.int64).reshape(-1, 2)])
+            i, j = np.concatenate(links).T
+            ids = block[:, 2]
+            least = ids.copy()
+            while True:
+                before = least.copy()
+                np.minimum.at(least, i, least[j])
+                np.minimum.at(least, j, least[i])
+                if (before == least).all():
+                    break
+            some = least != ids
+            edges = np.unique(np.stack([ids[some], least[some]], axis=1), axis=0)
             return pa.RecordBatch.from_arrays(
-                [pa.array(ends[:, 1].copy()), pa.array(ends[:, 0].copy())], names=["a", "b"])
+                [pa.array(edges[:, 0].copy()), pa.array(edges[:, 1].copy())], names=["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -263,7 +278,7 @@ def link_edges(distinct: DataFrame, keys: Column, radius: int = RADIUS, lanes: i
             held.append(np.column_stack([c.to_numpy().astype(np.int64)
                                          for c in batch.columns]))
             last = held[-1]
-            cut = np.flatnonzero(np.any(last[:, :2] != last[-1, :2], axis=1))
+            cut = np.flatnonzero(last[:, 0] != last[-1, 0])
             if len(cut):
                 whole = np.concatenate(held[:-1] + [last[:cut[-1] + 1]])
                 held = [last[cut[-1] + 1:]]
@@ -285,7 +300,7 @@ def classes(marked: DataFrame, radius: int = RADIUS, lanes: int = 1, pieces: int
     distinct = written(marked.groupBy(*names).agg(F.min("doc_id").alias("least"))
                        .withColumn("id", number), "prints")
     keys = piece_keys(pieces, radius) if lanes == 1 else sampled_keys(
-        distinct.count(), lanes, radius / (64 * lanes), recall)
+        distinct.count(), lanes, SOUGHT, recall)
     edges = link_edges(distinct.select("id", *names), keys, radius, lanes)
     roots = written(components(edges), "roots")
     rooted = distinct.join(roots, distinct["id"] == roots["node"], "left").select(
