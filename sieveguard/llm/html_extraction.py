@@ -43,6 +43,9 @@ BLOCK = frozenset("html body address article aside blockquote center dd details
 # A start tag of the first kind ends an open element of the second.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"},
         "td": {"td", "th"}, "th": {"td", "th"}}
+# Tags of lists and tables, as usual in content as around it: only what they stand in, their
+# names and their text tell.
+NEUTRAL = frozenset("ul ol li dl dt dd table tbody thead tr td th".split())
 SCOPES = frozenset("table ul ol dl body html article section div td th".split())
 
 MARKUP = re.compile(
@@ -221,7 +224,8 @@ def train(pages: list[str]) -> Model:
              for i, v in enumerate(votes)]
         for i, shape in enumerate(shapes(tree)):
             totals[y[i]] += 1
-            tags[y[i]][tree.tag[i]] += 1
+            if tree.tag[i] not in NEUTRAL:
+                tags[y[i]][tree.tag[i]] += 1
             # Names speak for the element that bears them where the page's label changes.
             names[y[i]].update(tree.names[i])
             if tree.tag[i] == "#text":
