@@ -15,8 +15,9 @@ def _col(c: Column | str) -> Column:
 
 
 def sigmoid(x: Column, clip: float = S.CLIP) -> Column:
+    """Logistic function of x within ±clip; null for null and NaN."""
     bounded = F.greatest(F.lit(-clip), F.least(F.lit(clip), x))
-    return F.lit(1.0) / (F.lit(1.0) + F.exp(-bounded))
+    return F.when(x.isNotNull() & ~F.isnan(x), F.lit(1.0) / (F.lit(1.0) + F.exp(-bounded)))
 
 
 def calibrated_prob(score: Column | str, coef: float, intercept: float,
@@ -60,11 +61,14 @@ HEURISTIC_CLIP = 15.0
 
 
 def heuristic_prob(weights: dict[str, float] | None = None) -> Column:
-    """Rule-based probability from both priors, the z-scores and the rates of change."""
+    """Rule-based probability from both priors, the z-scores and the rates of change.
+
+    Missing features count as 0, as in the detectors; a missing prior gives null.
+    """
     w = {**HEURISTIC_WEIGHTS, **(weights or {})}
     a, b = F.col("p_if"), F.col("p_ae")
-    shock = F.abs("z_temp_15m") + F.abs("z_volt_15m")
-    rate = F.abs("temp_slope_15m") + F.abs("delta_temp_3m")
+    shock = F.abs(clean("z_temp_15m")) + F.abs(clean("z_volt_15m"))
+    rate = F.abs(clean("temp_slope_15m")) + F.abs(clean("delta_temp_3m"))
     logit = (w["p_if"] * a + w["p_ae"] * b + w["shock"] * shock + w["rate"] * rate
              + w["disagree"] * F.abs(a - b) + w["offset"])
     return sigmoid(logit, HEURISTIC_CLIP)

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sieveguard import schema as S
 from sieveguard.operators.ordering import sort_columns
@@ -13,12 +14,14 @@ from sieveguard.operators.ordering import sort_columns
 
 def latest_by_key(df: DataFrame, key: Sequence[str] = S.EVENT_KEY,
                   order: Sequence[str] = ("-processed_at_epoch_ms",)) -> DataFrame:
-    """One row per key, the first in ``order``.
+    """One row per key, the first in ``order``; a hash of the whole row decides ties, so that a
+    repeated task picks the same row.
 
     Spark limits each key to one row before the shuffle (a partial group limit), so a
     key with very many copies costs one row per input task.
     """
-    w = Window.partitionBy(*key).orderBy(*sort_columns(order))
+    whole = [f.name for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
+    w = Window.partitionBy(*key).orderBy(*sort_columns(order), F.xxhash64(*whole))
     return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 

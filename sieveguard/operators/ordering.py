@@ -58,8 +58,14 @@ def before_cut(order: Sequence[str], cut: dict) -> Column:
     test = F.lit(False)
     for name, down in reversed([split_order(o) for o in order]):
         col, value = F.col(name), F.lit(cut[name])
-        ahead = col > value if down else col < value
-        test = ahead | ((col == value) & test)
+        # Nulls come first in ascending and last in descending order, as Spark sorts them.
+        if cut[name] is None:
+            ahead = col.isNotNull() if down else F.lit(False)
+        elif down:
+            ahead = F.coalesce(col > value, F.lit(False))
+        else:
+            ahead = F.coalesce(col < value, F.lit(True))
+        test = ahead | (col.eqNullSafe(value) & test)
     return test
 
 
@@ -68,7 +74,7 @@ def order_cuts(df: DataFrame, order: Sequence[str], ranks: Sequence[int],
     """For each rank k, the order values of the row with exactly k rows before it.
 
     ``None`` stands for a rank past the end.  The order must be total (end it with a
-    unique column) and its columns free of nulls.  Each pass reads the order columns
+    unique column).  Nulls and NaN rank as Spark sorts them.  Each pass reads the order columns
     only: a quantile sketch brackets every rank, one aggregation counts exactly, and
     the bracket shrinks by about the sketch accuracy per pass.  Rows that tie on the
     first column are searched on the next one; a tie on a text column is resolved by
@@ -89,8 +95,38 @@ def order_cuts(df: DataFrame, order: Sequence[str], ranks: Sequence[int],
 Bracket = tuple[Column, dict[int, int]]
 
 
+def _ends_apart(df: DataFrame, order: list[str], test: Column, wanted: dict[int, int],
+                slice_rows: int) -> tuple[dict[int, dict], list[Bracket]] | None:
+    """Search among nulls, NaN and plain values of the first column apart, or None if all are
+    plain."""
+    name, down = split_order(order[0])
+    null, nan = F.col(name).isNull(), F.lit(False)
+    if isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)):
+        nan = F.coalesce(F.isnan(name), F.lit(False))
+    sizes = df.where(test).agg(F.count_if(null), F.count_if(nan), F.count("*")).first()
+    if not sizes[0] and not sizes[1]:
+        return None
+    parts = [(null, sizes[0]), (~null & ~nan, sizes[2] - sizes[0] - sizes[1]), (nan, sizes[1])]
+    found, small, ahead = {}, [], 0
+    for place, (own, size) in enumerate(reversed(parts) if down else parts):
+        local = {i: k - ahead for i, k in wanted.items() if ahead <= k < ahead + size}
+        ahead += size
+        if not local:
+            continue
+        if place == 1:
+            more, rest = _narrow(df, order, test & own, local, size, slice_rows, plain=True)
+        elif len(order) == 1:
+            one = df.where(test & own).first().asDict()
+            more, rest = {i: one for i in local}, []
+        else:
+            more, rest = _narrow(df, order[1:], test & own, local, size, slice_rows)
+        found.update(more)
+        small += rest
+    return found, small
+
+
 def _narrow(df: DataFrame, order: list[str], test: Column, wanted: dict[int, int], total: int,
-            slice_rows: int) -> tuple[dict[int, dict], list[Bracket]]:
+            slice_rows: int, plain: bool = False) -> tuple[dict[int, dict], list[Bracket]]:
     """Shrink the rows under ``test`` to brackets of at most ``slice_rows`` rows."""
     if total <= slice_rows:
         return {}, [(test, wanted)]
@@ -102,6 +138,8 @@ def _narrow(df: DataFrame, order: list[str], test: Column, wanted: dict[int, int
             rows, order).where(F.col("pos").isin(sorted(set(wanted.values())))).collect()}
         return {i: {n: hits[k][n] for n in df.columns} for i, k in wanted.items()}, []
 
+    if not plain and (apart := _ends_apart(df, order, test, wanted, slice_rows)) is not None:
+        return apart
     key = -number if down else number
     margin = 2.0 / SKETCH_ACCURACY
     probs = sorted({min(1.0, max(0.0, k / total + d))
@@ -134,7 +172,8 @@ def _narrow(df: DataFrame, order: list[str], test: Column, wanted: dict[int, int
         else:
             inside = test & (key > F.lit(edges[j])) & (key < F.lit(edges[j + 1]))
             local = {i: k - upto[j] for i, k in part.items()}
-            more, rest = _narrow(df, order, inside, local, below[j + 1] - upto[j], slice_rows)
+            more, rest = _narrow(df, order, inside, local, below[j + 1] - upto[j], slice_rows,
+                                 plain=True)
         found.update(more)
         small += rest
     return found, small
@@ -158,7 +197,7 @@ def _pick(df: DataFrame, order: Sequence[str], brackets: list[Bracket]) -> dict[
 
 
 def take_first(df: DataFrame, order: Sequence[str], n: int,
-               sort_limit: int = 10_000) -> DataFrame:
+               sort_limit: int = 10_000, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """The first n rows in order.
 
     Small n is a distributed top-n.  Large n would make that operator hold n rows in
@@ -166,7 +205,7 @@ def take_first(df: DataFrame, order: Sequence[str], n: int,
     """
     if n <= sort_limit:
         return df.orderBy(*sort_columns(order)).limit(n)
-    cut = order_cuts(df, order, [n])[0]
+    cut = order_cuts(df, order, [n], slice_rows)[0]
     return df if cut is None else df.where(before_cut(order, cut))
 
 

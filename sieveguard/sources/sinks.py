@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sieveguard import schema as S
@@ -69,21 +69,39 @@ def event_rows(df: DataFrame) -> DataFrame:
     return shown.select(*S.EVENT_COLUMNS)
 
 
-def append_events(batch: DataFrame, batch_id: int, path: str) -> None:
-    """Write one micro-batch; a repeated batch replaces its own folder."""
-    batch.write.mode("overwrite").partitionBy("run_id", "system_name").parquet(
-        f"{path}/batch={batch_id}")
+def append_events(batch: DataFrame, batch_id: int, path: str, writer: str = "batch") -> None:
+    """Add one micro-batch of one writer to the decision table.
+
+    Run and system are the leading folders, then writer and batch. A batch that the same
+    writer repeats replaces its own folders; other runs, modes and writers are not touched.
+    """
+    marked = batch.withColumns({"written_at_epoch_ms": F.unix_millis(F.current_timestamp()),
+                                "writer": F.lit(writer), "batch": F.lit(batch_id)})
+    (marked.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("run_id", "system_name", "writer", "batch").parquet(path))
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
-    """All written batches, with the batch number as insertion order."""
-    return spark.read.option("basePath", path).parquet(f"{path}/batch=*")
+    """All written rows, with time of writing, writer and batch number."""
+    rows = spark.read.parquet(path)
+    # Folder names are read as numbers where they look like some.
+    return rows.withColumns({c: F.col(c).cast("string") for c in
+                             ("run_id", "system_name", "writer")})
 
 
 def current_events(spark: SparkSession, path: str, key: Sequence[str] = S.EVENT_KEY) -> DataFrame:
-    """The decision table as readers see it: the last inserted row per key."""
-    return latest_by_key(read_events(spark, path), key,
-                         ("-batch", "-processed_at_epoch_ms"))
+    """The decision table as readers see it: the last inserted row per key.
+
+    Writers are ordered by time of writing, batches of one writer by number: a batch written
+    again counts as no later than the batches that follow it.
+    """
+    rows = read_events(spark, path)
+    later = Window.partitionBy("writer").orderBy(F.desc("batch")).rowsBetween(
+        Window.unboundedPreceding, 0)
+    versions = rows.groupBy("writer", "batch").agg(
+        F.max("written_at_epoch_ms").alias("_at")).withColumn("_at", F.min("_at").over(later))
+    return latest_by_key(rows.join(versions, ["writer", "batch"]), key, (
+        "-_at", "-batch", "-processed_at_epoch_ms", "writer")).drop("_at")
 
 
 def capped_alerts(df: DataFrame, cap: int = ALERT_CAP) -> DataFrame:

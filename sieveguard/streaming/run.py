@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
@@ -12,23 +13,24 @@ from sieveguard.functions.columns import alerts, uncertain_branch
 from sieveguard.sources.sinks import append_events, event_rows
 
 
-def fan_out(path: str, branches: Callable[[DataFrame, int], None] | None = None
-            ) -> Callable[[DataFrame, int], None]:
+def fan_out(path: str, branches: Callable[[DataFrame, int], None] | None = None,
+            writer: str = "stream") -> Callable[[DataFrame, int], None]:
     """Micro-batch writer: ``events``, ``alerts`` and ``uncertain`` tables under ``path``.
 
     The batch is kept while its branches are written, so it is scored once.  Each branch
-    writes to a folder of the batch number, so a retried batch replaces itself.
+    writes to a folder of the writer and batch number, so a retried batch replaces itself and
+    several runs and modes share one table.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
         try:
-            append_events(event_rows(batch), batch_id, f"{path}/events")
+            append_events(event_rows(batch), batch_id, f"{path}/events", writer)
             found = alerts(batch)
             found.select("run_id", "event_id", "processed_at_epoch_ms", "is_anomaly",
                          F.to_json(F.struct(*batch.columns)).alias("alert")).write.mode(
-                "overwrite").parquet(f"{path}/alerts/batch={batch_id}")
+                "overwrite").parquet(f"{path}/alerts/writer={writer}/batch={batch_id}")
             uncertain_branch(batch).write.mode("overwrite").parquet(
-                f"{path}/uncertain/batch={batch_id}")
+                f"{path}/uncertain/writer={writer}/batch={batch_id}")
             if branches is not None:
                 branches(batch, batch_id)
         finally:
@@ -41,11 +43,13 @@ def run_stream(records: DataFrame, path: str, checkpoint: str, trigger: dict | N
     """Start writing a stream of decision records (see ``plans.flow.decide_records``).
 
     ``trigger`` defaults to one second, the flush interval of the decision table.
-    Restarting with the same checkpoint continues where the last run stopped.
+    Restarting with the same checkpoint continues where the last run stopped; the checkpoint's
+    path names the writer.
     """
+    writer = hashlib.sha256(checkpoint.rstrip("/").encode()).hexdigest()[:16]
     return (records.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"processingTime": "1 second"}))
-            .foreachBatch(fan_out(path, branches)).start())
+            .foreachBatch(fan_out(path, branches, writer)).start())
 
 
 def alert_console(records: DataFrame, checkpoint: str, sink: str = "console",

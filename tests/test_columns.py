@@ -191,3 +191,14 @@ def test_report_text(spark):
         " 3m-shock=+5.20C, 15m-slope=+0.150C/step). Voltage=2.15V (z-score=-3.20,"
         " 3m-shock=-0.45V). Humidity=45.0%, Light=120.0 Lux. Fast Path Prior: IF anomaly"
         " probability=0.620, AE anomaly probability=0.580.")
+
+
+def test_missing_values_are_no_anomalies(spark):
+    rows = [(0.4, 0.6, None, float("nan"), None, None), (0.4, 0.6, 0.0, 0.0, 0.0, 0.0),
+            (None, 0.6, 0.0, 0.0, 0.0, 0.0), (float("nan"), 0.6, 0.0, 0.0, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "p_if double, p_ae double, z_temp_15m double,"
+                               " z_volt_15m double, temp_slope_15m double, delta_temp_3m double")
+    got = [tuple(r) for r in df.select(C.heuristic_prob(), C.calibrated_prob("p_if", 2.0, 0.0))
+           .collect()]
+    assert got[0] == got[1] and got[0][0] < 0.5
+    assert got[2] == got[3] == (None, None)

@@ -103,3 +103,18 @@ def test_blocks_split_equal_keys(spark):
         assert pos.where("pos <> id").count() == 0
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+@pytest.mark.parametrize("order", [("v", "i"), ("-v", "i"), ("v", "-i"), ("-v", "-i")])
+def test_nulls_and_nan_rank_as_sorted(spark, order):
+    values = [None if i % 10 == 0 else float("nan") if i % 7 == 0 else float(i % 50)
+              for i in range(400)]
+    df = spark.createDataFrame(list(enumerate(values)), "i long, v double")
+    want = [r["i"] for r in df.orderBy(*O.sort_columns(order)).collect()]
+    ranks = [0, 39, 40, 41, 200, 341, 359, 360, 399]
+    for slice_rows in (20, 10_000):
+        cuts = O.order_cuts(df, order, ranks, slice_rows)
+        assert [c["i"] for c in cuts] == [want[k] for k in ranks]
+        for n in (30, 45, 390):
+            got = O.take_first(df, order, n, sort_limit=5, slice_rows=slice_rows)
+            assert sorted(r["i"] for r in got.collect()) == sorted(want[:n])

@@ -77,13 +77,16 @@ def test_fan_out_is_idempotent_and_equals_batch(spark, tmp_path):
         run_stream(records(feats), str(tmp_path / "out"), str(tmp_path / state),
                    DRAIN).awaitTermination()
     events = read_events(spark, f"{tmp_path}/out/events")
-    assert events.count() == 240  # the same batch number replaced its folder
+    assert events.count() == 480  # two writers; neither replaces the other's rows
+    again = run_stream(records(feats), str(tmp_path / "out"), str(tmp_path / "state-2"), DRAIN)
+    again.awaitTermination()
+    assert read_events(spark, f"{tmp_path}/out/events").count() == 480
     want = records(dual_window_features(df, order=ORDER))
-    assert (events.where("is_anomaly = 1").count()
+    assert (events.where("is_anomaly = 1").select("event_id").distinct().count()
             == want.where("is_anomaly = 1").count()
-            == spark.read.parquet(f"{tmp_path}/out/alerts").count())
+            == spark.read.parquet(f"{tmp_path}/out/alerts").select("event_id").distinct().count())
     assert (want.where("uncertain").count()
-            == spark.read.parquet(f"{tmp_path}/out/uncertain").count())
+            == spark.read.parquet(f"{tmp_path}/out/uncertain").select("event_id").distinct().count())
     current = {r["event_id"]: r["p_final"] for r in
                current_events(spark, f"{tmp_path}/out/events").collect()}
     assert current == pytest.approx({r["event_id"]: r["p_final"] for r in want.collect()})

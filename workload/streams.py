@@ -71,7 +71,7 @@ def _(spark, sf):
         F.lit("events").alias("branch"), "event_id")]
     for name in ("alerts", "uncertain"):
         parts.append(spark.read.option("basePath", f"{path}/{name}").parquet(
-            f"{path}/{name}/batch=*").select(F.lit(name).alias("branch"), "event_id"))
+            f"{path}/{name}/writer=*/batch=*").select(F.lit(name).alias("branch"), "event_id"))
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
