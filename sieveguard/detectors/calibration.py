@@ -82,5 +82,8 @@ def params_table(spark: SparkSession, path: str, model: str) -> DataFrame:
 
 
 def params_join(long: DataFrame, params: DataFrame) -> DataFrame:
-    """Attach per-feature parameters to (feature, value) rows; one row per feature."""
-    return long.join(F.broadcast(params), "feature")
+    """Attach per-feature parameters to (feature, value) rows; one row per feature.
+
+    No hint: the planner broadcasts the parameters by their size.
+    """
+    return long.join(params, "feature")

@@ -30,30 +30,35 @@ def mean_path(n: int) -> float:
     return 2.0 * (log(n - 1.0) + 0.5772156649015329) - 2.0 * (n - 1.0) / n
 
 
-def draw_samples(df: DataFrame, trees: int, samples: int, seed: int, unique: str,
-                 total: int) -> DataFrame:
-    """``samples`` distinct rows for each tree, repeatable for a seed.
-
-    A row hash first thins the table to little more than the rows needed, so only a
-    bounded number of rows is ever ranked.  ``total`` counts distinct rows; repeated
-    deliveries of a row collapse after thinning, before they meet in one task.  Large
-    tables give disjoint samples; small ones draw per tree.
+def first_share(samples: int, total: int) -> float:
+    """Share of rows to rank per tree: a third more than asked for, and a hundred."""
+    return (1.3 * samples + 100.0) / max(total, 1)
+
+
+def draw_samples(df: DataFrame, trees: int, samples: int, seed: int, unique: str) -> DataFrame:
+    """For each tree the ``samples`` distinct rows with the smallest draws, a hash of row, seed
+    and tree.
+
+    Only draws below a bound are ranked, a few more rows per tree than asked for; where a tree
+    falls short, the bound is raised, so that it never changes which rows are taken. Repeated
+    deliveries of a row count once.
     """
-    need = trees * samples
-    if total > 4 * need:
-        draw = F.pmod(F.xxhash64(F.col(unique), F.lit(seed)), F.lit(HASH_SPAN))
-        share = 1.15 * need / total + 1000.0 / total
-        thin = df.withColumn("_draw", draw).where(F.col("_draw") < int(share * HASH_SPAN))
-        thin = thin.dropDuplicates([unique])
-        rank = F.row_number().over(Window.orderBy("_draw", unique))
-        return thin.withColumn("_rank", rank).where(F.col("_rank") <= need).withColumn(
-            "tree", ((F.col("_rank") - 1) % trees).cast("int")).drop("_rank")
-    each = df.dropDuplicates([unique]).withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    draw = F.pmod(F.xxhash64(F.col(unique), F.lit(seed), F.col("tree")), F.lit(HASH_SPAN))
-    share = min(1.0, (1.3 * samples + 100.0) / max(total, 1))
-    thin = each.withColumn("_draw", draw).where(F.col("_draw") <= int(share * HASH_SPAN))
+    total = df.agg(F.approx_count_distinct(unique, 0.01)).first()[0]
+    share = first_share(samples, total)
+    draw = lambda tree: F.pmod(F.xxhash64(F.col(unique), F.lit(seed), tree), F.lit(HASH_SPAN))
+    numbers = F.sequence(F.lit(0), F.lit(trees - 1))
     rank = F.row_number().over(Window.partitionBy("tree").orderBy("_draw", unique))
-    return thin.withColumn("_rank", rank).where(F.col("_rank") <= samples).drop("_rank")
+    while True:
+        bound = F.lit(int(share * HASH_SPAN))
+        hits = df.withColumn("tree", F.explode(F.filter(numbers, lambda t: draw(t) < bound)))
+        # Repeats of a row have its draws: they meet here, in few rows.
+        single = hits.dropDuplicates([unique, "tree"]).withColumn("_draw", draw(F.col("tree")))
+        picked = written(single.withColumn("_rank", rank).where(F.col("_rank") <= samples)
+                         .drop("_rank"), "forest_rows")
+        full = picked.groupBy("tree").count().where(F.col("count") >= samples).count()
+        if full == trees or share >= 1.0:
+            return picked
+        share *= 4
 
 
 def grow_tree(x: np.ndarray, tree: int, seed: int, height: int) -> pd.DataFrame:
@@ -95,15 +100,14 @@ def fit_forest(df: DataFrame, trees: int = 100, samples: int = 512,
     decision score below 0 marks about that share.
     """
     base = clean_features(df.select(unique, *S.FEATURES))
-    # A sketch is enough to thin a large table; a small one is counted.
-    total = base.agg(F.approx_count_distinct(unique, 0.01)).first()[0]
-    if total < 5 * trees * samples:
-        total = base.select(unique).distinct().count()
-    size = min(samples, total)
+    if trees * 2 * samples > MAX_NODES:
+        raise ValueError(f"trees x samples allows more than {MAX_NODES} nodes")
+    picked = draw_samples(base, trees, samples, seed, unique)
+    # All trees hold ``samples`` rows, or the whole of a smaller table.
+    size = picked.where("tree = 0").count()
     if size < 2:
         raise ValueError("a forest needs at least two rows")
     height = ceil(log2(size))
-    picked = draw_samples(base, trees, samples, seed, unique, total)
     features = list(S.FEATURES)
 
     def grow(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:

@@ -3,36 +3,23 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sieveguard import schema as S
-from sieveguard.detectors.trees import batches
 from sieveguard.functions.columns import clean, clean_features, standardize
 from sieveguard.operators.aggregates import scaler_stats
-from sieveguard.scratch import written
-
-# Layer widths and training settings of the small network.
-LAYERS = (10, 6, 3, 6, 10)
-LEARNING_RATE = 0.005
-BATCH_ROWS = 256
-EPOCHS = 10
 
 
 @dataclass
 class ReconstructionModel:
-    """Scaler plus either principal components (k x 10) or network weights."""
-    kind: str
+    """Scaler and principal components (k x 10)."""
     means: list[float]
     stds: list[float]
-    components: list[list[float]] | None = None
-    weights: list[float] | None = None
+    components: list[list[float]]
 
     def to_json(self) -> str:
         return json.dumps(asdict(self))
@@ -42,100 +29,16 @@ class ReconstructionModel:
         return ReconstructionModel(**json.loads(text))
 
 
-def fit_reconstruction(df: DataFrame, k: int = 3, kind: str = "pca",
-                       seed: int = 42, epochs: int = EPOCHS) -> ReconstructionModel:
-    """Fit on clean rows.  ``pca`` is one distributed pass; ``mlp`` trains the small
-    network with an averaged local epoch per partition."""
+def fit_reconstruction(df: DataFrame, k: int = 3) -> ReconstructionModel:
+    """Fit on clean rows: one pass for the scaler, one for the components."""
     base = clean_features(df.select(*S.FEATURES))
     stats = {r["feature"]: r for r in scaler_stats(base).collect()}
     means = [float(stats[c]["mean"]) for c in S.FEATURES]
     stds = [float(stats[c]["std"]) for c in S.FEATURES]
     scaled = standardize(base, means, stds).select(*[f"std_{c}" for c in S.FEATURES])
-    if kind == "pca":
-        vectors = VectorAssembler(inputCols=scaled.columns, outputCol="x").transform(scaled)
-        pc = PCA(k=k, inputCol="x", outputCol="y").fit(vectors).pc.toArray()
-        return ReconstructionModel("pca", means, stds, components=pc.T.tolist())
-    if kind != "mlp":
-        raise ValueError("kind must be pca or mlp")
-    return ReconstructionModel("mlp", means, stds, weights=_train(scaled, seed, epochs))
-
-
-def _initial(seed: int) -> np.ndarray:
-    rng = np.random.default_rng(seed)
-    parts = []
-    for a, b in zip(LAYERS, LAYERS[1:]):
-        bound = 1.0 / np.sqrt(a)
-        parts += [rng.uniform(-bound, bound, a * b), rng.uniform(-bound, bound, b)]
-    return np.concatenate(parts)
-
-
-def _layers(flat: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    out, at = [], 0
-    for a, b in zip(LAYERS, LAYERS[1:]):
-        out.append((flat[at:at + a * b].reshape(a, b), flat[at + a * b:at + a * b + b]))
-        at += a * b + b
-    return out
-
-
-# A rectifier follows these layers.
-_RECTIFIED = (0, 1, 2)
-
-
-def restore(flat: np.ndarray, x: np.ndarray) -> np.ndarray:
-    for i, (w, b) in enumerate(_layers(flat)):
-        x = x @ w + b
-        if i in _RECTIFIED:
-            x = np.maximum(x, 0.0)
-    return x
-
-
-def _gradient(flat: np.ndarray, x: np.ndarray) -> np.ndarray:
-    layers, seen = _layers(flat), [x]
-    for i, (w, b) in enumerate(layers):
-        z = seen[-1] @ w + b
-        seen.append(np.maximum(z, 0.0) if i in _RECTIFIED else z)
-    back = 2.0 * (seen[-1] - x) / x.size
-    parts: list[np.ndarray] = []
-    for i in reversed(range(len(layers))):
-        if i in _RECTIFIED:
-            back = back * (seen[i + 1] > 0)
-        parts[:0] = [(seen[i].T @ back).ravel(), back.sum(axis=0)]
-        back = back @ layers[i][0].T
-    return np.concatenate(parts)
-
-
-def _local_epoch(parts: Iterator[pd.DataFrame], start: np.ndarray, seed: int
-                 ) -> Iterator[pd.DataFrame]:
-    """Adam over the batches of one partition; emits its weights and row count."""
-    w, m, v = start.copy(), np.zeros_like(start), np.zeros_like(start)
-    rng, step, rows = np.random.default_rng(seed), 0, 0
-    for part in parts:
-        x = part.to_numpy(dtype=np.float64)
-        x = x[rng.permutation(len(x))]
-        rows += len(x)
-        for at in range(0, len(x), BATCH_ROWS):
-            g = _gradient(w, x[at:at + BATCH_ROWS])
-            step += 1
-            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-            w = w - LEARNING_RATE * (m / (1 - 0.9 ** step)) / (
-                np.sqrt(v / (1 - 0.999 ** step)) + 1e-8)
-    if rows:
-        yield pd.DataFrame({"i": np.arange(len(w)), "w": w, "rows": rows})
-
-
-def _train(scaled: DataFrame, seed: int, epochs: int) -> list[float]:
-    table = written(scaled, "scaled")
-    flat = _initial(seed)
-    for epoch in range(epochs):
-        def run(parts, start=flat, number=seed + epoch):
-            return _local_epoch(parts, start, number)
-        local = table.mapInPandas(run, "i int, w double, rows long")
-        # One row per weight comes back, however many partitions trained.
-        mean = local.groupBy("i").agg(
-            (F.sum(F.col("w") * F.col("rows")) / F.sum("rows")).alias("w"))
-        for row in mean.collect():
-            flat[row["i"]] = row["w"]
-    return flat.tolist()
+    vectors = VectorAssembler(inputCols=scaled.columns, outputCol="x").transform(scaled)
+    pc = PCA(k=k, inputCol="x", outputCol="y").fit(vectors).pc.toArray()
+    return ReconstructionModel(means, stds, pc.T.tolist())
 
 
 def score_reconstruction(df: DataFrame, model: ReconstructionModel,
@@ -145,23 +48,12 @@ def score_reconstruction(df: DataFrame, model: ReconstructionModel,
     Components are orthonormal, so their error is a sum of squares less the squares of
     the code: plain column arithmetic.
     """
-    if model.kind == "pca":
-        z = [(clean(c) - F.lit(m)) / F.lit(s)
-             for c, m, s in zip(S.FEATURES, model.means, model.stds)]
-        whole = sum((x * x for x in z[1:]), z[0] * z[0])
-        kept = F.lit(0.0)
-        for row in model.components:
-            dot = sum((F.lit(float(w)) * x for w, x in zip(row[1:], z[1:])),
-                      F.lit(float(row[0])) * z[0])
-            kept = kept + dot * dot
-        return df.withColumn(name, F.greatest(F.lit(0.0), whole - kept) / float(len(z)))
-    flat, means, stds = (np.asarray(v) for v in (model.weights, model.means, model.stds))
-
-    @F.pandas_udf("double")
-    def error(parts: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
-        def score(x: np.ndarray) -> np.ndarray:
-            scaled = (x - means) / stds
-            return ((scaled - restore(flat, scaled)) ** 2).mean(axis=1)
-        return batches(parts, score)
-
-    return df.withColumn(name, error(F.struct(*S.FEATURES)))
+    z = [(clean(c) - F.lit(m)) / F.lit(s)
+         for c, m, s in zip(S.FEATURES, model.means, model.stds)]
+    whole = sum((x * x for x in z[1:]), z[0] * z[0])
+    kept = F.lit(0.0)
+    for row in model.components:
+        dot = sum((F.lit(float(w)) * x for w, x in zip(row[1:], z[1:])),
+                  F.lit(float(row[0])) * z[0])
+        kept = kept + dot * dot
+    return df.withColumn(name, F.greatest(F.lit(0.0), whole - kept) / float(len(z)))

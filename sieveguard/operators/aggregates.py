@@ -112,12 +112,19 @@ def exact_quantiles(df: DataFrame, col: str, probs: dict[str, float],
          * F.col(f"_part_{n}")).alias(n) for n in probs])
 
 
-def run_status(summary: DataFrame, runs: DataFrame) -> DataFrame:
+def run_status(summary: DataFrame, runs: DataFrame,
+               systems: Sequence[str] = (S.MODE_FAST, S.MODE_SELECTIVE)) -> DataFrame:
     """State and expected count of each run and system from the run records.
 
-    ``summary`` comes from :func:`run_summary`.  The external system expects one row per
-    uncertain row of the other systems of its run.
+    ``summary`` comes from :func:`run_summary`.  A registered run has a row for each of
+    ``systems``, with zero counts where it has no rows yet, and for every system with rows.
+    The external system expects one row per uncertain row of the other systems of its run.
     """
+    pairs = runs.select("run_id", F.explode(F.array(*map(F.lit, systems)).cast(
+        "array<string>")).alias("system_name"))
+    summary = summary.join(pairs, ["run_id", "system_name"], "full").select(*[
+        F.coalesce(F.col(f.name), F.lit(0).cast(f.dataType)).alias(f.name)
+        if isinstance(f.dataType, T.LongType) else F.col(f.name) for f in summary.schema.fields])
     external = F.col("system_name") == S.MODE_EXTERNAL
     own = summary.groupBy("run_id").agg(
         F.sum(F.when(~external, F.col("uncertain")).otherwise(0)).alias("_uncertain"))
@@ -141,7 +148,10 @@ def with_idle(status: DataFrame, run_id: str | None, system: str) -> DataFrame:
     one = status.where((F.col("run_id") == F.lit(run_id)) & (F.col("system_name") == system))
     if run_id is not None:
         return one
-    row = {"system_name": system, "status": "idle", "total": 0, "anomalies": 0, "escalated": 0}
+    row = {"system_name": system, "status": "idle", **{
+        f.name: 0 for f in status.schema
+        if isinstance(f.dataType, T.LongType)}}
+    row |= {c: 0.0 for c in ("escalation_rate", "throughput_eps") if c in status.columns}
     open_schema = T.StructType([T.StructField(f.name, f.dataType) for f in status.schema])
     return status.sparkSession.createDataFrame([row], open_schema)
 

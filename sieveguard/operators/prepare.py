@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sieveguard.operators.ordering import (
-    before_cut, order_cuts, ordered_sequence)
+    SLICE_ROWS, before_cut, order_cuts, ordered_sequence)
 from sieveguard.scratch import written
 
 ORDER = ("ts", "event_id")
@@ -33,7 +33,8 @@ def _mixed(position: Column, seed: int, stream: int) -> Column:
 
 
 def chronological_split(df: DataFrame, fractions: Sequence[float] = (0.6, 0.2, 0.2),
-                        order: Sequence[str] = ORDER) -> DataFrame:
+                        order: Sequence[str] = ORDER,
+                        slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Adds ``split`` by position in time: the first share trains, the next validates,
     the rest tests.
 
@@ -42,7 +43,7 @@ def chronological_split(df: DataFrame, fractions: Sequence[float] = (0.6, 0.2, 0
     total = df.count()
     ends = [int(total * fractions[0]), int(total * (fractions[0] + fractions[1]))]
     split = F.lit(SPLITS[2])
-    for name, cut in reversed(list(zip(SPLITS, order_cuts(df, order, ends)))):
+    for name, cut in reversed(list(zip(SPLITS, order_cuts(df, order, ends, slice_rows)))):
         split = F.when(F.lit(True) if cut is None else before_cut(order, cut),
                        name).otherwise(split)
     return df.withColumn("split", split)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from sieveguard import schema as S
 from sieveguard.operators.ordering import (
-    BLOCK, INDEX, before_cut, ordered_blocks, sort_columns, split_order)
+    BLOCK, INDEX, before_cut, order_cuts, ordered_blocks, sort_columns, split_order)
 
 # A sensor with more rows than this is computed in blocks.
 BUSY_ROWS = 5_000_000
@@ -265,11 +265,11 @@ def context_window(df: DataFrame, anomaly_type: str, nth: int, before: int = 50,
     The anchor is one row; both sides are top-n queries bounded by it.
     """
     names = [split_order(o)[0] for o in order]
-    anchor = (df.where(F.col("anomaly_type") == anomaly_type)
-              .orderBy(*sort_columns(order)).offset(nth).limit(1).select(*names).collect())
-    if not anchor:
+    anchor = order_cuts(df.where(F.col("anomaly_type") == anomaly_type).select(*names),
+                        order, [nth])[0]
+    if anchor is None:
         return df.limit(0).withColumn("offset", F.lit(0))
-    ahead = before_cut(order, anchor[0].asDict())
+    ahead = before_cut(order, anchor)
     flipped = [n if down else f"-{n}" for n, down in map(split_order, order)]
     left = df.where(ahead).orderBy(*sort_columns(flipped)).limit(before)
     right = df.where(~ahead).orderBy(*sort_columns(order)).limit(after)

@@ -40,13 +40,13 @@ def prepare_splits(readings: DataFrame, val_seed: int = 42, test_seed: int = 42,
     return out
 
 
-def fit_models(splits: dict[str, DataFrame], kind: str = "pca", unique: str = "event_id",
+def fit_models(splits: dict[str, DataFrame], unique: str = "event_id",
                seed: int = 42) -> Models:
     """Detectors from the training split; calibrations and the stronger model from the
     validation split.  Without both classes among its uncertain rows no stronger model is
     fitted."""
     forest = fit_forest(splits["train"], seed=seed, unique=unique)
-    net = fit_reconstruction(splits["train"], kind=kind, seed=seed)
+    net = fit_reconstruction(splits["train"])
     raw = score_reconstruction(score_forest(splits["val"], forest), net)
     raw = written(raw.withColumn("_negated", -F.col("if_score")), "calibrate")
     models = Models(forest, fit_platt(raw, "_negated"), net,

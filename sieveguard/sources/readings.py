@@ -9,10 +9,12 @@ from pyspark.sql import types as T
 from sieveguard import schema as S
 
 CORRUPT = "_corrupt"
+# Rows of a topic and files of a folder that one micro-batch takes by default.
+BATCH_OFFSETS, BATCH_FILES = 1_000_000, 64
 
 
 def parse_readings(messages: DataFrame, mode: str = "failfast", value: str = "value") -> DataFrame:
-    """JSON messages to readings (batch or stream).
+    """JSON messages to readings (batch or stream), with their time in ``ts``.
 
     ``failfast`` stops on malformed JSON and on unknown fields; ``permissive`` keeps the
     row, with the raw message in ``_corrupt``.
@@ -50,30 +52,47 @@ def _quarantine_unknown(messages: DataFrame, text: Column, parsed: Column) -> Da
 
 def _with_zero_defaults(df: DataFrame) -> DataFrame:
     """Absent numbers of a message: identifiers become 0, readings stay missing."""
-    return df.withColumns({c: F.coalesce(F.col(c), F.lit(0).cast(df.schema[c].dataType))
-                           for c in ("epoch", "moteid", "sent_at_epoch_ms")})
+    return with_time(df.withColumns({c: F.coalesce(F.col(c), F.lit(0).cast(df.schema[c].dataType))
+                                     for c in ("epoch", "moteid", "sent_at_epoch_ms")}))
+
+
+def with_time(df: DataFrame) -> DataFrame:
+    """Adds ``ts`` from date and time, else from the timestamp text; null if neither is a time."""
+    def time(text: Column) -> Column:
+        return text.try_cast("timestamp_ntz")
+    return df.withColumn("ts", F.coalesce(
+        time(F.concat("date", F.lit(" "), "time")), time(F.col("timestamp"))))
 
 
 def read_sensor_stream(spark: SparkSession, bootstrap: str, topic: str, mode: str = "failfast",
                        **options: str) -> DataFrame:
-    """Readings of a topic from its first offset (needs Spark's Kafka package)."""
+    """Readings of a topic from its first offset (needs Spark's Kafka package).
+
+    A micro-batch takes BATCH_OFFSETS messages unless ``maxOffsetsPerTrigger`` says otherwise, so
+    that a backlog is worked off in bounded steps.
+    """
     reader = (spark.readStream.format("kafka").option("kafka.bootstrap.servers", bootstrap)
-              .option("subscribe", topic).option("startingOffsets", "earliest"))
+              .option("subscribe", topic).option("startingOffsets", "earliest")
+              .option("maxOffsetsPerTrigger", BATCH_OFFSETS))
     return parse_readings(reader.options(**options).load(), mode)
 
 
 def read_json(spark: SparkSession, path: str, streaming: bool = False,
               mode: str = "FAILFAST", **options) -> DataFrame:
-    reader = spark.readStream if streaming else spark.read
-    return reader.schema(S.READING).option("mode", mode).options(**options).json(path)
+    """Readings from JSON files with their time in ``ts``; BATCH_FILES files a micro-batch."""
+    reader = spark.readStream.option("maxFilesPerTrigger", BATCH_FILES) if streaming else spark.read
+    return with_time(reader.schema(S.READING).option("mode", mode).options(**options).json(path))
 
 
 def _stamp(df: DataFrame) -> DataFrame:
-    return df.withColumn("timestamp", F.concat(F.col("date"), F.lit("T"), F.col("time")))
+    return with_time(df.withColumn("timestamp", F.concat("date", F.lit("T"), "time")))
 
 
 def read_parquet_readings(spark: SparkSession, path: str) -> DataFrame:
-    """Recorded readings; label and type are optional in the files."""
+    """Recorded readings; label and type are optional in the files.
+
+    Adds ``ts`` and an ``event_id`` (file and row in it) where the files have none.
+    """
     df = spark.read.parquet(path)
     present = {c: F.col(c) for c in df.columns}
     columns = []
@@ -81,6 +100,8 @@ def read_parquet_readings(spark: SparkSession, path: str) -> DataFrame:
               "label", "anomaly_type"):
         kind = S.READING[c].dataType
         columns.append(present.get(c, F.lit(None)).cast(kind).alias(c))
+    place = F.concat_ws(":", "_metadata.file_name", F.col("_metadata.row_index").cast("string"))
+    columns.append(present.get("event_id", place).cast("string").alias("event_id"))
     return _stamp(df.select(*columns))
 
 
@@ -89,6 +110,10 @@ def read_text_readings(spark: SparkSession, path: str, strict: bool = True) -> D
 
     Lines with fewer than eight words are skipped, further words ignored.  A word that
     is no number stops the job, or becomes null with ``strict=False``.
+
+    Adds ``ts`` and an ``event_id`` of mote, epoch and a hash of the eight words: the same on
+    every read. A reading that occurs twice has one id, as a message that is delivered twice;
+    ``sinks.stamp_replay`` numbers every line.
     """
     words = spark.read.text(path).select(F.split(F.trim(
         F.regexp_replace("value", r"\s+", " ")), " ").alias("w")).where(F.size("w") >= 8)
@@ -98,4 +123,6 @@ def read_text_readings(spark: SparkSession, path: str, strict: bool = True) -> D
         F.col("w")[0].alias("date"), F.col("w")[1].alias("time"),
         number(2, "int").alias("epoch"), number(3, "int").alias("moteid"),
         *[number(i, "double").alias(c) for i, c in
-          enumerate(("temperature", "humidity", "light", "voltage"), start=4)]))
+          enumerate(("temperature", "humidity", "light", "voltage"), start=4)],
+        F.concat_ws(":", F.col("w")[3], F.col("w")[2], F.lower(F.hex(F.xxhash64(
+            F.slice("w", 1, 8))))).alias("event_id")))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sieveguard import schema as S
 from sieveguard.functions.columns import alerts
 from sieveguard.operators.dedup import latest_by_key, top_per_group
-from sieveguard.operators.ordering import ordered_sequence, take_first
+from sieveguard.operators.ordering import ordered_sequence, split_order, take_first
 
 ALERT_CAP = 2000
 
@@ -21,6 +21,9 @@ def stamp_replay(df: DataFrame, run_id: str, order: Sequence[str] = ("ts", "even
 
     ``now_ms`` is the send time (default: the time of the query).
     """
+    wanted = [c for c in df.columns if c in S.READING.names or c in
+              [split_order(o)[0] for o in order]]
+    df = df.select(*wanted)
     chosen = df if limit is None else take_first(df, order, limit)
     numbered = ordered_sequence(chosen, order, start=1, name="n")
     if now_ms is None:

@@ -7,10 +7,12 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sieveguard import schema as S
+from sieveguard.functions.columns import default_identity
 from sieveguard.operators.ordering import split_order
 
 KEPT_ROWS = S.LONG_ROWS - 1
@@ -71,6 +73,9 @@ def stream_features(readings: DataFrame, key: Sequence[str] = ("run_id", "moteid
     of a micro-batch meet in one task, so bound the trigger (files or offsets per
     trigger) when a sensor is very busy.
     """
+    if {"run_id", "event_id", "moteid", "epoch", "sent_at_epoch_ms"} <= set(readings.columns):
+        # A missing run is named before it becomes part of the state's key.
+        readings = default_identity(readings, F.unix_millis(F.current_timestamp()))
     columns = readings.columns
     names = [split_order(o)[0] for o in order]
     ascending = [not split_order(o)[1] for o in order]

@@ -198,12 +198,16 @@ def test_series_span_ends_at_last_row_of_the_run(spark):
 
 def test_idle_status(spark):
     summary = A.run_summary(events(spark)[0])
-    runs = spark.createDataFrame([("r", "producer_finished", 200, None)],
+    runs = spark.createDataFrame([("r", "producer_finished", 200, None), ("new", "starting", 9, None)],
                                  "run_id string, status string, expected_count long,"
                                  " external_enabled boolean")
     status = A.run_status(summary, runs)
-    assert {r["status"] for r in status.collect()} == {"complete"}
-    assert A.with_idle(status, None, "fast").first()["status"] == "idle"
+    assert {r["status"] for r in status.where("total > 0").collect()} == {"complete"}
+    empty = status.where("total = 0").collect()
+    assert [(r["run_id"], r["status"], r["uncertain"], r["expected"]) for r in empty] == \
+        [("new", "running", 0, 9)] * 2
+    idle = A.with_idle(status, None, "fast").first()
+    assert (idle["status"], idle["total"], idle["uncertain"]) == ("idle", 0, 0)
     assert A.with_idle(status, "r", "fast").count() == 1
 
 

@@ -1,3 +1,4 @@
+import datetime as dt
 import json
 
 import pytest
@@ -6,6 +7,8 @@ from pyspark.sql import functions as F
 from conftest import make_readings
 from sieveguard import schema as S
 from sieveguard import scratch
+from sieveguard.operators.windows import dual_window_features
+from sieveguard.plans.study import prepare_splits
 from sieveguard.sources import readings as src
 from sieveguard.sources import sinks
 
@@ -37,7 +40,8 @@ def test_text_with_a_bad_number(spark, tmp_path):
 
 def test_messages(spark):
     row = src.parse_readings(messages(spark, GOOD)).first()
-    assert row.asDict() == {**{f.name: None for f in S.READING.fields}, **GOOD}
+    assert row.asDict() == {**{f.name: None for f in S.READING.fields}, **GOOD,
+                            "ts": dt.datetime(2004, 2, 28, 0, 59, 16)}
     short = {k: v for k, v in GOOD.items() if k not in ("temperature", "epoch")}
     row = src.parse_readings(messages(spark, short)).first()
     assert row["temperature"] is None and row["epoch"] == 0
@@ -62,6 +66,29 @@ def test_recorded_files_without_labels(spark, tmp_path):
     row = src.read_parquet_readings(spark, path).first()
     assert row["timestamp"] == "2004-02-28T00:59:16.0" and row["label"] is None
     assert row["anomaly_type"] is None and row["moteid"] == 1
+    assert row["ts"] == dt.datetime(2004, 2, 28, 0, 59, 16) and row["event_id"].endswith(":0")
+
+
+def test_readers_fit_the_operators(spark, tmp_path):
+    lines = [LINE.replace("00:59:16.02785", f"00:59:{s:02d}.5").replace(" 3 1 ", f" {s} 1 ")
+             for s in range(40)]
+    (tmp_path / "a.txt").write_text("\n".join([*lines, lines[0]]))
+    rows = src.read_text_readings(spark, str(tmp_path))
+    assert rows.count() == 41 and rows.select("event_id").distinct().count() == 40
+    assert dual_window_features(rows).where("var_temp_15m is not null").count() == 41
+    splits = prepare_splits(rows.withColumn("label", F.lit(0)).withColumn(
+        "anomaly_type", F.lit("NORMAL")).dropDuplicates(["event_id"]))
+    assert sum(part.count() for part in splits.values()) == 40
+    sent = sinks.stamp_replay(rows, "x", now_ms=1)
+    assert sent.select("event_id").distinct().count() == 41
+    assert src.parse_readings(sent).where("ts is not null").count() == 41
+
+
+def test_times_of_messages(spark):
+    odd = {**GOOD, "date": "x", "timestamp": "2004-02-28T00:59:17"}
+    none = {k: v for k, v in GOOD.items() if k not in ("date", "time", "timestamp")}
+    got = [r["ts"] for r in src.parse_readings(messages(spark, odd, none)).collect()]
+    assert got == [dt.datetime(2004, 2, 28, 0, 59, 17), None]
 
 
 def test_replay_numbers_and_limit(spark):

@@ -14,9 +14,7 @@ from sieveguard.detectors.fallback import fit_fallback, score_fallback
 from sieveguard.detectors.forest import fit_forest, score_forest
 from sieveguard.detectors.reconstruction import (
     ReconstructionModel, fit_reconstruction, score_reconstruction)
-from sieveguard.operators.aggregates import error_profile
 from sieveguard.plans.study import evaluate_models, fit_models, prepare_splits
-from sieveguard.scratch import written
 from workload.base import (
     ORDER, SQL_SCORED, features, query, readings, rounded, s6, scored, sql)
 
@@ -41,16 +39,9 @@ def _(spark, sf):
     return spark.createDataFrame(rows, "component int, feature string, weight double")
 
 
-@query("reconstruction_fit_network")
-def _(spark, sf):
-    rows = written(features(spark, sf), "network")
-    model = fit_reconstruction(rows, kind="mlp", epochs=3)
-    return error_profile(score_reconstruction(rows, model))
-
-
 # Two orthonormal example components and an example scaler.
 _MODEL = ReconstructionModel(
-    "pca", means=[10.0] * 10, stds=[4.0] * 10,
+    means=[10.0] * 10, stds=[4.0] * 10,
     components=[[0.6, 0.8, 0, 0, 0, 0, 0, 0, 0, 0], [0, 0, 0, 0, 0, 0, 0.8, 0.6, 0, 0]])
 
 
@@ -76,13 +67,13 @@ def _(spark, sf):
 
 @query("fallback_fit")
 def _(spark, sf):
-    return fit_fallback(scored(spark, sf), trees=10)
+    return fit_fallback(scored(spark, sf))
 
 
 @query("fallback_score")
 def _(spark, sf):
     rows = scored(spark, sf)
-    nodes = fit_fallback(rows, trees=10)
+    nodes = fit_fallback(rows)
     return score_fallback(rows.drop("p_fallback"), nodes).select("seq", "uncertain", "p_fallback")
 
 

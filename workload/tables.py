@@ -40,7 +40,7 @@ select "date", "time", "timestamp", epoch, moteid, temperature, humidity, light,
 def _(spark, sf):
     path = scratch_path(spark, "recorded")
     readings(spark, sf).drop("timestamp").write.parquet(path)
-    return src.read_parquet_readings(spark, path)
+    return src.read_parquet_readings(spark, path).drop("event_id", "ts")
 
 
 @query("src_text_readings", sql(SQL_READINGS, """
@@ -54,7 +54,7 @@ def _(spark, sf):
                        F.when(kind == "DRIFT", F.lit("extra words")))
     path = scratch_path(spark, "text")
     readings(spark, sf).select(F.concat(F.lit(" "), line).alias("value")).write.text(path)
-    return src.read_text_readings(spark, path)
+    return src.read_text_readings(spark, path).drop("event_id", "ts")
 
 
 def scaler_sql(name: str = "feature", extra: str = "") -> str:
