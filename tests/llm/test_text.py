@@ -311,7 +311,8 @@ def test_word_encoder_agrees_with_the_tokenizer():
     plain = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     rng = random.Random(1)
     letters = "abXY éÉßœ’“.,!'\n09sSt\x1c\x85&%日<|>"
-    texts = TEXTS + ["".join(rng.choices(letters, k=rng.randint(1, 40))) for _ in range(400)]
+    marks = ["</w>", "a</w> b</w>", "</w></w> x", "'s's 'll'", "a<|endoftext|>b <|endoftext|>", " \n"]
+    texts = TEXTS + marks + ["".join(rng.choices(letters, k=rng.randint(1, 40))) for _ in range(400)]
     encoder = word_encoder()
     encoder.KNOWN = 50  # forget in between
     got = [ids.tolist() for at in range(0, len(texts), 40) for ids in encoder.encode(texts[at:at + 40])]
