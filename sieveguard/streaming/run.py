@@ -5,11 +5,13 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from sieveguard.functions.columns import alerts, uncertain_branch
+from sieveguard.sources.readings import BATCH_FILES
 from sieveguard.sources.sinks import append_events, event_rows
 
 
@@ -38,6 +40,31 @@ def fan_out(path: str, branches: Callable[[DataFrame, int], None] | None = None,
     return write
 
 
+def writer_name(checkpoint: str) -> str:
+    """A stream's name in its tables: a hash of its checkpoint's path."""
+    return hashlib.sha256(checkpoint.rstrip("/").encode()).hexdigest()[:16]
+
+
+def run_external(spark: SparkSession, path: str, schema: StructType, checkpoint: str,
+                 decide: Callable[[DataFrame], DataFrame],
+                 trigger: dict | None = None) -> StreamingQuery:
+    """Decide the open cases under ``path`` in a stream of its own, beside the main one.
+
+    The main stream only writes its ``uncertain`` table (of layout ``schema``, the records'); a
+    slow or hanging model delays nothing there. ``decide`` gives decision records, for example
+    :func:`~sieveguard.detectors.external.external_decision`; they are added to ``events``.
+    """
+    cases = (spark.readStream.schema(schema).option("maxFilesPerTrigger", BATCH_FILES)
+             .parquet(f"{path}/uncertain/writer=*/batch=*"))
+    writer = writer_name(checkpoint)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        append_events(event_rows(decide(batch)), batch_id, f"{path}/events", writer)
+
+    return (cases.writeStream.option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or {"processingTime": "1 second"})).foreachBatch(write).start())
+
+
 def run_stream(records: DataFrame, path: str, checkpoint: str, trigger: dict | None = None,
                branches: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
     """Start writing a stream of decision records (see ``plans.flow.decide_records``).
@@ -46,7 +73,7 @@ def run_stream(records: DataFrame, path: str, checkpoint: str, trigger: dict | N
     Restarting with the same checkpoint continues where the last run stopped; the checkpoint's
     path names the writer.
     """
-    writer = hashlib.sha256(checkpoint.rstrip("/").encode()).hexdigest()[:16]
+    writer = writer_name(checkpoint)
     return (records.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"processingTime": "1 second"}))
             .foreachBatch(fan_out(path, branches, writer)).start())

@@ -1,20 +1,25 @@
-"""Streaming runs over the events table, drained once and read back."""
+"""Streaming runs over the events table, drained and read back."""
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieveguard import schema as S
+from sieveguard.detectors.external import external_decision
 from sieveguard.functions.columns import heuristic_prob
 from sieveguard.plans.flow import decide_records
 from sieveguard.scratch import scratch_path
 from sieveguard.sources.sinks import read_events
 from sieveguard.streaming.features import stream_features
-from sieveguard.streaming.run import run_stream, stream_dedup, stream_series
+from sieveguard.streaming.run import (
+    run_external, run_stream, stream_dedup, stream_series)
 from workload.base import (
     ORDER, SQL_READINGS, SQL_RECORDS, WEIGHTS, probabilities, processed_at, query,
     rounded, s6, sensor_rows, sql)
+from workload.models import answer
 from workload.windows import DERIVED, FEATURE_SQL
 
 DRAIN = {"availableNow": True}
@@ -27,12 +32,48 @@ def event_stream(spark: SparkSession, sf: str) -> DataFrame:
         "pathGlobFilter", "events.parquet").parquet(sf))
 
 
-def record_stream(spark: SparkSession, sf: str) -> DataFrame:
-    feats = stream_features(event_stream(spark, sf), order=ORDER)
+SLICES = 8
+
+
+def put_slices(spark: SparkSession, sf: str, path: str, first: int, last: int) -> None:
+    """Add slices ``first`` up to ``last`` of the events by time, each after the one before.
+
+    A slice may be several files; each holds whole users, so their order does not matter.
+    """
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    at = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
+    ends = events.agg(F.percentile_approx(at, [i / SLICES for i in range(1, SLICES)])).first()[0]
+    for i in range(first, last):
+        own = F.lit(True)
+        if i:
+            own = own & (at > ends[i - 1])
+        if i < SLICES - 1:
+            own = own & (at <= ends[i])
+        events.where(own).repartition("user_id").write.mode("append").parquet(path)
+
+
+def sliced_stream(spark: SparkSession, path: str) -> DataFrame:
+    """The written slices as a stream, a file in each micro-batch."""
+    layout = spark.read.parquet(path).schema
+    return sensor_rows(spark.readStream.schema(layout).option("maxFilesPerTrigger", 1).parquet(path))
+
+
+def decided(readings: DataFrame) -> DataFrame:
+    feats = stream_features(readings, order=ORDER)
     return decide_records(feats, probabilities, heuristic_prob(WEIGHTS), "selective",
                           processed_at())
 
 
+def sliced_records(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch_path(spark, "slices")
+    put_slices(spark, sf, path, 0, SLICES)
+    return decided(sliced_stream(spark, path))
+
+
+def record_stream(spark: SparkSession, sf: str) -> DataFrame:
+    return decided(event_stream(spark, sf))
+
+
 def drained(df: DataFrame, name: str) -> DataFrame:
     """Run a stream until its input is used up and read what it wrote."""
     spark = df.sparkSession
@@ -45,7 +86,9 @@ def drained(df: DataFrame, name: str) -> DataFrame:
 
 @query("stream_features", FEATURE_SQL)
 def _(spark, sf):
-    out = drained(stream_features(event_stream(spark, sf), order=ORDER), "stream_features")
+    path = scratch_path(spark, "slices")
+    put_slices(spark, sf, path, 0, SLICES)
+    out = drained(stream_features(sliced_stream(spark, path), order=ORDER), "stream_features")
     return rounded(out.select("seq", "moteid", *S.FEATURES), *DERIVED)
 
 
@@ -53,20 +96,19 @@ def _(spark, sf):
 select seq, {s6('p_if')}, {s6('p_ae')}, uncertain, escalated, {s6('p_final')}, is_anomaly,
   prediction, anomaly_reasons, engine from rec where system_name = 'selective'"""))
 def _(spark, sf):
-    out = drained(record_stream(spark, sf), "stream_score")
+    out = drained(sliced_records(spark, sf), "stream_score")
     return rounded(out.select("seq", "p_if", "p_ae", "uncertain", "escalated", "p_final",
                               "is_anomaly", "prediction", "anomaly_reasons", "engine"),
                    "p_if", "p_ae", "p_final")
 
 
-@query("stream_fanout", sql(SQL_RECORDS, """
+FANOUT_SQL = sql(SQL_RECORDS, """
 select 'events' as branch, event_id from rec where system_name = 'selective'
 union all select 'alerts', event_id from rec where system_name = 'selective' and is_anomaly = 1
-union all select 'uncertain', event_id from rec where system_name = 'selective' and uncertain"""))
-def _(spark, sf):
-    path = scratch_path(spark, "fanout")
-    run_stream(record_stream(spark, sf), path, scratch_path(spark, "fanout_state"),
-               DRAIN).awaitTermination()
+union all select 'uncertain', event_id from rec where system_name = 'selective' and uncertain""")
+
+
+def branches_of(spark: SparkSession, path: str) -> DataFrame:
     parts = [read_events(spark, f"{path}/events").select(
         F.lit("events").alias("branch"), "event_id")]
     for name in ("alerts", "uncertain"):
@@ -75,6 +117,42 @@ def _(spark, sf):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+@query("stream_fanout", FANOUT_SQL)
+def _(spark, sf):
+    path = scratch_path(spark, "fanout")
+    run_stream(sliced_records(spark, sf), path, scratch_path(spark, "fanout_state"),
+               DRAIN).awaitTermination()
+    return branches_of(spark, path)
+
+
+@query("stream_fanout_restart", FANOUT_SQL)
+def _(spark, sf):
+    """Stopped after half of the input and started again from its checkpoint."""
+    path, state = scratch_path(spark, "fanout"), scratch_path(spark, "fanout_state")
+    source = scratch_path(spark, "slices")
+    for first, last in ((0, SLICES // 2), (SLICES // 2, SLICES)):
+        put_slices(spark, sf, source, first, last)
+        run_stream(decided(sliced_stream(spark, source)), path, state, DRAIN).awaitTermination()
+    return branches_of(spark, path)
+
+
+@query("stream_external", sql(SQL_RECORDS, """
+select seq as epoch, 'fallback' as engine, is_anomaly from rec
+where system_name = 'selective' and escalated
+union all
+select seq, 'external', case when p_if >= 2e-1 then case when p_if >= 4e-1 then 1 else 0 end end
+from rec where system_name = 'selective' and uncertain"""))
+def _(spark, sf):
+    """Open cases decided by a second stream over the table that the first one wrote."""
+    path, records = scratch_path(spark, "beside"), sliced_records(spark, sf)
+    run_stream(records, path, scratch_path(spark, "main_state"), DRAIN).awaitTermination()
+    run_external(spark, path, records.schema, scratch_path(spark, "external_state"),
+                 lambda cases: external_decision(cases, partial(answer, limit=0.4), concurrency=2),
+                 DRAIN).awaitTermination()
+    rows = read_events(spark, f"{path}/events").where("engine <> 'fast-path'")
+    return rows.select(F.col("epoch").cast("long").alias("epoch"), "engine", "is_anomaly")
+
+
 @query("stream_dedup", sql(SQL_READINGS, "select seq, moteid from r"))
 def _(spark, sf):
     stream = event_stream(spark, sf).withColumn("at", F.col("ts").cast("timestamp"))
