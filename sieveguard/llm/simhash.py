@@ -291,9 +291,10 @@ def link_edges(distinct: DataFrame, keys: Column, radius: int = RADIUS, lanes: i
 
 def classes(marked: DataFrame, radius: int = RADIUS, lanes: int = 1, pieces: int = PIECES,
             recall: float = RECALL) -> DataFrame:
-    """(fp, ..., component_id) for ``marked(doc_id, fp, ...)``, a written table.
+    """(fp, ..., root, component_id) for ``marked(doc_id, fp, ...)``, a written table.
 
-    One lane is searched exactly, by pieces; more lanes by sampled bits, to the recall.
+    ``root`` tells classes apart; ``component_id``, the smallest doc_id, is a label only: it is
+    null where all doc_ids are, and classes that hold the same doc_id may share it. One lane is searched exactly, by pieces; more lanes by sampled bits, to the recall.
     """
     names = fp_names(lanes)
     number = F.col("fp") if lanes == 1 else F.monotonically_increasing_id()
@@ -306,12 +307,12 @@ def classes(marked: DataFrame, radius: int = RADIUS, lanes: int = 1, pieces: int
     rooted = distinct.join(roots, distinct["id"] == roots["node"], "left").select(
         *names, "least", F.coalesce("root", "id").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rooted.join(named, "root").select(*names, "component_id")
+    return rooted.join(named, "root").select(*names, "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = RADIUS,
                     lanes: int = 1) -> DataFrame:
-    """(doc_id, text_key, fp, ..., component_id) of every document with ``doc_id, text``."""
+    """(doc_id, text_key, fp, ..., root, component_id) of all documents with ``doc_id, text``."""
     marked = written(with_fingerprints(
         docs, [F.col("doc_id"), F.xxhash64("text").alias("text_key")], words, lanes), "simhash")
     return marked.join(classes(marked, radius, lanes), fp_names(lanes))
@@ -322,7 +323,7 @@ def keep_one(docs: DataFrame, words: int = 5, radius: int = WIDE_RADIUS,
     """``docs`` with one row of each class: its smallest doc_id; equal rows count once."""
     clear_names(docs, ["text_key"])
     near = near_duplicates(docs, words, radius, lanes)
-    chosen = near.groupBy("component_id").agg(
+    chosen = near.groupBy("root").agg(
         F.min(F.struct("doc_id", "text_key")).alias("k")).select("k.doc_id", "k.text_key")
     keyed = docs.withColumn("text_key", F.xxhash64("text"))
     match = keyed["doc_id"].eqNullSafe(chosen["doc_id"]) & (

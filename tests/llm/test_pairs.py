@@ -83,6 +83,15 @@ def test_simhash_classes_and_kept_rows(spark):
     assert simhash.keep_one(docs.limit(0)).count() == 0
 
 
+def test_classes_without_an_id_of_their_own_keep_a_row_each(spark):
+    texts = [" ".join(f"{name}{i}" for i in range(50)) for name in "abcd"]
+    rows = [(None, texts[0], "x"), (None, texts[1], "x"), (None, texts[1], "x"),
+            (7, texts[2], "x"), (7, texts[3], "x"), (9, texts[3], "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = {(r["doc_id"], r["text"]) for r in simhash.keep_one(docs).collect()}
+    assert kept == {(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3])}
+
+
 def test_wide_fingerprints_find_changed_copies(spark):
     rng = random.Random(3)
     words = [f"w{i}" for i in range(4000)]
