@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 from sieveguard.llm.common import clear_names, sized_batches, table, unsigned_hex
 from sieveguard.llm.components import components
 from sieveguard.llm.registry import query
+from sieveguard.llm.shingle_sets import SIMILARITY, set_classes
 from sieveguard.scratch import written
 
 RADIUS = 3
@@ -294,7 +295,8 @@ def classes(marked: DataFrame, radius: int = RADIUS, lanes: int = 1, pieces: int
     """(fp, ..., root, component_id) for ``marked(doc_id, fp, ...)``, a written table.
 
     ``root`` tells classes apart; ``component_id``, the smallest doc_id, is a label only: it is
-    null where all doc_ids are, and classes that hold the same doc_id may share it. One lane is searched exactly, by pieces; more lanes by sampled bits, to the recall.
+    null where all doc_ids are, and classes that hold the same doc_id may share it. One lane
+    is searched exactly, by pieces; more lanes by sampled bits, to the recall.
     """
     names = fp_names(lanes)
     number = F.col("fp") if lanes == 1 else F.monotonically_increasing_id()
@@ -318,11 +320,11 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = RADIUS,
     return marked.join(classes(marked, radius, lanes), fp_names(lanes))
 
 
-def keep_one(docs: DataFrame, words: int = 5, radius: int = WIDE_RADIUS,
-             lanes: int = LANES) -> DataFrame:
-    """``docs`` with one row of each class: its smallest doc_id; equal rows count once."""
+def keep_one(docs: DataFrame, words: int = 5, similarity: float = SIMILARITY) -> DataFrame:
+    """``docs`` with one row of each class of texts that share ``similarity`` of their shingle
+    sets: its smallest doc_id; equal rows count once."""
     clear_names(docs, ["text_key"])
-    near = near_duplicates(docs, words, radius, lanes)
+    near = set_classes(docs.select("doc_id", "text"), words, similarity)
     chosen = near.groupBy("root").agg(
         F.min(F.struct("doc_id", "text_key")).alias("k")).select("k.doc_id", "k.text_key")
     keyed = docs.withColumn("text_key", F.xxhash64("text"))

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from sieveguard.llm import embedding_dedup, simhash
+from sieveguard.llm import embedding_dedup, shingle_sets, simhash
 from sieveguard.llm.components import components
 from sieveguard.scratch import written
 
@@ -110,6 +110,49 @@ def test_wide_fingerprints_find_changed_copies(spark):
     assert all(a in kept for a, _ in kin)
 
 
+def kin_texts(rng, words, share):
+    """Two texts of distinct words whose five-word shingle sets share just about ``share``."""
+    # Replacing one word in the middle changes five of the ``words - 4`` shingles of each text.
+    text = [f"w{rng.getrandbits(40)}" for _ in range(words)]
+    total, other = words - 4, list(text)
+    changes = round(total * (1 - share) / (1 + share) / 5)
+    for k in range(changes):
+        other[5 + k * (words - 10) // changes] = f"n{rng.getrandbits(40)}"
+    changed = 5 * changes
+    return " ".join(text), " ".join(other), (total - changed) / (total + changed)
+
+
+@pytest.mark.parametrize("chunk", [512, 4])
+def test_shared_shingles_decide_what_is_kept(spark, chunk):
+    rng = random.Random(chunk)
+    rows, far, near = [], [], []
+    for k in range(60):
+        share = 0.7 if k % 2 else 0.8 + 0.05 * rng.random()
+        a, b, got = kin_texts(rng, rng.randint(280, 420), share)
+        (near if got >= 0.8 else far).append(k)
+        rows += [(2 * k, a), (2 * k + 1, b)]
+    # One crowd, all within the threshold of a centre but mostly not of each other.
+    centre = [f"c{i}" for i in range(300)]
+    for k in range(30):
+        text = list(centre)
+        for at in rng.sample(range(10, 290, 12), 5):
+            text[at] = f"x{k}_{at}"
+        rows.append((1000 + k, " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = [set(zip(*[t.split()[i:] for i in range(5)])) for _, t in rows]
+    links = [(i, j) for i in range(len(rows)) for j in range(i)
+             if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8]
+    want = roots(len(rows), links)
+    assert len(far) >= 20 and len(near) >= 20
+    found = {r["doc_id"]: r["root"] for r in shingle_sets.set_classes(docs, chunk=chunk).collect()}
+    got = [found[d] for d, _ in rows]
+    place = {}
+    assert [place.setdefault(r, i) for i, r in enumerate(got)] == want
+    if chunk == 512:
+        kept = {r["doc_id"] for r in simhash.keep_one(docs).collect()}
+        assert kept == {rows[i][0] for i in set(want)}
+
+
 @pytest.mark.parametrize("cell,fan_out", [(1024, 64), (40, 8), (10, 8)])
 def test_vectors_against_all_pairs(spark, cell, fan_out):
     rng = np.random.default_rng(cell)
