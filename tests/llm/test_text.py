@@ -163,6 +163,22 @@ def test_languages_held_out(spark):
     assert language_id.identify(docs.limit(0), filters).count() == 0
 
 
+def test_scores_decide_which_languages_are_known(spark):
+    rng = random.Random(6)
+    stock = [f"{a}{b}en" for a in ("str", "kl", "br", "m") for b in ("a", "o", "u", "ei")]
+    rows = [(i, " ".join(rng.choices(stock, k=rng.randint(3, 40))), "aa", "s") for i in range(80)]
+    junk = [(500 + i, " ".join("".join(rng.choices("qxzjvwyg", k=7)) for _ in range(k)), None, "s")
+            for i, k in enumerate((1, 3, 30, 300))]
+    odd = [(600, "x", None, "s"), (601, None, "aa", "s"), (602, "12 !", "aa", "s")]
+    docs = spark.createDataFrame(rows + junk + odd, DOC)
+    filters = language_id.fit(language_id.labelled_part(docs))
+    kept = [r["doc_id"] for r in language_id.known_languages(docs, filters).collect()]
+    assert sorted(kept) == list(range(80))
+    blank = language_id.fit(docs.filter("lang is null"))
+    kept = [r["doc_id"] for r in language_id.known_languages(docs, blank).collect()]
+    assert sorted(kept) == [*range(80), 500, 501, 502, 503, 600]
+
+
 def test_counts_of_grams_against_sets():
     filters = language_id.Filters(["x", "y"], np.zeros(1 << 16, np.uint8), np.zeros(2))
     for bit, text in ((1, " abcde "), (2, " cdefg ")):
