@@ -23,6 +23,7 @@ empty benchmark every document is clean.
 from __future__ import annotations
 
 import re
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import repeat
@@ -39,7 +40,8 @@ from sieveguard.llm.registry import query
 RATE = 0.2
 RECALL = 0.99
 SAMPLED = 2               # steps of a walk in a key
-MAX_REPEATS = 64
+REPEATS = 64              # drawn at a time
+MAX_REPEATS = 2_048       # a class that needs more is reported
 MAX_ITEMS = 100_000       # items every task holds
 CLASS_RATIO = 1.25        # longest to shortest item of a length class
 PAIR_BITS = 24
@@ -139,25 +141,37 @@ def edited(item: np.ndarray, edits: int, rng: np.random.Generator) -> np.ndarray
 
 def plan_repeats(items: list[np.ndarray], shortest: int, rate: float, recall: float,
                  rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-    """(salts, steps) with as many repeats as the simulated edits need for the recall."""
+    """(salts, steps) with as many repeats as the simulated edits need for the recall.
+
+    Repeats are drawn until it is reached; a warning gives what MAX_REPEATS reach if they do not.
+    """
     reach = 2 * shortest
-    salts = rng.integers(0, 2 ** 64, (MAX_REPEATS, reach), dtype=np.uint64)
-    steps = np.sort(np.stack([rng.choice(reach, min(SAMPLED, reach), replace=False)
-                              for _ in range(MAX_REPEATS)]), axis=1)
+
+    def draw() -> tuple[np.ndarray, np.ndarray]:
+        return (rng.integers(0, 2 ** 64, (REPEATS, reach), dtype=np.uint64),
+                np.sort(np.stack([rng.choice(reach, min(SAMPLED, reach), replace=False)
+                                  for _ in range(REPEATS)]), axis=1))
+
+    drawn = [draw()]
     tried = [items[i] for i in rng.integers(len(items), size=400)]
     pad = np.zeros(2 * reach + 2, np.int64)
-    hit = np.zeros((MAX_REPEATS, len(tried)), bool)
     pairs = [(x, edited(x, int(rate * len(x)), rng)) for x in tried]
     sides = [[np.concatenate([p[s], pad]) for p in pairs] for s in (0, 1)]
     flat = [spread(np.concatenate(s)) for s in sides]
     starts = [np.cumsum([0] + [len(x) for x in s[:-1]]) for s in sides]
-    for r in range(MAX_REPEATS):
-        a, b = (walk_keys(flat[s], starts[s], salts[r], steps[r]) for s in (0, 1))
-        hit[r] = a == b
-    reached = np.logical_or.accumulate(hit, axis=0).mean(axis=1)
-    enough = np.flatnonzero(reached >= recall)
-    count = int(enough[0]) + 1 if len(enough) else MAX_REPEATS
-    return salts[:count], steps[:count]
+    hit, count = np.zeros(len(tried), bool), 0
+    while hit.mean() < recall and count < MAX_REPEATS:
+        if count == REPEATS * len(drawn):
+            drawn.append(draw())
+        salts, steps = (x[count % REPEATS] for x in drawn[-1])
+        a, b = (walk_keys(flat[s], starts[s], salts, steps) for s in (0, 1))
+        hit |= a == b
+        count += 1
+    if hit.mean() < recall:
+        warnings.warn(f"items of {shortest} words and more: {count} repeats reach a recall of "
+                      f"{hit.mean():.3f}, not {recall}", stacklevel=2)
+    salts, steps = (np.concatenate(x)[:count] for x in zip(*drawn))
+    return salts, steps
 
 
 def build_index(items: list[tuple[object, str | None]], rate: float = RATE,

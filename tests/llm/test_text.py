@@ -200,6 +200,25 @@ def test_counts_of_grams_against_sets():
 
 # --- decontamination --------------------------------------------------------------------------
 
+def test_repeats_go_on_until_long_items_are_found(monkeypatch):
+    rng = np.random.default_rng(5)
+    items = [rng.integers(1, 5000, 640) for _ in range(40)]
+    salts, steps = decontamination.plan_repeats(items, 640, 0.2, 0.99, np.random.default_rng(7))
+    pad = np.zeros(2 * 1280 + 2, np.int64)
+    pairs = [(x, decontamination.edited(x, 128, rng)) for x in items * 5]
+    sides = [[np.concatenate([p[s], pad]) for p in pairs] for s in (0, 1)]
+    flat = [decontamination.spread(np.concatenate(s)) for s in sides]
+    starts = [np.cumsum([0] + [len(x) for x in s[:-1]]) for s in sides]
+    met = np.zeros(len(pairs), bool)
+    for salt, step in zip(salts, steps):
+        a, b = (decontamination.walk_keys(flat[s], starts[s], salt, step) for s in (0, 1))
+        met |= a == b
+    assert len(salts) > 64 and met.mean() >= 0.97
+    monkeypatch.setattr(decontamination, "MAX_REPEATS", 8)
+    with pytest.warns(UserWarning, match="8 repeats reach a recall of"):
+        decontamination.plan_repeats(items, 640, 0.2, 0.99, np.random.default_rng(7))
+
+
 def slow_distance(item, text):
     row = [0] * (len(text) + 1)
     for i, a in enumerate(item, 1):
