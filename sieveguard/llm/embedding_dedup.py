@@ -190,6 +190,7 @@ def split_cells(rows: DataFrame, level: int, cell: int, fan_out: int) -> tuple[D
     Returns the rows in their new cells and the cells (cell, parent, v, reach); a cell that is
     not split is its own child.
     """
+    kind = rows.schema["v"].dataType.simpleString()
     sizes = rows.groupBy("cell").agg(F.count("*").alias("total"))
     sized = rows.join(sizes, "cell")
     draw = F.pmod(F.xxhash64(F.lit(level), "id"), F.lit(1 << 30))
@@ -215,7 +216,7 @@ def split_cells(rows: DataFrame, level: int, cell: int, fan_out: int) -> tuple[D
             "far", pa.array(reach, pa.float64()))
 
     moved = written(full.groupBy("cell", "salt").cogroup(centres.groupBy("cell", "salt"))
-                    .applyInArrow(assign, "id long, cell long, v array<float>, n long,"
+                    .applyInArrow(assign, f"id long, cell long, v {kind}, n long,"
                                           " own long, far double").withColumn(
         "next", F.xxhash64(F.lit(level), "cell", "own")), "moved")
     lead = moved.groupBy("next", "cell", "own").agg((F.max("far") + SLACK).alias("reach"))
@@ -310,6 +311,20 @@ def links_of(distinct: DataFrame, cosine: float, cell: int = CELL, fan_out: int
         compare, "a long, b long, links long")
 
 
+def working(rows: DataFrame) -> Column:
+    """``embedding`` as it is compared: floats as they are, other numbers as doubles.
+
+    Doubles are divided by a power of two near the largest, which changes no cosine and keeps
+    squares of very large or small values in range.
+    """
+    if rows.schema["embedding"].dataType.simpleString() == "array<float>":
+        return F.col("embedding")
+    v = F.col("embedding").cast("array<double>")
+    top = F.array_max(F.transform(v, F.abs))
+    scale = F.pow(F.lit(2.0), F.least(F.floor(F.log2(top)), F.lit(1023)))
+    return F.transform(v, lambda x: x / scale)
+
+
 def near_vectors(rows: DataFrame, cosine: float = 0.98, cell: int = CELL,
                  fan_out: int = FAN_OUT, levels: int = LEVELS) -> DataFrame:
     """``rows(vec_id, embedding, label)`` with ``n_links``, ``component_id``, ``kept``."""
@@ -320,7 +335,7 @@ def near_vectors(rows: DataFrame, cosine: float = 0.98, cell: int = CELL,
         "_id", F.monotonically_increasing_id()), "vectors")
     found = written(links_of(distinct.select(
         F.col("_id").alias("id"), F.xxhash64("label", F.size("embedding")).alias("cell"),
-        F.col("embedding").cast("array<float>").alias("v"), F.col("_n").alias("n")),
+        working(distinct).alias("v"), F.col("_n").alias("n")),
         cosine, cell, fan_out, levels), "links")
     counts = found.filter("b is null").groupBy(F.col("a").alias("_id")).agg(
         F.sum("links").alias("_links"))

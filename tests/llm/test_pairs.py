@@ -1,5 +1,6 @@
 """Near-duplicate operators against all pairs on small tables."""
 
+import math
 import random
 
 import numpy as np
@@ -183,6 +184,28 @@ def test_vectors_against_all_pairs(spark, cell, fan_out):
         assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (0, i, True)
 
 
+@pytest.mark.parametrize("cell", [1024, 10])
+def test_double_vectors_are_not_rounded(spark, cell):
+    rng = np.random.default_rng(8)
+    rows, want = [], []
+    for k in range(30):
+        # Right at the threshold: the cosine is above or below it by less than a float shows.
+        cos = 0.98 + (1e-10 if k % 2 else -1e-10)
+        a, b = np.linalg.qr(rng.normal(size=(8, 2)))[0].T
+        size = 10.0 ** (k % 3 * 100)
+        rows += [(2 * k, (a * size).tolist(), k), (2 * k + 1, (
+            (a * cos + b * math.sqrt(1 - cos * cos)) * size).tolist(), k)]
+        want += [k % 2] * 2
+    # One label with enough vectors to be split.
+    wide = rng.normal(size=(40, 8)) * 1e200
+    rows += [(100 + i, v.tolist(), 99) for i, v in enumerate(np.concatenate([wide, wide * 2]))]
+    want += [1] * 80
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.near_vectors(
+        frame, cell=cell, fan_out=8).collect()}
+    assert [got[i] for i, _, _ in rows] == want
+
+
 def test_no_vectors(spark):
     frame = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert embedding_dedup.near_vectors(frame).count() == 0
