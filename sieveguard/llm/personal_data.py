@@ -20,7 +20,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -466,13 +466,16 @@ def listed(spans: Column) -> Column:
         ":", s["kind"], s["start"], s["end"])), ",")
 
 
+def _is_kind(kind: str, span: Column) -> Column:
+    return span["kind"] == kind
+
+
 @query("op11_personal_data")
 def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_spans(table(spark, sf_dir, "documents").select("doc_id", "text"),
                        carry=["doc_id"])
     base = F.filter("spans", lambda s: s["base"])
-    counts = {f"n_{k}": F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long")
-              for k in KINDS}
+    counts = {f"n_{k}": F.size(F.filter(base, partial(_is_kind, k))).cast("long") for k in KINDS}
     return found.select(
         "doc_id", *[c.alias(n) for n, c in counts.items()],
         F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"),
