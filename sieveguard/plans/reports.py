@@ -20,13 +20,9 @@ def table_rows(spark: SparkSession, path: str, run_id: str | None = None,
                system: str | None = None, key: Sequence[str] = SYSTEM_KEY) -> DataFrame:
     """Current rows of a run and system.
 
-    Both are part of the key and leading folders of the table, so the filter reaches the scan.
+    Both are part of the key and leading folders of the table: only their folders are read.
     """
-    rows = current_events(spark, path, key)
-    for name, value in (("run_id", run_id), ("system_name", system)):
-        if value is not None:
-            rows = rows.where(F.col(name) == value)
-    return rows
+    return current_events(spark, path, key, run_id, system)
 
 
 def summary_report(spark: SparkSession, path: str, run_id: str | None = None) -> DataFrame:

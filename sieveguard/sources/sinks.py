@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieveguard import schema as S
 from sieveguard.functions.columns import alerts
 from sieveguard.operators.dedup import latest_by_key, top_per_group
 from sieveguard.operators.ordering import ordered_sequence, split_order, take_first
+from sieveguard.sources.commits import CommittedTable
 
 ALERT_CAP = 2000
 
@@ -72,47 +74,92 @@ def event_rows(df: DataFrame) -> DataFrame:
     return shown.select(*S.EVENT_COLUMNS)
 
 
-def append_events(batch: DataFrame, batch_id: int, path: str, writer: str = "batch") -> None:
+EVENTS_BY = ("run_id", "system_name")
+
+
+def event_table(spark: SparkSession, path: str) -> CommittedTable:
+    """The decision table at ``path``, led by run and system."""
+    return CommittedTable(spark, path, EVENTS_BY)
+
+
+def append_events(batch: DataFrame, batch_id: int, path: str, writer: str = "batch") -> bool:
     """Add one micro-batch of one writer to the decision table.
 
-    Run and system are the leading folders, then writer and batch. A batch that the same
-    writer repeats replaces its own folders; other runs, modes and writers are not touched.
+    A batch that the same writer repeats is not written again (False is returned); other runs,
+    modes and writers are not touched.
     """
-    marked = batch.withColumns({"written_at_epoch_ms": F.unix_millis(F.current_timestamp()),
-                                "writer": F.lit(writer), "batch": F.lit(batch_id)})
-    (marked.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("run_id", "system_name", "writer", "batch").parquet(path))
+    return event_table(batch.sparkSession, path).append(batch, writer, batch_id)
 
 
-def read_events(spark: SparkSession, path: str) -> DataFrame:
-    """All written rows, with time of writing, writer and batch number."""
-    rows = spark.read.parquet(path)
-    # Folder names are read as numbers where they look like some.
-    return rows.withColumns({c: F.col(c).cast("string") for c in
-                             ("run_id", "system_name", "writer")})
+def read_events(spark: SparkSession, path: str, run_id: str | None = None,
+                system: str | None = None) -> DataFrame:
+    """All written rows (of a run, of a system), with time of writing, writer and batch number."""
+    wanted = {"run_id": run_id, "system_name": system}
+    return event_table(spark, path).read(**{k: v for k, v in wanted.items() if v is not None})
 
 
-def current_events(spark: SparkSession, path: str, key: Sequence[str] = S.EVENT_KEY) -> DataFrame:
+def current_events(spark: SparkSession, path: str, key: Sequence[str] = S.EVENT_KEY,
+                   run_id: str | None = None, system: str | None = None) -> DataFrame:
     """The decision table as readers see it: the last inserted row per key.
 
-    Writers are ordered by time of writing, batches of one writer by number: a batch written
-    again counts as no later than the batches that follow it.
+    A writer's batches are later than its earlier ones, whatever its clock says. A system may be
+    asked for only where it is part of the key.
     """
-    rows = read_events(spark, path)
-    later = Window.partitionBy("writer").orderBy(F.desc("batch")).rowsBetween(
-        Window.unboundedPreceding, 0)
-    versions = rows.groupBy("writer", "batch").agg(
-        F.max("written_at_epoch_ms").alias("_at")).withColumn("_at", F.min("_at").over(later))
-    return latest_by_key(rows.join(versions, ["writer", "batch"]), key, (
-        "-_at", "-batch", "-processed_at_epoch_ms", "writer")).drop("_at")
+    if system is not None and "system_name" not in key:
+        raise ValueError("rows of other systems decide which row is the last")
+    return latest_by_key(read_events(spark, path, run_id, system), key, (
+        "-written_at_epoch_ms", "-batch", "-processed_at_epoch_ms", "writer"))
+
+
+def alert_rows(found: DataFrame) -> DataFrame:
+    """Alerts as (run_id, event_id, processed_at_epoch_ms, alert as JSON)."""
+    return found.select("run_id", "event_id", "processed_at_epoch_ms",
+                        F.to_json(F.struct(*found.columns)).alias("alert"))
 
 
 def capped_alerts(df: DataFrame, cap: int = ALERT_CAP) -> DataFrame:
     """The newest alerts of each run as JSON."""
-    kept = top_per_group(alerts(df), ["run_id"], ["-processed_at_epoch_ms", "-event_id"], cap,
-                         unique="event_id")
-    return kept.select("run_id", "event_id", "processed_at_epoch_ms",
-                       F.to_json(F.struct(*kept.columns)).alias("alert"))
+    return alert_rows(top_per_group(alerts(df), ["run_id"], NEWEST, cap, unique="event_id"))
+
+
+NEWEST = ("-processed_at_epoch_ms", "-event_id")
+
+
+class AlertList:
+    """The newest alerts of every run, kept up to date as batches come.
+
+    A batch is cut to ``cap`` alerts a run and merged with the list before it: it costs its own
+    alerts and one list, however many alerts a run has had. Every list is a committed version
+    named by writer and batch. A batch not after the last one changes nothing; versions before
+    the last two are deleted.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, cap: int = ALERT_CAP) -> None:
+        self.table, self.cap = CommittedTable(spark, path), cap
+
+    def update(self, records: DataFrame, writer: str, batch: int) -> None:
+        versions = self.table.commits_of(writer)
+        if versions and batch <= versions[-1][0]:
+            return
+        merged = capped_alerts(records, self.cap)
+        if versions:
+            merged = self._merged(merged.unionByName(self.table.read_commit(versions[-1][1])
+                                                     .select(*merged.columns)))
+        self.table.append(merged, writer, batch)
+        for _, name in versions[:-1]:
+            self.table.drop_commit(name)
+
+    def _merged(self, lists: DataFrame) -> DataFrame:
+        return top_per_group(lists, ["run_id"], (*NEWEST, "-alert"), self.cap, unique="event_id")
+
+    def read(self) -> DataFrame:
+        """The list over all writers."""
+        lists = [self.table.read_commit(self.table.commits_of(w)[-1][1])
+                 for w in self.table.writers()]
+        if not lists:
+            raise ValueError("no list was written")
+        return self._merged(reduce(DataFrame.unionByName, lists)).select(
+            "run_id", "event_id", "processed_at_epoch_ms", "alert")
 
 
 RUN_COLUMNS = ["run_id", "status", "expected_count", "sent_count", "started_at_epoch_ms",

@@ -3,36 +3,42 @@
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
 
 from sieveguard.functions.columns import alerts, uncertain_branch
 from sieveguard.sources.readings import BATCH_FILES
-from sieveguard.sources.sinks import append_events, event_rows
+from sieveguard.sources.commits import COMMIT, CommittedTable
+from sieveguard.sources.sinks import AlertList, append_events, event_rows
 
 
 def fan_out(path: str, branches: Callable[[DataFrame, int], None] | None = None,
-            writer: str = "stream") -> Callable[[DataFrame, int], None]:
-    """Micro-batch writer: ``events``, ``alerts`` and ``uncertain`` tables under ``path``.
-
-    The batch is kept while its branches are written, so it is scored once.  Each branch
-    writes to a folder of the writer and batch number, so a retried batch replaces itself and
-    several runs and modes share one table.
+            writer: str = "stream", alert_cap: int | None = None
+            ) -> Callable[[DataFrame, int], None]:
+    """Micro-batch writer: committed tables ``events``, ``alerts`` and ``uncertain`` under
+    ``path``, and with ``alert_cap`` the ``alert_list`` of the newest alerts of each run.
+
+    The batch is kept while its branches are written, so it is scored once. A retried batch
+    writes only the tables it had not committed before, so several runs and modes share one table
+    and readers of any branch see every batch once.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
         batch.persist()
         try:
             append_events(event_rows(batch), batch_id, f"{path}/events", writer)
-            found = alerts(batch)
-            found.select("run_id", "event_id", "processed_at_epoch_ms", "is_anomaly",
-                         F.to_json(F.struct(*batch.columns)).alias("alert")).write.mode(
-                "overwrite").parquet(f"{path}/alerts/writer={writer}/batch={batch_id}")
-            uncertain_branch(batch).write.mode("overwrite").parquet(
-                f"{path}/uncertain/writer={writer}/batch={batch_id}")
+            CommittedTable(spark, f"{path}/alerts").append(
+                alerts(batch).select("run_id", "event_id", "processed_at_epoch_ms", "is_anomaly",
+                                     F.to_json(F.struct(*batch.columns)).alias("alert")),
+                writer, batch_id)
+            CommittedTable(spark, f"{path}/uncertain").append(
+                uncertain_branch(batch), writer, batch_id)
+            if alert_cap is not None:
+                AlertList(spark, f"{path}/alert_list", alert_cap).update(batch, writer, batch_id)
             if branches is not None:
                 branches(batch, batch_id)
         finally:
@@ -45,28 +51,39 @@ def writer_name(checkpoint: str) -> str:
     return hashlib.sha256(checkpoint.rstrip("/").encode()).hexdigest()[:16]
 
 
-def run_external(spark: SparkSession, path: str, schema: StructType, checkpoint: str,
+def run_external(spark: SparkSession, path: str, checkpoint: str,
                  decide: Callable[[DataFrame], DataFrame],
                  trigger: dict | None = None) -> StreamingQuery:
     """Decide the open cases under ``path`` in a stream of its own, beside the main one.
 
-    The main stream only writes its ``uncertain`` table (of layout ``schema``, the records'); a
-    slow or hanging model delays nothing there. ``decide`` gives decision records, for example
-    :func:`~sieveguard.detectors.external.external_decision`; they are added to ``events``.
+    The main stream only commits its ``uncertain`` table; a slow or hanging model delays nothing
+    there. This stream's input is the log of those commits, one small file each: a batch is handed
+    over when it is whole, and once, however often the main stream tries it. ``decide`` gives
+    decision records, for example :func:`~sieveguard.detectors.external.external_decision`; they
+    are added to ``events``, and a retry here adds none twice.
     """
-    cases = (spark.readStream.schema(schema).option("maxFilesPerTrigger", BATCH_FILES)
-             .parquet(f"{path}/uncertain/writer=*/batch=*"))
+    cases = CommittedTable(spark, f"{path}/uncertain")
+    cases.files.make(cases.log)
+    named = (spark.readStream.format("text").option("pathGlobFilter", f"{COMMIT}*.json")
+             .option("wholetext", True).option("maxFilesPerTrigger", BATCH_FILES)
+             .load(cases.log))
     writer = writer_name(checkpoint)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        append_events(event_rows(decide(batch)), batch_id, f"{path}/events", writer)
-
-    return (cases.writeStream.option("checkpointLocation", checkpoint)
+        entries = [json.loads(r["value"]) for r in batch.collect()]  # at most BATCH_FILES
+        folders = [p["folder"] for e in entries for p in e["parts"]]
+        if folders:
+            rows = cases.read_folders(folders, entries[-1]["schema"]).drop(
+                "written_at_epoch_ms", "writer", "batch")
+            append_events(event_rows(decide(rows)), batch_id, f"{path}/events", writer)
+
+    return (named.writeStream.option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"processingTime": "1 second"})).foreachBatch(write).start())
 
 
 def run_stream(records: DataFrame, path: str, checkpoint: str, trigger: dict | None = None,
-               branches: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
+               branches: Callable[[DataFrame, int], None] | None = None,
+               alert_cap: int | None = None) -> StreamingQuery:
     """Start writing a stream of decision records (see ``plans.flow.decide_records``).
 
     ``trigger`` defaults to one second, the flush interval of the decision table.
@@ -76,7 +93,7 @@ def run_stream(records: DataFrame, path: str, checkpoint: str, trigger: dict | N
     writer = writer_name(checkpoint)
     return (records.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"processingTime": "1 second"}))
-            .foreachBatch(fan_out(path, branches, writer)).start())
+            .foreachBatch(fan_out(path, branches, writer, alert_cap)).start())
 
 
 def alert_console(records: DataFrame, checkpoint: str, sink: str = "console",

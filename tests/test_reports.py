@@ -176,7 +176,8 @@ def test_running_quality_matches_brute_force(spark):
             for i in range(1003)]
     df = spark.createDataFrame(rows, "seq int, label int, is_anomaly int, escalated int,"
                                      " processing_latency_ms double").repartition(5)
-    got = {r["processed"]: r for r in R.running_quality(df, 250, order=("seq",)).collect()}
+    got = {r["processed"]: r for r in R.running_quality(
+        df, 250, order=("seq",), exact=True).collect()}
     assert sorted(got) == [250, 500, 750, 1000, 1003]
     for n, row in got.items():
         part = rows[:n]
@@ -186,6 +187,26 @@ def test_running_quality_matches_brute_force(spark):
         assert row["p95"] == pytest.approx(np.percentile([r[4] for r in part], 95))
 
 
+def test_sketched_running_quality_keeps_its_rank_error(spark):
+    rng = random.Random(9)
+    rows = [(i, i % 2, i % 3 == 0, 0, None if i < 40 or i % 50 == 0 else rng.gauss(100, 20))
+            for i in range(2_000)]
+    df = spark.createDataFrame(rows, "seq int, label int, is_anomaly boolean, escalated int,"
+                                     " processing_latency_ms double").withColumn(
+        "is_anomaly", F.col("is_anomaly").cast("int")).repartition(5)
+    got = {r["processed"]: r for r in R.running_quality(df, 20, order=("seq",)).collect()}
+    assert len(got) == 100 and got[20]["p50"] is None and got[40]["p95"] is None
+    exact = {r["processed"]: r for r in R.running_quality(
+        df, 20, order=("seq",), exact=True).collect()}
+    for n, row in got.items():
+        values = np.array([r[4] for r in rows[:n] if r[4] is not None])
+        for name, q in (("p50", .5), ("p95", .95)) if len(values) else ():
+            rank = (values <= row[name]).mean()
+            assert abs(rank - q) <= R.SKETCH_ERROR + 1 / len(values)
+        assert row["f1"] == exact[n]["f1"]
+    assert R.running_quality(df.limit(0), 20, order=("seq",)).count() == 0
+
+
 def test_series_span_ends_at_last_row_of_the_run(spark):
     ms = 1_700_000_000_000
     rows = [("r", "fast", "a", 0, 0, 0, 0, ms, 1.0), ("r", "fast", "b", 0, 1, 0, 1, ms + 61_000, 1.0),

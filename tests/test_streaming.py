@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -6,8 +7,9 @@ from test_windows import ORDER, collect, noisy, same
 from sieveguard.functions.columns import heuristic_prob
 from sieveguard.operators.windows import dual_window_features
 from sieveguard.plans.flow import both_modes, decide_records
+from sieveguard.sources.commits import CommittedTable
 from sieveguard.sources.sinks import current_events, read_events
-from sieveguard.streaming.features import stream_features
+from sieveguard.streaming.features import VALUES, Tails, advance, stream_features
 from sieveguard.streaming.run import alert_console, run_stream, stream_dedup
 from workload.base import probabilities
 
@@ -84,9 +86,11 @@ def test_fan_out_is_idempotent_and_equals_batch(spark, tmp_path):
     want = records(dual_window_features(df, order=ORDER))
     assert (events.where("is_anomaly = 1").select("event_id").distinct().count()
             == want.where("is_anomaly = 1").count()
-            == spark.read.parquet(f"{tmp_path}/out/alerts").select("event_id").distinct().count())
+            == CommittedTable(spark, f"{tmp_path}/out/alerts").read().select(
+                "event_id").distinct().count())
     assert (want.where("uncertain").count()
-            == spark.read.parquet(f"{tmp_path}/out/uncertain").select("event_id").distinct().count())
+            == CommittedTable(spark, f"{tmp_path}/out/uncertain").read().select(
+                "event_id").distinct().count())
     current = {r["event_id"]: r["p_final"] for r in
                current_events(spark, f"{tmp_path}/out/events").collect()}
     assert current == pytest.approx({r["event_id"]: r["p_final"] for r in want.collect()})
@@ -121,3 +125,58 @@ def test_console_shows_alerts_only(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert [r["event_id"] for r in spark.table("shown").collect()] == ["r:2"]
+
+
+def test_a_silent_sensor_starts_anew(spark, tmp_path):
+    first = make_readings(spark, [(m, i, 10.0 + i, 2.0) for m in (1, 2) for i in range(12)])
+    later = make_readings(spark, [(m, 100 + i, 50.0 + i, 2.0) for m in (1, 3) for i in range(2)])
+
+    def features(expiry_ms):
+        return stream_features(source(spark, tmp_path / "in"), order=ORDER, buckets=1,
+                               expiry_ms=expiry_ms)
+
+    first.coalesce(1).write.parquet(str(tmp_path / "in"))
+    for name, expiry_ms in (("kept", 3_600_000), ("gone", 1)):
+        drain(features(expiry_ms), tmp_path / name, tmp_path / f"{name}-state")
+    later.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    slopes = {}
+    for name, expiry_ms in (("kept", 3_600_000), ("gone", 1)):
+        drain(features(expiry_ms), tmp_path / name, tmp_path / f"{name}-state")
+        rows = spark.read.parquet(str(tmp_path / name))
+        assert rows.count() == 28
+        slopes[name] = {r["moteid"]: r["temp_slope_15m"] for r in rows.where(
+            "temperature = 50").collect()}
+    assert slopes == {"kept": {1: pytest.approx(3.8), 3: 0.0}, "gone": {1: 0.0, 3: 0.0}}
+
+
+def test_state_holds_the_sensors_of_the_last_while():
+    fresh = {v: np.arange(40.0) for v in VALUES}
+    owner = np.repeat([0, 1], 20)
+    _, one = advance(Tails.empty(), ["a", "b"], owner, fresh, now=1_000)
+    _, two = advance(one, ["c", "b"], owner, fresh, now=5_000)
+    assert two.names == ["a", "c", "b"] and list(two.sizes) == [20, 20, 29]
+    assert list(two.values["voltage"][-29:]) == list(range(31, 40)) + list(range(20, 40))
+    rest = Tails.of(two.since(2_000).row())
+    assert rest.names == ["c", "b"] and list(rest.seen) == [5_000, 5_000]
+    assert len(rest.values["temperature"]) == 49
+
+
+def test_bulk_features_equal_those_of_one_sensor_at_a_time():
+    rng = np.random.default_rng(3)
+    names = [f"s{i}" for i in range(30)]
+    whole = {n: {v: rng.normal(20, 3, 90) for v in VALUES} for n in names}
+    for n in names:
+        whole[n]["temperature"][rng.random(90) < .2] = np.nan
+    alone = {n: advance(Tails.empty(), [n], np.zeros(90, int), whole[n], 0)[0] for n in names}
+    tails, done = Tails.empty(), dict.fromkeys(names, 0)
+    for step in range(12):
+        sizes = {n: int(k) for n, k in zip(names, rng.integers(0, 8, 30)) if k}
+        owner = np.repeat(np.arange(len(sizes)), list(sizes.values()))
+        cut = {v: np.concatenate([whole[n][v][done[n]:done[n] + k] for n, k in sizes.items()])
+               for v in VALUES}
+        got, tails = advance(tails, list(sizes), owner, cut, step)
+        at = 0
+        for n, k in sizes.items():
+            for c in got:
+                np.testing.assert_allclose(got[c][at:at + k], alone[n][c][done[n]:done[n] + k])
+            at, done[n] = at + k, done[n] + k

@@ -12,6 +12,7 @@ from sieveguard.detectors.external import external_decision
 from sieveguard.functions.columns import heuristic_prob
 from sieveguard.plans.flow import decide_records
 from sieveguard.scratch import scratch_path
+from sieveguard.sources.commits import CommittedTable
 from sieveguard.sources.sinks import read_events
 from sieveguard.streaming.features import stream_features
 from sieveguard.streaming.run import (
@@ -112,8 +113,8 @@ def branches_of(spark: SparkSession, path: str) -> DataFrame:
     parts = [read_events(spark, f"{path}/events").select(
         F.lit("events").alias("branch"), "event_id")]
     for name in ("alerts", "uncertain"):
-        parts.append(spark.read.option("basePath", f"{path}/{name}").parquet(
-            f"{path}/{name}/writer=*/batch=*").select(F.lit(name).alias("branch"), "event_id"))
+        parts.append(CommittedTable(spark, f"{path}/{name}").read().select(
+            F.lit(name).alias("branch"), "event_id"))
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
@@ -146,7 +147,7 @@ def _(spark, sf):
     """Open cases decided by a second stream over the table that the first one wrote."""
     path, records = scratch_path(spark, "beside"), sliced_records(spark, sf)
     run_stream(records, path, scratch_path(spark, "main_state"), DRAIN).awaitTermination()
-    run_external(spark, path, records.schema, scratch_path(spark, "external_state"),
+    run_external(spark, path, scratch_path(spark, "external_state"),
                  lambda cases: external_decision(cases, partial(answer, limit=0.4), concurrency=2),
                  DRAIN).awaitTermination()
     rows = read_events(spark, f"{path}/events").where("engine <> 'fast-path'")

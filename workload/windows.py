@@ -8,7 +8,8 @@ from sieveguard import schema as S
 from sieveguard.operators import windows as W
 from sieveguard.operators.dedup import latest_by_key
 from sieveguard.operators.ordering import ordered_sequence
-from sieveguard.operators.ranking import running_quality
+from sieveguard.operators.ranking import SKETCH_ERROR, running_latency, running_quality
+from sieveguard.scratch import written
 from workload.base import (
     ORDER, SQL_FEATURES, SQL_READINGS, SQL_RECORDS, features, query, readings, records, rounded,
     s6, sql, two_mode_events)
@@ -146,10 +147,31 @@ select processed, {s6('precision')}, {s6('recall')},
   {s6('coalesce(2e0 * precision * recall / nullif(precision + recall, 0e0), 0e0)', 'f1')},
   {s6('up * 1e2 / processed', 'escalated_pct')}, {s6('p50')}, {s6('p95')} from pr"""))
 def _(spark, sf):
-    out = running_quality(records(spark, sf), every=1000, order=ORDER)
+    out = running_quality(records(spark, sf), every=1000, order=ORDER, exact=True)
     return rounded(out, "precision", "recall", "f1", "escalated_pct", "p50", "p95")
 
 
+@query("running_quality_sketched", sql(SQL_RECORDS + """,
+q as (select row_number() over (order by ts, seq) as place from rec
+  where system_name = 'selective')""", """
+select place as processed, true as p50_ok, true as p95_ok from q where place % 250 = 0
+union select max(place), true, true from q"""))
+def _(spark, sf):
+    """Whether every running quantile of the sketches lies between the exact ones whose ranks
+    are off by the error bound."""
+    rows = written(records(spark, sf), "quality_records")
+    got = running_quality(rows, every=250, order=ORDER)
+    placed = ordered_sequence(rows, ORDER, start=1, name="_n").withColumn(
+        "_step", F.floor((F.col("_n") - 1) / 250).cast("long"))
+    bounds = {f"{n}_{side}": min(1.0, q + e) for n, q in (("p50", 0.5), ("p95", 0.95))
+              for side, e in (("low", -SKETCH_ERROR), ("high", SKETCH_ERROR))}
+    exact = running_latency(placed, "processing_latency_ms", bounds).join(
+        placed.groupBy("_step").agg(F.max("_n").alias("processed")), "_step")
+    return got.join(exact, "processed").select("processed", *[
+        F.col(n).between(F.floor(f"{n}_low"), F.ceil(f"{n}_high")).alias(f"{n}_ok")
+        for n in ("p50", "p95")])
+
+
 @query("context_window", sql(SQL_READINGS + """,
 o as (select *, row_number() over (order by ts, seq) - 1 as pos from r),
 c as (select *, row_number() over (partition by anomaly_type order by ts, seq) - 1 as nth from o),
