@@ -8,7 +8,7 @@ lacks has one share for all its terms, so it enters by counts of equal shares.
 
 Vocabularies are dealt into blocks of about BLOCK_TERMS distinct terms by a hash, and each block
 has a vectorizer of its own: sums over blocks are the sums over the whole vocabulary, and the
-driver holds one block's terms at a time. Sources are compared in blocks of SOURCE_BLOCK.
+driver holds one block's terms at a time.
 
 Nulls in text, language and source count as ''. Groups without terms, and languages in which no
 term is in enough documents, have their pairs (value 0 where no term is kept) and no terms.
@@ -19,10 +19,13 @@ empty result.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -36,8 +39,9 @@ MIN_DOCS = 3
 TOP_TERMS = 200
 EVERY_TERM = 2 ** 31 - 1
 SCALE = 1_000_000_000     # shares are counted in parts of this
-BLOCK_TERMS = 1 << 19
-SOURCE_BLOCK = 64
+BLOCK_TERMS = 1 << 18
+BATCH_BYTES = 4 << 20     # text looked at at once
+ROWS = 1 << 16            # counts looked at at once, about
 PAIRS = 1 << 20           # pairs of shares compared at once
 # In every document of a language, and never a term: a vectorizer then always has a vocabulary.
 FILLER = ""
@@ -53,11 +57,11 @@ def lang_key(lang: Column) -> Column:
     return F.concat(F.lit("l"), F.sha2(lang.cast("binary"), 256))
 
 
-def term_blocks(rows: DataFrame, block_terms: int) -> int:
-    """Blocks for the language with the most distinct terms (estimated)."""
+def term_blocks(rows: DataFrame, block_terms: int) -> dict[str, int]:
+    """Blocks of each language whose distinct terms (estimated) need more than one."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sized_batches(batches, "text"):
+        for batch in sized_batches(batches, "text", BATCH_BYTES):
             flat, sizes = term_lists(batch.column(1), WORDS)
             langs = batch.column(0).dictionary_encode()
             owner = np.repeat(langs.indices.to_numpy(), sizes)
@@ -67,34 +71,40 @@ def term_blocks(rows: DataFrame, block_terms: int) -> int:
                     [pa.array([lang] * len(seen), pa.string()), seen], names=["lang", "term"])
 
     seen = rows.select("lang", "text").mapInArrow(compute, "lang string, term string")
-    most = seen.groupBy("lang").agg(F.approx_count_distinct("term", 0.02).alias("n")).agg(
-        F.max("n")).first()[0]
-    return max(1, -(-(most or 0) // block_terms))
+    counted = seen.groupBy("lang").agg(F.approx_count_distinct("term", 0.05).alias("n"))
+    return {r["lang"]: -(-r["n"] // block_terms) for r in counted.where(
+        F.col("n") > block_terms).toLocalIterator()}
 
 
-def write_terms(rows: DataFrame, path: str, blocks: int) -> None:
-    """Terms of every document, in folders by language and block of terms."""
+def write_terms(rows: DataFrame, path: str, blocks: dict[str, int]) -> None:
+    """Terms of every document and the FILLER, in folders by language and block of terms."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zlib
-        for batch in sized_batches(batches, "text", 4 << 20):
+        for batch in sized_batches(batches, "text", BATCH_BYTES):
             flat, sizes = term_lists(batch.column(2), WORDS)
-            sides = [batch.column(0), batch.column(1)]
-            if blocks == 1:
-                dealt = [(0, flat, sizes)]
-            else:
-                coded = flat.dictionary_encode()
-                own = np.array([zlib.crc32(t.encode()) % blocks
-                                for t in coded.dictionary.to_pylist()], np.int64)
-                part = own[coded.indices.to_numpy()] if len(flat) else np.zeros(0, np.int64)
-                rows_of = np.repeat(np.arange(len(sizes)), sizes)
-                dealt = [(b, flat.filter(pa.array(part == b)),
-                          np.bincount(rows_of[part == b], minlength=len(sizes)))
-                         for b in range(blocks)]
-            for block, terms, counts in dealt:
+            langs = batch.column(0).to_pylist()
+            parts = np.array([blocks.get(x, 1) for x in langs], np.int64)
+            # Documents and terms by block; documents of one block stay whole.
+            coded = flat.dictionary_encode()
+            hashes = np.array([zlib.crc32(t.encode()) for t in coded.dictionary.to_pylist()]
+                              if (parts > 1).any() else [0] * len(coded.dictionary), np.int64)
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            block = hashes[coded.indices.to_numpy()] % parts[owner]
+            for b in range(int(parts.max(initial=0))):
+                own = np.flatnonzero(parts > b)
+                mine = block == b
+                counts = np.bincount(owner[mine], minlength=len(sizes))[own]
+                ends = np.cumsum(counts + 1)
+                at = np.ones(int(ends[-1]), bool)
+                at[ends - 1] = False
+                order = np.full(len(at), int(mine.sum()))
+                order[at] = np.arange(int(mine.sum()))
+                terms = pa.concat_arrays([flat.filter(pa.array(mine)), pa.array(
+                    [FILLER], pa.large_string())]).take(pa.array(order))
                 yield pa.RecordBatch.from_arrays(
-                    [*sides, pa.array([block] * len(counts), pa.int32()),
-                     as_lists(terms, counts)], names=["lang", "source", "block", "terms"])
+                    [batch.column(0).take(pa.array(own)), batch.column(1).take(pa.array(own)),
+                     pa.array(np.full(len(own), b, np.int32)), as_lists(terms, counts + 1)],
+                    names=["lang", "source", "block", "terms"])
 
     out = rows.select("lang", "source", "text").mapInArrow(
         compute, "lang string, source string, block int, terms array<string>")
@@ -130,148 +140,206 @@ def group_sums(vectors: DataFrame) -> DataFrame:
     return parts.groupBy("source", "index").agg(F.sum("count").alias("count"))
 
 
+COUNTS = "lang string, source string, term string, count long"
+
+
 def count_terms(docs: DataFrame, min_docs: int = MIN_DOCS, block_terms: int = BLOCK_TERMS
-                ) -> DataFrame:
+                ) -> tuple[DataFrame, DataFrame]:
     """(lang, source, term, count) of the terms in at least ``min_docs`` documents of the
-    language; counts of 0 are left out. Written to the shared folder."""
+    language, counts of 0 left out, and (lang, v), the number of such terms."""
     spark, rows = docs.sparkSession, plain(docs)
     blocks = term_blocks(rows, block_terms)
     terms = scratch_path(spark, "audit_terms")
     write_terms(rows, terms, blocks)
-    sums, found = scratch_path(spark, "audit_sums"), False
-    layout = "source string, terms array<string>"
+    sums, kept = scratch_path(spark, "audit_sums"), []
     langs = rows.groupBy("lang").agg(F.count("*").alias("n")).where(
         F.col("n") >= min_docs).select("lang", lang_key(F.col("lang")).alias("key"))
     for lang, key in langs.toLocalIterator():
-        for block in range(blocks):
-            own = spark.read.schema(layout).parquet(f"{terms}/lang_key={key}/block={block}")
-            own = own.select("source", F.array_append("terms", F.lit(FILLER)).alias("terms"))
+        size = 0
+        for block in range(blocks.get(lang, 1)):
+            own = spark.read.schema("source string, terms array<string>").parquet(
+                f"{terms}/lang_key={key}/block={block}")
             model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_docs),
                                     vocabSize=EVERY_TERM).fit(own)
             words = spark.createDataFrame(pa.table({
                 "index": pa.array(range(len(model.vocabulary)), pa.int32()),
                 "term": pa.array(model.vocabulary, pa.string())})).where(F.col("term") != FILLER)
+            size += len(model.vocabulary) - 1
             counted = group_sums(model.transform(own).select("source", "vector"))
             counted.join(words, "index").select(
                 F.lit(lang).alias("lang"), "source", "term", "count").write.mode(
                 "append").parquet(sums)
-            found = True
-    layout = "lang string, source string, term string, count long"
-    return spark.read.schema(layout).parquet(sums) if found else spark.createDataFrame([], layout)
-
-
-def share(count: str) -> Column:
-    """1 + floor(SCALE * (count + 1) / (n + v)), exactly."""
-    return F.expr(f"1 + (cast({SCALE} as decimal(10,0)) * cast({count} + 1 as decimal(20,0))"
-                  " div cast(n + v as decimal(20,0)))")
-
+        kept.append((lang, size))
+    counts = spark.read.schema(COUNTS).parquet(sums) if kept else spark.createDataFrame([], COUNTS)
+    return counts, spark.createDataFrame(kept, "lang string, v long")
 
-def gap(p: str, q: str) -> str:
-    return f"(({p} - {q}) * ({p} - {q}) div {q})"
 
-
-def group_sizes(docs: DataFrame, counts: DataFrame) -> DataFrame:
-    """(lang, source, number, n, v, p0) of every group: occurrences and size of its vocabulary,
-    and the share of a kept term that it lacks."""
-    groups = plain(docs.select("lang", "source", F.lit("").alias("text"))).groupBy(
-        "lang", "source").agg(F.count("*").alias("docs"))
+def group_sizes(docs: DataFrame, counts: DataFrame, kept: DataFrame) -> DataFrame:
+    """(lang, source, number, n, v, whole) of every group: its occurrences of kept terms, the
+    terms of its language, and the language's occurrences."""
+    groups = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
+                           for c in ("lang", "source")]).groupBy("lang", "source").agg(
+        F.count("*").alias("docs"))
     n = counts.groupBy("lang", "source").agg(F.sum("count").alias("n"))
-    v = counts.select("lang", "term").distinct().groupBy("lang").agg(F.count("*").alias("v"))
-    number = F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1
-    sized = groups.join(n, ["lang", "source"], "left").join(v, "lang", "left").select(
-        "lang", "source", number.cast("int").alias("number"),
-        F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("v", F.lit(0)).alias("v"))
-    return sized.withColumn("p0", F.when(F.col("v") > 0, share("0")))
-
-
-def common_terms(shares: DataFrame) -> DataFrame:
-    """(lang, g, h, value): over the terms that both g and h hold, what the gap of their shares
-    differs from what either side's own terms stand for."""
-    entries = shares.groupBy(
-        "lang", "term", (F.col("number") / SOURCE_BLOCK).cast("int").alias("block")).agg(
-        F.collect_list(F.struct("number", "p", "p0")).alias("entries"))
-    left = entries.select("lang", "term", F.col("block").alias("g_block"),
-                          F.col("entries").alias("g"))
-    right = entries.select("lang", "term", F.col("block").alias("h_block"),
-                           F.col("entries").alias("h"))
-    rows = left.join(right, ["lang", "term"]).select("lang", "g_block", "h_block", "g", "h")
+    own = Window.partitionBy("lang")
+    return groups.join(n, ["lang", "source"], "left").join(kept, "lang", "left").select(
+        "lang", "source", (F.row_number().over(own.orderBy("source")) - 1).alias("number"),
+        F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("v", F.lit(0)).alias("v"),
+        F.coalesce(F.sum("n").over(own), F.lit(0)).alias("whole"))
+
+
+def share(count: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """1 + floor(SCALE * (count + 1) / total), exactly."""
+    if len(count) and int(count.max()) > 9_000_000_000:
+        return (1 + SCALE * (count.astype(object) + 1) // total.astype(object)).astype(np.int64)
+    return 1 + SCALE * (count + 1) // total
+
+
+def gap(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    return (p - q) * (p - q) // q
+
+
+def _whole_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by (lang, term) in tables of about ROWS that do not cut a term."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        rows += batch.num_rows
+        if rows < ROWS:
+            continue
+        table_ = pa.Table.from_batches(held).combine_chunks()
+        last = _term_starts(table_)[-1]
+        if last:
+            yield table_.slice(0, last)
+        held = table_.slice(last).to_batches()
+        rows = rows - last
+    if rows:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _term_starts(rows: pa.Table) -> np.ndarray:
+    changed = np.ones(len(rows), bool)
+    if len(rows) > 1:
+        changed[1:] = False
+        for name in ("lang", "term"):
+            column = rows.column(name).combine_chunks()
+            changed[1:] |= pc.not_equal(column.slice(1), column.slice(0, len(rows) - 1)
+                                        ).to_numpy(zero_copy_only=False)
+    return np.flatnonzero(changed)
+
+
+def _summed(langs: list, keys: list[np.ndarray], values: list[np.ndarray]) -> pd.DataFrame:
+    frame = pd.DataFrame({f"k{i}": k for i, k in enumerate(keys)}
+                         | {f"v{i}": v for i, v in enumerate(values)})
+    out = frame.groupby([f"k{i}" for i in range(len(keys))], as_index=False, sort=False).sum()
+    return out.assign(k0=[langs[i] for i in out["k0"]])
+
+
+def compared(counts: DataFrame, sizes: DataFrame, top_terms: int) -> DataFrame:
+    """One pass over all terms: rows (lang, part, g, h, term, a, b).
+
+    Part ``pair``: over terms that g and h both hold, what the gap of their shares differs from
+    what their own terms stand for, as a * 2^32 + b. Part ``own``: b terms of g have the share a.
+    Part ``term``: a term with a larger share in g than in the language, and their gap a; a task
+    hands on the first ``top_terms`` of each g in every table of rows.
+    """
+    rows = counts.join(sizes, ["lang", "source"]).select(
+        "lang", "term", F.col("number").cast("long").alias("g"), "count",
+        (F.col("n") + F.col("v")).alias("n"), (F.col("whole") + F.col("v")).alias("whole"))
+    rows = rows.repartition("lang", "term").sortWithinPartitions("lang", "term")
+
+    def batch_of(part: str, lang: list, g, h=None, term=None, a=None, b=None) -> pa.RecordBatch:
+        n = len(lang)
+        blank = np.zeros(n, np.int64)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(lang, pa.string()), pa.array([part] * n, pa.string()), pa.array(g),
+             pa.array(blank if h is None else h),
+             pa.nulls(n, pa.string()) if term is None else term.cast(pa.string()),
+             pa.array(a), pa.array(blank if b is None else b)],
+            names=["lang", "part", "g", "h", "term", "a", "b"])
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple, np.ndarray] = {}
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = list(zip(*(c.to_pylist() for c in batch.columns[:3])))
-            sides = []
-            for side in batch.columns[3:5]:
-                fields = side.flatten()
-                sides.append([side.value_lengths().to_numpy().astype(np.int64)] + [
-                    fields.field(i).to_numpy().astype(np.int64) for i in range(3)])
-            (gs, g_no, g_p, g_z), (hs, h_no, h_p, h_z) = sides
-            slots: dict[tuple, int] = {}
-            slot = np.array([slots.setdefault(k, len(slots)) for k in keys], np.int64)
-            acc = np.zeros((len(slots), SOURCE_BLOCK * SOURCE_BLOCK), np.int64)
-            g_at, h_at = np.cumsum(gs) - gs, np.cumsum(hs) - hs
-            ends, low = np.cumsum(gs * hs), 0
-            while low < len(gs):
-                start = ends[low - 1] if low else 0
-                high = max(low + 1, int(np.searchsorted(ends, start + PAIRS, "right")))
-                pairs = (gs * hs)[low:high]
-                row = np.repeat(np.arange(low, high), pairs)
-                k = np.arange(len(row)) - np.repeat(np.cumsum(pairs) - pairs, pairs)
-                a, b = g_at[row] + k // hs[row], h_at[row] + k % hs[row]
-                p, q, p_, q_ = g_p[a], h_p[b], g_z[a], h_z[b]
-                value = ((p - q) ** 2 // q - (p - q_) ** 2 // q_ - (p_ - q) ** 2 // q
-                         + (p_ - q_) ** 2 // q_)
-                np.add.at(acc, (slot[row], (g_no[a] % SOURCE_BLOCK) * SOURCE_BLOCK
-                                + h_no[b] % SOURCE_BLOCK), value)
+        for part in _whole_terms(batches):
+            starts = _term_starts(part)
+            size = np.diff(np.append(starts, len(part)))
+            coded = part.column("lang").combine_chunks().dictionary_encode()
+            names, lang = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+            g, count, n, whole = (part.column(c).to_numpy() for c in ("g", "count", "n", "whole"))
+            p, absent = share(count, n), share(np.zeros_like(n), n)
+            q = np.repeat(share(np.add.reduceat(count, starts), whole[starts]), size)
+
+            raised = np.flatnonzero(p > q)
+            value = gap(p[raised], q[raised])
+            # Rows are in the order of the terms, so places decide ties.
+            order = np.lexsort((raised, -value, g[raised], lang[raised]))
+            group = lang[raised][order] << 32 | g[raised][order]
+            first = np.flatnonzero(np.diff(group, prepend=-1))
+            nth = np.arange(len(group)) - np.repeat(first, np.diff(np.append(first, len(group))))
+            best = order[nth < top_terms]
+            at = raised[best]
+            yield batch_of("term", [names[i] for i in lang[at]], g[at],
+                           term=part.column("term").combine_chunks().take(pa.array(at)),
+                           a=value[best])
+
+            own = _summed(names, [lang, g, p], [np.ones(len(p), np.int64)])
+            yield batch_of("own", own["k0"].tolist(), own["k1"].to_numpy(), a=own["k2"].to_numpy(),
+                           b=own["v0"].to_numpy())
+
+            start, size = np.repeat(starts, size), np.repeat(size, size)
+            ends, low = np.cumsum(size), 0
+            while low < len(ends):
+                before = ends[low - 1] if low else 0
+                high = max(low + 1, int(np.searchsorted(ends, before + PAIRS, "right")))
+                k = size[low:high]
+                x = np.repeat(np.arange(low, high), k)
+                y = start[x] + np.arange(len(x)) - np.repeat(np.cumsum(k) - k, k)
+                x, y = x[x != y], y[x != y]
+                value = (gap(p[x], p[y]) - gap(p[x], absent[y]) - gap(absent[x], p[y])
+                         + gap(absent[x], absent[y]))
+                both = _summed(names, [lang[x], g[x], g[y]], [value >> 32, value & 0xFFFFFFFF])
+                yield batch_of("pair", both["k0"].tolist(), both["k1"].to_numpy(),
+                               both["k2"].to_numpy(), a=both["v0"].to_numpy(),
+                               b=both["v1"].to_numpy())
                 low = high
-            for key, i in slots.items():
-                sums[key] = sums[key] + acc[i] if key in sums else acc[i]
-        for (lang, g_block, h_block), acc in sums.items():
-            at = np.flatnonzero(acc)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(at), pa.string()),
-                 pa.array((g_block * SOURCE_BLOCK + at // SOURCE_BLOCK).astype(np.int32)),
-                 pa.array((h_block * SOURCE_BLOCK + at % SOURCE_BLOCK).astype(np.int32)),
-                 pa.array(acc[at])], names=["lang", "g", "h", "value"])
 
-    return rows.mapInArrow(compute, "lang string, g int, h int, value long")
+    return rows.mapInArrow(compute, "lang string, part string, g long, h long, term string,"
+                                    " a long, b long")
 
 
-def source_pairs(sizes: DataFrame, shares: DataFrame) -> DataFrame:
-    """(lang, source, other, value, q) for all ordered pairs of sources of a language."""
-    g = sizes.select("lang", F.col("number").alias("g"), "source", F.col("p0").alias("g0"), "v")
-    h = sizes.select("lang", F.col("number").alias("h"), F.col("source").alias("other"),
-                     F.col("p0").alias("h0"))
+def source_pairs(sizes: DataFrame, parts: DataFrame) -> DataFrame:
+    """(lang, source, item, value) for all ordered pairs of sources of a language."""
     wide = "decimal(38,0)"
+    absent = F.when(F.col("v") > 0, F.expr(
+        f"1 + (cast({SCALE} as decimal(10,0)) div cast(n + v as decimal(20,0)))"))
+    g = sizes.select("lang", F.col("number").alias("g"), "source", absent.alias("g0"), "v")
+    h = sizes.select("lang", F.col("number").alias("h"), F.col("source").alias("item"),
+                     absent.alias("h0"))
+
+    def squared(p: str, q: str) -> Column:
+        return F.expr(f"({p} - {q}) * ({p} - {q}) div {q}").cast(wide)
+
+    both_absent = F.coalesce(squared("g0", "h0"), F.lit(0).cast(wide))
     base = g.join(h, "lang").where("g <> h").select(
-        "lang", "g", "h", (F.col("v").cast(wide) * F.coalesce(F.expr(gap("g0", "h0")), F.lit(0)))
-        .cast(wide).alias("value"))
-    # Terms of a group with the same share stand together.
-    equal = shares.groupBy("lang", "number", "p", "p0").agg(F.count("*").alias("k"))
-    one = equal.withColumnsRenamed({"number": "g", "p0": "g0"}).join(
-        h.drop("other"), "lang").where("g <> h").select(
-        "lang", "g", "h", (F.col("k").cast(wide) * F.expr(f"{gap('p', 'h0')} - {gap('g0', 'h0')}"))
-        .cast(wide).alias("value"))
-    two = equal.withColumnsRenamed({"number": "h", "p0": "h0"}).join(
+        "lang", "g", "h", (F.col("v").cast(wide) * both_absent).cast(wide).alias("value"))
+    own = parts.where("part = 'own'").groupBy("lang", "g", F.col("a").alias("p")).agg(
+        F.sum("b").cast(wide).alias("k"))
+    one = own.join(g.drop("source", "v"), ["lang", "g"]).join(h.drop("item"), "lang").where(
+        "g <> h").select("lang", "g", "h", (F.col("k") * (squared("p", "h0") - both_absent))
+                         .cast(wide).alias("value"))
+    two = own.withColumnRenamed("g", "h").join(h.drop("item"), ["lang", "h"]).join(
         g.drop("source", "v"), "lang").where("g <> h").select(
-        "lang", "g", "h", (F.col("k").cast(wide) * F.expr(f"{gap('g0', 'p')} - {gap('g0', 'h0')}"))
+        "lang", "g", "h", (F.col("k") * (squared("g0", "p") - both_absent))
         .cast(wide).alias("value"))
-    both = common_terms(shares).where("g <> h").withColumn("value", F.col("value").cast(wide))
+    both = parts.where("part = 'pair'").select(
+        "lang", F.col("g").cast("int").alias("g"), F.col("h").cast("int").alias("h"),
+        (F.col("a").cast(wide) * F.lit(1 << 32) + F.col("b")).cast(wide).alias("value"))
     total = base.union(one).union(two).union(both).groupBy("lang", "g", "h").agg(
         F.sum("value").cast("long").alias("value"))
     return total.join(g.select("lang", "g", "source"), ["lang", "g"]).join(
-        h.select("lang", "h", "other"), ["lang", "h"]).select("lang", "source", "other", "value")
-
-
-def raised_terms(shares: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(lang, source, term, value) of the terms with a larger share than in the language."""
-    whole = shares.groupBy("lang", "term").agg(F.sum("count").alias("count"))
-    n = sizes.groupBy("lang").agg(F.sum("n").alias("n"), F.max("v").alias("v"))
-    whole = whole.join(n, "lang").select("lang", "term", share("count").alias("q"))
-    return shares.join(whole, ["lang", "term"]).where("p > q").select(
-        "lang", "source", "term", F.expr(gap("p", "q")).alias("value"))
+        h.select("lang", "h", "item"), ["lang", "h"]).select("lang", "source", "item", "value")
 
 
 def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top_terms: int = TOP_TERMS,
@@ -281,22 +349,21 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top_terms: int = TOP_TERMS,
     Part ``pair``: every other source of the language. Part ``term``: the ``top_terms`` terms by
     which the source stands out in its language.
     """
-    counts = count_terms(docs, min_docs, block_terms)
-    sizes = written(group_sizes(docs, counts), "audit_sizes")
-    shares = written(counts.join(sizes, ["lang", "source"]).select(
-        "lang", "source", "number", "term", "count", share("count").alias("p"), "p0"),
-        "audit_shares")
+    counts, kept = count_terms(docs, min_docs, block_terms)
+    sizes = written(group_sizes(docs, counts, kept), "audit_sizes")
+    parts = written(compared(counts, sizes, top_terms), "audit_parts")
+    terms = parts.where("part = 'term'").join(
+        sizes.select("lang", F.col("number").cast("long").alias("g"), "source"), ["lang", "g"])
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
-    parts = []
-    for part, rows, name, last in (("pair", source_pairs(sizes, shares), "other", None),
-                                   ("term", raised_terms(shares, sizes), "term", top_terms)):
-        ranked = rows.withColumnRenamed(name, "item").withColumn(
-            "rank", F.row_number().over(order))
-        if last is not None:
-            ranked = ranked.where(F.col("rank") <= last)
-        parts.append(ranked.select("lang", "source", F.lit(part).alias("part"), "item",
-                                   F.col("value").cast("long").alias("value"), "rank"))
-    return parts[0].union(parts[1])
+    out = []
+    for part, rows in (("pair", source_pairs(sizes, parts)), ("term", terms.select(
+            "lang", "source", F.col("term").alias("item"), F.col("a").alias("value")))):
+        ranked = rows.withColumn("rank", F.row_number().over(order))
+        if part == "term":
+            ranked = ranked.where(F.col("rank") <= top_terms)
+        out.append(ranked.select("lang", "source", F.lit(part).alias("part"), "item", "value",
+                                 "rank"))
+    return out[0].union(out[1])
 
 
 AUDIT_SQL = r"""

@@ -32,15 +32,20 @@ def term_lists(texts: pa.Array, table: np.ndarray) -> tuple[pa.Array, np.ndarray
     ends = np.frombuffer(texts.buffers()[1], np.int64)[
         texts.offset:texts.offset + len(texts) + 1]
     if not len(texts) or ends[-1] == ends[0]:
-        return pa.array([], pa.string()), np.zeros(len(texts), np.int64)
+        return pa.array([], pa.large_string()), np.zeros(len(texts), np.int64)
     data = np.frombuffer(texts.buffers()[2], np.uint8)[ends[0]:ends[-1]]
     bounds = ends - ends[0]
     held = table[data]
-    first = np.append(False, held[:-1])
-    first[bounds[:-1][bounds[:-1] < len(data)]] = False     # terms do not reach across texts
-    starts = np.flatnonzero(held & ~first)
-    kept = np.append(0, np.cumsum(held))
-    offsets = np.append(kept[starts], kept[-1]).astype(np.int64)
+    # A term starts after another byte or with its text, and stops likewise.
+    opens = held.copy()
+    opens[1:] &= ~held[:-1]
+    closes = held.copy()
+    closes[:-1] &= ~held[1:]
+    inner = bounds[1:-1][(bounds[1:-1] > 0) & (bounds[1:-1] < len(data))]
+    opens[inner] = held[inner]
+    closes[inner - 1] = held[inner - 1]
+    starts = np.flatnonzero(opens)
+    offsets = np.append(0, np.cumsum(np.flatnonzero(closes) + 1 - starts)).astype(np.int64)
     flat = pa.Array.from_buffers(pa.large_string(), len(starts), [
         None, pa.py_buffer(offsets), pa.py_buffer(LOWER[data[held]])])
     return flat, np.diff(np.searchsorted(starts, bounds))

@@ -88,7 +88,8 @@ def audit_rows(seed=3, count=150, sources=7):
 
 @pytest.mark.parametrize("limits", [{}, {"block_terms": 9}])
 def test_audit_equals_counts_by_hand(spark, limits, monkeypatch):
-    monkeypatch.setattr(source_audit, "SOURCE_BLOCK", 3 if limits else 64)
+    for name in ("ROWS", "PAIRS") if limits else ():
+        monkeypatch.setattr(source_audit, name, 7)
     rows = audit_rows()
     docs = spark.createDataFrame(rows, AUDIT_ROWS).selectExpr("*", "1 as p", "2 as value").repartition(5)
     got = source_audit.audit(docs, top_terms=6, **limits)
@@ -104,6 +105,12 @@ def test_audit_of_nothing_and_of_rare_terms(spark):
     assert got.count() == 6                                  # pairs of value 0 alone
 
 
+def test_shares_of_large_counts_are_exact():
+    counts, totals = np.array([5, 10 ** 14, 10 ** 17]), np.array([11, 10 ** 15, 10 ** 18])
+    want = [1 + 10 ** 9 * (int(c) + 1) // int(t) for c, t in zip(counts, totals)]
+    assert source_audit.share(counts, totals).tolist() == want
+
+
 # --- ranked search ----------------------------------------------------------------------------
 
 def plain_search(docs, items, top):
