@@ -32,14 +32,15 @@ from pyspark.sql import functions as F
 
 from sieveguard.llm.common import sized_batches, table
 from sieveguard.llm.registry import query
-from sieveguard.llm.terms import WORDS, as_lists, term_lists
+from sieveguard.llm.terms import WORDS, joined_terms, term_lists
 from sieveguard.scratch import scratch_path, written
 
 MIN_DOCS = 3
 TOP_TERMS = 200
 EVERY_TERM = 2 ** 31 - 1
 SCALE = 1_000_000_000     # shares are counted in parts of this
-BLOCK_TERMS = 1 << 18
+BLOCK_TERMS = 1 << 21
+SEEN = 64                 # one in so many terms tells how many there are
 BATCH_BYTES = 4 << 20     # text looked at at once
 ROWS = 1 << 16            # counts looked at at once, about
 PAIRS = 1 << 20           # pairs of shares compared at once
@@ -58,7 +59,8 @@ def lang_key(lang: Column) -> Column:
 
 
 def term_blocks(rows: DataFrame, block_terms: int) -> dict[str, int]:
-    """Blocks of each language whose distinct terms (estimated) need more than one."""
+    """Blocks of each language whose distinct terms (estimated from one in SEEN of them, chosen by
+    a hash) need more than one."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sized_batches(batches, "text", BATCH_BYTES):
@@ -66,48 +68,37 @@ def term_blocks(rows: DataFrame, block_terms: int) -> dict[str, int]:
             langs = batch.column(0).dictionary_encode()
             owner = np.repeat(langs.indices.to_numpy(), sizes)
             for i, lang in enumerate(langs.dictionary.to_pylist()):
-                seen = flat.filter(pa.array(owner == i)).unique().cast(pa.string())
+                hashes = [zlib.crc32(t.encode()) for t in
+                          flat.filter(pa.array(owner == i)).unique().to_pylist()]
+                seen = [h for h in hashes if h % SEEN == 0]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(seen), pa.string()), seen], names=["lang", "term"])
+                    [pa.array([lang] * len(seen), pa.string()), pa.array(seen, pa.int64())],
+                    names=["lang", "term"])
 
-    seen = rows.select("lang", "text").mapInArrow(compute, "lang string, term string")
-    counted = seen.groupBy("lang").agg(F.approx_count_distinct("term", 0.05).alias("n"))
+    seen = rows.select("lang", "text").mapInArrow(compute, "lang string, term long")
+    counted = seen.groupBy("lang").agg((SEEN * F.count_distinct("term")).alias("n"))
     return {r["lang"]: -(-r["n"] // block_terms) for r in counted.where(
         F.col("n") > block_terms).toLocalIterator()}
 
 
 def write_terms(rows: DataFrame, path: str, blocks: dict[str, int]) -> None:
-    """Terms of every document and the FILLER, in folders by language and block of terms."""
+    """Terms of every document, in folders by language and block of terms.
+
+    They are one string, each after a space: cut at spaces, it starts with the FILLER.
+    """
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sized_batches(batches, "text", BATCH_BYTES):
-            flat, sizes = term_lists(batch.column(2), WORDS)
-            langs = batch.column(0).to_pylist()
-            parts = np.array([blocks.get(x, 1) for x in langs], np.int64)
-            # Documents and terms by block; documents of one block stay whole.
-            coded = flat.dictionary_encode()
-            hashes = np.array([zlib.crc32(t.encode()) for t in coded.dictionary.to_pylist()]
-                              if (parts > 1).any() else [0] * len(coded.dictionary), np.int64)
-            owner = np.repeat(np.arange(len(sizes)), sizes)
-            block = hashes[coded.indices.to_numpy()] % parts[owner]
-            for b in range(int(parts.max(initial=0))):
-                own = np.flatnonzero(parts > b)
-                mine = block == b
-                counts = np.bincount(owner[mine], minlength=len(sizes))[own]
-                ends = np.cumsum(counts + 1)
-                at = np.ones(int(ends[-1]), bool)
-                at[ends - 1] = False
-                order = np.full(len(at), int(mine.sum()))
-                order[at] = np.arange(int(mine.sum()))
-                terms = pa.concat_arrays([flat.filter(pa.array(mine)), pa.array(
-                    [FILLER], pa.large_string())]).take(pa.array(order))
+            parts = np.array([blocks.get(x, 1) for x in batch.column(0).to_pylist()], np.int64)
+            for b, terms in enumerate(joined_terms(batch.column(2), WORDS, parts)):
+                own = pa.array(np.flatnonzero(parts > b))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(own)), batch.column(1).take(pa.array(own)),
-                     pa.array(np.full(len(own), b, np.int32)), as_lists(terms, counts + 1)],
+                    [batch.column(0).take(own), batch.column(1).take(own),
+                     pa.array(np.full(len(own), b, np.int32)), terms],
                     names=["lang", "source", "block", "terms"])
 
     out = rows.select("lang", "source", "text").mapInArrow(
-        compute, "lang string, source string, block int, terms array<string>")
+        compute, "lang string, source string, block int, terms string")
     (out.select(lang_key(F.col("lang")).alias("lang_key"), "block", "source", "terms")
      .write.partitionBy("lang_key", "block").parquet(path))
 
@@ -157,14 +148,18 @@ def count_terms(docs: DataFrame, min_docs: int = MIN_DOCS, block_terms: int = BL
     for lang, key in langs.toLocalIterator():
         size = 0
         for block in range(blocks.get(lang, 1)):
-            own = spark.read.schema("source string, terms array<string>").parquet(
-                f"{terms}/lang_key={key}/block={block}")
-            model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_docs),
-                                    vocabSize=EVERY_TERM).fit(own)
+            own = spark.read.schema("source string, terms string").parquet(
+                f"{terms}/lang_key={key}/block={block}").withColumn(
+                "terms", F.split("terms", " ", -1))
+            # Which terms are kept depends on documents alone, so each term is shown once here.
+            model = CountVectorizer(
+                inputCol="terms", outputCol="vector", minDF=float(min_docs),
+                vocabSize=EVERY_TERM).fit(own.select(F.array_distinct("terms").alias("terms")))
+            kept_terms = pa.array(model.vocabulary, pa.string())
+            size += len(kept_terms) - 1
             words = spark.createDataFrame(pa.table({
-                "index": pa.array(range(len(model.vocabulary)), pa.int32()),
-                "term": pa.array(model.vocabulary, pa.string())})).where(F.col("term") != FILLER)
-            size += len(model.vocabulary) - 1
+                "index": pa.array(np.arange(len(kept_terms), dtype=np.int32)),
+                "term": kept_terms})).where(F.col("term") != FILLER)
             counted = group_sums(model.transform(own).select("source", "vector"))
             counted.join(words, "index").select(
                 F.lit(lang).alias("lang"), "source", "term", "count").write.mode(

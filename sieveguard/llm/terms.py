@@ -51,6 +51,47 @@ def term_lists(texts: pa.Array, table: np.ndarray) -> tuple[pa.Array, np.ndarray
     return flat, np.diff(np.searchsorted(starts, bounds))
 
 
-def as_lists(flat: pa.Array, sizes: np.ndarray) -> pa.Array:
-    offsets = np.append(0, np.cumsum(sizes)).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), flat.cast(pa.string()))
+def joined_terms(texts: pa.Array, table: np.ndarray, blocks: np.ndarray) -> list[pa.Array]:
+    """All terms of each text in order, each after a space, as one string; a text without terms
+    is one space.
+
+    ``blocks`` gives the number of blocks that a text's terms are dealt into by a hash; there is
+    an array for every block, of all texts with so many blocks.
+    """
+    flat, sizes = term_lists(texts, table)
+    offsets = np.frombuffer(flat.buffers()[1], np.int64)[:len(flat) + 1] if len(flat) else \
+        np.zeros(1, np.int64)
+    data = np.frombuffer(flat.buffers()[2], np.uint8) if len(flat) else np.zeros(0, np.uint8)
+    first, size = offsets[:-1], np.diff(offsets)
+    parts = np.repeat(blocks, sizes)
+    block = np.zeros(len(size), np.int64)
+    if len(size) and parts.max() > 1:
+        mixed = (data[first].astype(np.uint64) * np.uint64(0x9E3779B1)
+                 + data[first + size // 2].astype(np.uint64) * np.uint64(0x85EBCA77)
+                 + data[first + size - 1].astype(np.uint64) * np.uint64(0xC2B2AE3D)
+                 + data[first + size // 3].astype(np.uint64) * np.uint64(0x27D4EB2F)
+                 + size.astype(np.uint64) * np.uint64(0x165667B1))
+        block = ((mixed * np.uint64(0xC4CEB9FE1A85EC53) >> np.uint64(33)).astype(np.int64)
+                 % parts)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    out = []
+    for b in range(int(blocks.max(initial=0))):
+        own, mine = np.flatnonzero(blocks > b), block == b
+        length = np.bincount(owner[mine], size[mine] + 1, minlength=len(sizes))[own].astype(np.int64)
+        length[length == 0] = 1
+        ends = np.append(0, np.cumsum(length))
+        held = np.full(int(ends[-1]), 32, np.uint8)
+        place = np.zeros(len(sizes), np.int64)
+        place[own] = ends[:-1]
+        # Where the letters of each kept term go: after its text's start and the terms before it.
+        width = size[mine] + 1
+        before = np.cumsum(width) - width
+        count = np.bincount(owner[mine], minlength=len(sizes))
+        start_of = np.repeat((np.append(before, 0)[np.minimum(np.cumsum(count) - count, len(before))]),
+                             count)
+        at = place[owner[mine]] + before - start_of + 1
+        held[np.repeat(at - (np.cumsum(size[mine]) - size[mine]), size[mine])
+             + np.arange(int(size[mine].sum()))] = data[np.repeat(mine, size)]
+        out.append(pa.Array.from_buffers(pa.large_string(), len(own), [
+            None, pa.py_buffer(ends), pa.py_buffer(held)]).cast(pa.string()))
+    return out

@@ -15,7 +15,7 @@ from hypothesis import strategies as st
 
 from sieveguard.llm import personal_data, ranked_search, source_audit
 from sieveguard.llm.labelled_spans import labelled_lines, luhn_ok
-from sieveguard.llm.terms import WORDS, WORDS_AND_NUMBERS, term_lists
+from sieveguard.llm.terms import WORDS, WORDS_AND_NUMBERS, joined_terms, term_lists
 from sieveguard.scratch import scratch_path
 
 ASCII_LOWER = {i: i + 32 for i in range(65, 91)}
@@ -37,6 +37,16 @@ def test_terms_are_those_of_the_pattern(texts):
         flat, sizes = term_lists(array, table)
         parts = np.split(np.array(flat.to_pylist(), object), np.cumsum(sizes)[:-1]) if texts else []
         assert [list(p) for p in parts] == [plain_terms(t, pattern) for t in texts]
+        blocks = np.array([1 + len(t or "") % 3 for t in texts], np.int64)
+        dealt = [[] for _ in texts]
+        for b, joined in enumerate(joined_terms(array, table, blocks)):
+            for i, text in zip(np.flatnonzero(blocks > b), joined.to_pylist(), strict=True):
+                dealt[i].append([] if text == " " else text[1:].split(" "))
+        for text, n, found in zip(texts, blocks, dealt):
+            want = plain_terms(text, pattern)
+            assert len(found) == n and sorted(sum(found, [])) == sorted(want)
+            assert n > 1 or found[0] == want
+            assert sum(len(set(f)) for f in found) == len(set(want))
 
 
 # --- source audit -----------------------------------------------------------------------------
@@ -86,8 +96,10 @@ def audit_rows(seed=3, count=150, sources=7):
     return rows
 
 
-@pytest.mark.parametrize("limits", [{}, {"block_terms": 9}])
+@pytest.mark.parametrize("limits", [{}, {"block_terms": 9, "seen": 1}])
 def test_audit_equals_counts_by_hand(spark, limits, monkeypatch):
+    monkeypatch.setattr(source_audit, "SEEN", limits.get("seen", 64))
+    limits = {k: v for k, v in limits.items() if k != "seen"}
     for name in ("ROWS", "PAIRS") if limits else ():
         monkeypatch.setattr(source_audit, name, 7)
     rows = audit_rows()
