@@ -4,15 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sieveguard import schema as S
 from sieveguard.functions.columns import calibrated_prob
 from sieveguard.operators.aggregates import class_weights
+from sieveguard.scratch import written
 
 
 @dataclass
@@ -26,22 +25,55 @@ class Calibration:
         return calibrated_prob(score, self.coef, self.intercept)
 
 
+NEWTON_STEPS, NEWTON_TOLERANCE = 60, 1e-12
+
+
 def fit_platt(df: DataFrame, score: str, label: str = "label") -> Calibration:
-    """Logistic fit on one score with balanced classes and a unit ridge penalty.
+    """Logistic fit on one score with balanced classes and a unit ridge penalty on its weight.
 
-    Balanced weights sum to the row count, so the penalty is one over that count.
+    Newton steps on the convex loss: each takes loss, gradient and curvature from one
+    aggregation over the written scores, and is halved while it does not lower the loss.
     """
-    rows = df.select(F.col(score).cast("double").alias("_s"), F.col(label).alias("label")).dropna()
+    rows = written(df.select(F.col(score).cast("double").alias("_s"),
+                             F.col(label).cast("int").alias("label")).dropna(), "calibration")
     w = class_weights(rows).first()
     if not w["pos"] or not w["neg"]:
         raise ValueError("calibration needs both classes")
-    weighted = rows.withColumn("_w", F.when(F.col("label") == 1, w["weight_anomaly"])
-                               .otherwise(w["weight_normal"]))
-    vectors = VectorAssembler(inputCols=["_s"], outputCol="_x").transform(weighted)
-    fit = LogisticRegression(featuresCol="_x", labelCol="label", weightCol="_w",
-                             standardization=False, regParam=1.0 / w["n"], maxIter=100,
-                             tol=1e-8).fit(vectors)
-    return Calibration(float(fit.coefficients[0]), float(fit.intercept))
+    now, loss = (0.0, 0.0), float("inf")
+    move = (0.0, 0.0)
+    for _ in range(NEWTON_STEPS):
+        tried = (now[0] + move[0], now[1] + move[1])
+        sums = loss_terms(rows, *tried, w["weight_anomaly"], w["weight_normal"])
+        if sums["loss"] > loss:
+            move = (move[0] / 2, move[1] / 2)
+        else:
+            now, loss = tried, sums["loss"]
+            a, b, d = sums["h_ss"] + 1.0, sums["h_s"], sums["h"]
+            g, k = sums["g_s"] + now[0], sums["g"]
+            det = a * d - b * b
+            move = ((b * k - d * g) / det, (b * g - a * k) / det)
+        if max(map(abs, move)) <= NEWTON_TOLERANCE * (1.0 + max(map(abs, now))):
+            break
+    return Calibration(*now)
+
+
+def loss_terms(rows: DataFrame, coef: float, intercept: float, positive: float,
+               negative: float) -> Row:
+    """Weighted logistic loss (with half the squared weight), its gradient and curvature without
+    the penalty, of ``rows(_s, label)``."""
+    margin = F.lit(coef) * F.col("_s") + F.lit(intercept)
+    weight = F.when(F.col("label") == 1, positive).otherwise(negative)
+    side = F.when(F.col("label") == 1, margin).otherwise(-margin)
+    # log(1 + exp(-side)) without overflow
+    loss = F.log1p(F.exp(-F.abs(side))) + F.greatest(-side, F.lit(0.0))
+    prob = 1.0 / (1.0 + F.exp(-margin))
+    slope = weight * (prob - F.when(F.col("label") == 1, 1.0).otherwise(0.0))
+    bend = weight * prob * (1.0 - prob)
+    s = F.col("_s")
+    return rows.agg(
+        (F.sum(weight * loss) + coef * coef / 2.0).alias("loss"), F.sum(slope).alias("g"),
+        F.sum(slope * s).alias("g_s"), F.sum(bend).alias("h"), F.sum(bend * s).alias("h_s"),
+        F.sum(bend * s * s).alias("h_ss")).first()
 
 
 CALIBRATION = T.StructType([

@@ -12,7 +12,8 @@ Three tools, all exact:
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -86,7 +87,7 @@ def order_cuts(df: DataFrame, order: Sequence[str], ranks: Sequence[int],
     wanted = {i: k for i, k in enumerate(ranks) if 0 <= k < total}
     found: dict[int, dict] = {}
     if wanted:
-        found, small = _narrow(df, list(order), F.lit(True), wanted, total, slice_rows)
+        found, small = _search(df, list(order), wanted, total, slice_rows)
         found.update(_pick(df, order, small))
     return [found.get(i) for i in range(len(ranks))]
 
@@ -95,88 +96,149 @@ def order_cuts(df: DataFrame, order: Sequence[str], ranks: Sequence[int],
 Bracket = tuple[Column, dict[int, int]]
 
 
-def _ends_apart(df: DataFrame, order: list[str], test: Column, wanted: dict[int, int],
-                slice_rows: int) -> tuple[dict[int, dict], list[Bracket]] | None:
-    """Search among nulls, NaN and plain values of the first column apart, or None if all are
-    plain."""
-    name, down = split_order(order[0])
-    null, nan = F.col(name).isNull(), F.lit(False)
-    if isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)):
-        nan = F.coalesce(F.isnan(name), F.lit(False))
-    sizes = df.where(test).agg(F.count_if(null), F.count_if(nan), F.count("*")).first()
-    if not sizes[0] and not sizes[1]:
-        return None
-    parts = [(null, sizes[0]), (~null & ~nan, sizes[2] - sizes[0] - sizes[1]), (nan, sizes[1])]
-    found, small, ahead = {}, [], 0
-    for place, (own, size) in enumerate(reversed(parts) if down else parts):
-        local = {i: k - ahead for i, k in wanted.items() if ahead <= k < ahead + size}
-        ahead += size
-        if not local:
-            continue
-        if place == 1:
-            more, rest = _narrow(df, order, test & own, local, size, slice_rows, plain=True)
-        elif len(order) == 1:
-            one = df.where(test & own).first().asDict()
-            more, rest = {i: one for i in local}, []
-        else:
-            more, rest = _narrow(df, order[1:], test & own, local, size, slice_rows)
-        found.update(more)
-        small += rest
+@dataclass
+class _Span:
+    """Rows under ``test``, in ``order`` from here on, and the ranks wanted among them.
+
+    ``plain``: the first column has no null and no NaN in them.
+    """
+
+    test: Column
+    order: list[str]
+    wanted: dict[int, int]
+    total: int
+    plain: bool = False
+
+    @property
+    def column(self) -> tuple[str, bool]:
+        return split_order(self.order[0])
+
+
+def _search(df: DataFrame, order: list[str], wanted: dict[int, int], total: int,
+            slice_rows: int) -> tuple[dict[int, dict], list[Bracket]]:
+    """Shrink the rows around the wanted ranks to brackets of at most ``slice_rows`` rows.
+
+    All brackets of a level share its scans: one for quantiles, one for exact counts, and one more
+    where a column may hold nulls or NaN.
+    """
+    found: dict[int, dict] = {}
+    small: list[Bracket] = []
+    todo = [_Span(F.lit(True), order, wanted, total)]
+    while todo:
+        level, todo = todo, []
+        open_ = _settle(df, level, slice_rows, found, small)
+        apart, ahead = _ends_apart(df, open_, found)
+        todo += ahead
+        open_ = _settle(df, apart, slice_rows, found, small)
+        for span, edges, below, upto in _edges(df, open_):
+            todo += _inside(df, span, edges, below, upto, found)
     return found, small
 
 
-def _narrow(df: DataFrame, order: list[str], test: Column, wanted: dict[int, int], total: int,
-            slice_rows: int, plain: bool = False) -> tuple[dict[int, dict], list[Bracket]]:
-    """Shrink the rows under ``test`` to brackets of at most ``slice_rows`` rows."""
-    if total <= slice_rows:
-        return {}, [(test, wanted)]
-    name, down = split_order(order[0])
-    rows = df.where(test)
-    number = _numeric(df, name)
-    if number is None:
-        hits = {r["pos"]: r.asDict() for r in ordered_sequence(
-            rows, order).where(F.col("pos").isin(sorted(set(wanted.values())))).collect()}
-        return {i: {n: hits[k][n] for n in df.columns} for i, k in wanted.items()}, []
-
-    if not plain and (apart := _ends_apart(df, order, test, wanted, slice_rows)) is not None:
-        return apart
-    key = -number if down else number
-    margin = 2.0 / SKETCH_ACCURACY
-    probs = sorted({min(1.0, max(0.0, k / total + d))
-                    for k in wanted.values() for d in (-margin, margin)})
-    marks = rows.agg(F.percentile_approx(key, probs, SKETCH_ACCURACY).alias("q"),
-                     F.min(key).alias("lo"), F.max(key).alias("hi")).first()
-    edges = sorted({marks["lo"], marks["hi"], *marks["q"]})
-    counts = rows.agg(*[f(t).alias(f"{n}{j}") for j, e in enumerate(edges)
-                        for n, f, t in (("b", F.count_if, key < e), ("u", F.count_if, key <= e))]
-                      ).first()
-    below = [counts[f"b{j}"] for j in range(len(edges))]
-    upto = [counts[f"u{j}"] for j in range(len(edges))]
-
-    # Each rank falls either on an edge value or strictly between two edges.
+def _settle(df: DataFrame, spans: list[_Span], slice_rows: int, found: dict[int, dict],
+            small: list[Bracket]) -> list[_Span]:
+    """Set small spans aside, number those that start with a text column; the rest is open."""
+    left = []
+    for span in spans:
+        if span.total <= slice_rows:
+            small.append((span.test, span.wanted))
+        elif _numeric(df, span.column[0]) is None:
+            places = sorted(set(span.wanted.values()))
+            hits = {r["pos"]: r.asDict() for r in ordered_sequence(
+                df.where(span.test), span.order).where(F.col("pos").isin(places)).collect()}
+            found.update({i: {n: hits[k][n] for n in df.columns} for i, k in span.wanted.items()})
+        else:
+            left.append(span)
+    return left
+
+
+def _ends_apart(df: DataFrame, spans: list[_Span], found: dict[int, dict]
+                ) -> tuple[list[_Span], list[_Span]]:
+    """Parts of plain values, to go on with, and parts of nulls and NaN, which the next column of
+    the order tells apart."""
+    tests = []
+    for span in (s for s in spans if not s.plain):
+        name = span.column[0]
+        null, nan = F.col(name).isNull(), F.lit(False)
+        if isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)):
+            nan = F.coalesce(F.isnan(name), F.lit(False))
+        tests.append((null, nan))
+    plain, later = [s for s in spans if s.plain], []
+    if not tests:
+        return plain, later
+    mixed = [s for s in spans if not s.plain]
+    counts = df.agg(*[F.count_if(s.test & t).alias(f"c{i}_{j}") for i, (s, own) in enumerate(
+        zip(mixed, tests)) for j, t in enumerate(own)]).first()
+    for i, (span, (null, nan)) in enumerate(zip(mixed, tests)):
+        nulls, nans = counts[f"c{i}_0"], counts[f"c{i}_1"]
+        parts = [(null, nulls), (~null & ~nan, span.total - nulls - nans), (nan, nans)]
+        before = 0
+        for own, size in reversed(parts) if span.column[1] else parts:
+            local = {i: k - before for i, k in span.wanted.items() if before <= k < before + size}
+            before += size
+            if not local:
+                continue
+            part = _Span(span.test & own, span.order, local, size, True)
+            if own is parts[1][0]:
+                plain.append(part)
+            else:
+                later += _next_column(df, part, found)
+    return plain, later
+
+
+def _next_column(df: DataFrame, span: _Span, found: dict[int, dict]) -> list[_Span]:
+    """Go on with the next column among rows that tie on the first, or take any of them."""
+    if len(span.order) > 1:
+        return [_Span(span.test, span.order[1:], span.wanted, span.total)]
+    one = df.where(span.test).first().asDict()
+    found.update({i: one for i in span.wanted})
+    return []
+
+
+def _edges(df: DataFrame, spans: list[_Span]
+           ) -> Iterator[tuple[_Span, list, list[int], list[int]]]:
+    """For each span, values around its wanted ranks, and how many rows lie below and up to them."""
+    if not spans:
+        return
+    margin, keys, sketches = 2.0 / SKETCH_ACCURACY, [], []
+    for i, span in enumerate(spans):
+        name, down = span.column
+        number = _numeric(df, name)
+        keys.append(F.when(span.test, -number if down else number))
+        probs = sorted({min(1.0, max(0.0, k / span.total + d))
+                        for k in span.wanted.values() for d in (-margin, margin)})
+        sketches += [F.percentile_approx(keys[i], probs, SKETCH_ACCURACY).alias(f"q{i}"),
+                     F.min(keys[i]).alias(f"lo{i}"), F.max(keys[i]).alias(f"hi{i}")]
+    marks = df.agg(*sketches).first()
+    edges = [sorted({marks[f"lo{i}"], marks[f"hi{i}"], *marks[f"q{i}"]}) for i in range(len(spans))]
+    counts = df.agg(*[F.count_if(t).alias(f"{n}{i}_{j}") for i, own in enumerate(edges)
+                      for j, e in enumerate(own) for n, t in (("b", keys[i] < e),
+                                                              ("u", keys[i] <= e))]).first()
+    for i, span in enumerate(spans):
+        below, upto = ([counts[f"{n}{i}_{j}"] for j in range(len(edges[i]))] for n in "bu")
+        yield span, edges[i], below, upto
+
+
+def _inside(df: DataFrame, span: _Span, edges: list, below: list[int], upto: list[int],
+            found: dict[int, dict]) -> list[_Span]:
+    """Each rank falls either on an edge value or strictly between two edges."""
+    name, down = span.column
+    key = -_numeric(df, name) if down else _numeric(df, name)
     groups: dict[tuple[int, bool], dict[int, int]] = {}
-    for i, k in wanted.items():
+    for i, k in span.wanted.items():
         j = max(j for j in range(len(edges)) if below[j] <= k)
         groups.setdefault((j, k < upto[j]), {})[i] = k
-    found: dict[int, dict] = {}
-    small: list[Bracket] = []
+    out = []
     for (j, on_edge), part in groups.items():
         if on_edge:
-            ties = test & (key == F.lit(edges[j]))
-            local = {i: k - below[j] for i, k in part.items()}
-            if len(order) == 1:
-                one = df.where(ties).first().asDict()
-                more, rest = {i: one for i in local}, []
-            else:
-                more, rest = _narrow(df, order[1:], ties, local, upto[j] - below[j], slice_rows)
+            ties = _Span(span.test & (key == F.lit(edges[j])), span.order,
+                         {i: k - below[j] for i, k in part.items()}, upto[j] - below[j])
+            out += _next_column(df, ties, found)
         else:
-            inside = test & (key > F.lit(edges[j])) & (key < F.lit(edges[j + 1]))
-            local = {i: k - upto[j] for i, k in part.items()}
-            more, rest = _narrow(df, order, inside, local, below[j + 1] - upto[j], slice_rows,
-                                 plain=True)
-        found.update(more)
-        small += rest
-    return found, small
+            between = span.test & (key > F.lit(edges[j])) & (key < F.lit(edges[j + 1]))
+            out.append(_Span(between, span.order, {i: k - upto[j] for i, k in part.items()},
+                             below[j + 1] - upto[j], True))
+    return out
 
 
 def _pick(df: DataFrame, order: Sequence[str], brackets: list[Bracket]) -> dict[int, dict]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,8 +13,9 @@ from sieveguard.scratch import written
 
 ORDER = ("ts", "event_id")
 SPLITS = ("train", "val", "test")
-# Block plans up to this many exploded rows are broadcast.
-PLAN_BROADCAST_ROWS = 500_000
+# Plans of up to this many blocks are broadcast.
+PLAN_BROADCAST_BLOCKS = 20_000
+BUCKET = 256              # positions of a bucket; longer than any block
 PLAN_CHUNK = 10_000
 
 _MODULUS = 2_147_483_647
@@ -58,9 +59,13 @@ def _positioned(df: DataFrame, order: Sequence[str], scope: str,
 
 
 def _pick_rows(rows: DataFrame, share: float, seed: int, total: int) -> Column:
-    """Exactly int(total * share) rows by the smallest mixed position."""
+    """Exactly int(total * share) rows by the smallest mixed position.
+
+    Positions are 0 to total - 1, so the border is searched among numbers, not in the table.
+    """
     count = int(total * share)
-    draw = rows.select("_gpos").withColumn("_draw", _mixed(F.col("_gpos"), seed, 0))
+    draw = rows.sparkSession.range(total).select(F.col("id").alias("_gpos")).withColumn(
+        "_draw", _mixed(F.col("_gpos"), seed, 0))
     cut = order_cuts(draw, ["_draw", "_gpos"], [count])[0]
     if cut is None:
         return F.lit(count > 0)
@@ -73,12 +78,11 @@ def inject_spikes(df: DataFrame, rate: float = 0.012, seed: int = 42,
     """Shocks int(rate * n) rows: half in temperature (8 to 20, 70 % upwards), half as a
     voltage drop (0.4 to 0.9, not below 1.8)."""
     rows = ordered_sequence(df, order, name="_gpos")
-    return _spikes(rows, rate, seed, rows.count()).drop("_gpos")
+    return _shocked(rows, _pick_rows(rows, rate, seed, rows.count()), seed).drop("_gpos")
 
 
-def _spikes(rows: DataFrame, rate: float, seed: int, total: int) -> DataFrame:
+def _shocked(rows: DataFrame, hit: Column, seed: int) -> DataFrame:
     pos = F.col("_gpos")
-    hit = _pick_rows(rows, rate, seed, total)
     hot = uniform(pos, seed, 1) > 0.5
     shock = (F.lit(8.0) + 12.0 * uniform(pos, seed, 2)) * F.when(
         uniform(pos, seed, 3) > 0.3, 1.0).otherwise(-1.0)
@@ -130,74 +134,108 @@ DRIFT = {"mean_length": 40, "stream": 10, "first": 100, "tail": 60, "shortest":
 FLAT = {"mean_length": 25, "stream": 20, "first": 100, "tail": 40, "shortest": 15, "longest": 30}
 
 
-def _covered(plan: DataFrame, by: Sequence[str], extra: Sequence[str]) -> DataFrame:
-    """One row per position that a block covers; a block covers fewer than 45."""
-    steps = F.sequence(F.lit(0).cast("long"), F.col("length") - 1)
-    return plan.select(*by, *extra, "block", "start", F.explode(steps).alias("step")).withColumn(
-        "_pos", F.col("start") + F.col("step"))
+def _bucket(position: Column) -> Column:
+    return F.floor(position / BUCKET).cast("long")
+
+
+def block_index(plan: DataFrame, by: Sequence[str], fields: Sequence[str] = ()) -> DataFrame:
+    """Blocks by the buckets of BUCKET positions that they touch: (_bucket, _blocks), an array by
+    block number. A block is shorter than a bucket, so it is in two of them at most; a bucket
+    holds as many blocks as the rate puts there.
+    """
+    last = _bucket(F.col("start") + F.col("length") - 1)
+    touched = plan.withColumn("_bucket", F.explode(F.array_distinct(F.array(
+        _bucket(F.col("start")), last))))
+    return touched.groupBy(*by, "_bucket").agg(F.sort_array(F.collect_list(
+        F.struct("block", "start", "length", *fields))).alias("_blocks"))
+
+
+def _covering(blocks: str, position: Column) -> Column:
+    """The blocks of a bucket that cover a position, by block number."""
+    return F.filter(blocks, lambda b: (b["start"] <= position)
+                    & (position < b["start"] + b["length"]))
 
 
-def _attach(rows: DataFrame, marks: DataFrame, on: Sequence[str], n_marks: int) -> DataFrame:
-    """Left join; the marked positions are broadcast only when they are known to be few."""
-    return rows.join(F.broadcast(marks) if n_marks <= PLAN_BROADCAST_ROWS else marks,
-                     list(on), "left")
+def _indexed(rows: DataFrame, index: DataFrame, by: Sequence[str], position: str,
+             n_blocks: int) -> DataFrame:
+    """Rows with the blocks of their bucket; an index of few blocks is broadcast."""
+    placed = rows.withColumn("_bucket", _bucket(F.col(position)))
+    small = n_blocks <= PLAN_BROADCAST_BLOCKS
+    return placed.join(F.broadcast(index) if small else index, [*by, "_bucket"],
+                       "left").drop("_bucket")
 
 
 def injection_range_join(rows: DataFrame, plan: DataFrame, position: str = "_pos",
                          by: Sequence[str] = ()) -> DataFrame:
     """Rows inside any planned block, once per block, with their step in it."""
-    marks = _covered(plan, by, ["slope"]).withColumnRenamed("_pos", position)
-    return rows.join(marks.drop("start"), [*by, position])
+    held = _indexed(rows, block_index(plan, by, ["slope"]), by, position,
+                    PLAN_BROADCAST_BLOCKS + 1)
+    hit = held.withColumn("_hit", F.explode(_covering("_blocks", F.col(position)))).drop("_blocks")
+    return hit.withColumns({"slope": F.col("_hit.slope"), "block": F.col("_hit.block"),
+                            "step": F.col(position) - F.col("_hit.start")}).drop("_hit")
 
 
 def _drift(rows: DataFrame, rate: float, seed: int, sizes: DataFrame, total: int,
            by: Sequence[str]) -> DataFrame:
     plan = block_plan(sizes, rate, seed=seed, by=by, **DRIFT)
-    marks = _covered(plan, by, ["slope"]).groupBy(*by, "_pos").agg(
-        F.sum(F.col("step") * F.col("slope")).alias("_rise"))
-    joined = _attach(rows, marks, [*by, "_pos"], int(total * rate / 40 * 45))
-    return joined.withColumns({
-        "temperature": F.col("temperature") + F.coalesce("_rise", F.lit(0.0)),
-        "drift_type": F.when(F.col("_rise").isNotNull(), "DRIFT"),
-    }).drop("_rise")
+    joined = _indexed(rows, block_index(plan, by, ["slope"]), by, "_pos",
+                      int(total * rate / DRIFT["mean_length"]))
+    pos = F.col("_pos")
+    hits = joined.withColumn("_hits", _covering("_blocks", pos))
+    rise = F.aggregate("_hits", F.lit(0.0), lambda a, b: a + (pos - b["start"]) * b["slope"])
+    hit = F.coalesce(F.size("_hits") > 0, F.lit(False))
+    return hits.withColumns({
+        "temperature": F.when(hit, F.col("temperature") + rise).otherwise(F.col("temperature")),
+        "drift_type": F.when(hit, "DRIFT"),
+    }).drop("_blocks", "_hits")
+
+
+def _flat_sources(plan: DataFrame, by: Sequence[str]) -> DataFrame:
+    """For each block the position whose readings it repeats.
+
+    A block that starts inside an earlier one repeats that block's value, so starts are traced
+    back to a raw row; each round halves the longest chain.
+    """
+    index = block_index(plan, by).withColumnRenamed("_blocks", "_near")
+    near = plan.withColumn("_bucket", _bucket(F.col("start"))).join(index, [*by, "_bucket"])
+    before = F.filter("_near", lambda b: (b["block"] < F.col("block")) & (b["start"] <= F.col("start"))
+                      & (F.col("start") < b["start"] + b["length"]))
+    linked = written(near.select(*by, "block", "start", F.coalesce(
+        F.try_element_at(before, F.lit(-1))["block"], F.col("block")).alias("_root")), "flat_roots")
+    roots = linked.drop("start")
+    while not roots.where("_root <> block").join(
+            roots.where("_root <> block").select(*by, F.col("block").alias("_root")),
+            [*by, "_root"], "left_semi").isEmpty():
+        up = roots.select(*by, F.col("block").alias("_root"), F.col("_root").alias("_next"))
+        roots = written(roots.join(up, [*by, "_root"]).select(
+            *by, "block", F.col("_next").alias("_root")), "flat_roots")
+    starts = linked.select(*by, F.col("block").alias("_root"), F.col("start").alias("_source"))
+    return roots.join(starts, [*by, "_root"]).drop("_root")
 
 
 def _flatline(rows: DataFrame, rate: float, seed: int, sizes: DataFrame, total: int,
-              by: Sequence[str]) -> DataFrame:
-    """Later blocks win where blocks overlap.  A block that starts inside an earlier one
-    repeats that block's value, so starts are first traced back to a raw row."""
+              by: Sequence[str], edit: Callable[[DataFrame], DataFrame] = lambda df: df
+              ) -> DataFrame:
+    """Later blocks win where blocks overlap. ``edit`` changes rows one by one beforehand; it
+    is applied to all rows, and to the few whose readings are repeated."""
     plan = written(block_plan(sizes, rate, seed=seed, by=by, **FLAT).drop("slope"), "flat_plan")
-    covered = _covered(plan, by, [])
-    owner = covered.select(*by, F.col("_pos").alias("start"), F.col("block").alias("_earlier"))
-    parent = plan.join(owner, [*by, "start"]).where("_earlier < block").groupBy(
-        *by, "block").agg(F.max("_earlier").alias("_root"))
-    roots = plan.join(parent, [*by, "block"], "left").select(
-        *by, "block", F.coalesce("_root", "block").alias("_root"))
-    roots = written(roots, "flat_roots")
-    while True:  # each round halves the longest chain
-        up = roots.select(*by, F.col("block").alias("_root"), F.col("_root").alias("_next"))
-        longer = roots.join(up, [*by, "_root"]).select(
-            *by, "block", "_root", F.col("_next"))
-        moved = written(longer, "flat_roots")
-        if moved.where("_next <> _root").isEmpty():
-            break
-        roots = moved.select(*by, "block", F.col("_next").alias("_root"))
-    source = roots.join(plan.select(*by, F.col("block").alias("_root"),
-                                    F.col("start").alias("_pos")), [*by, "_root"])
-    n_marks = int(total * rate / 25 * 30)
-    held = rows.select(*by, "_pos", F.col("temperature").alias("_t"), F.col("voltage").alias("_v"),
-                       F.lit(True).alias("_stuck"))
-    held = held.join(F.broadcast(source) if n_marks <= PLAN_BROADCAST_ROWS else source,
-                     [*by, "_pos"]).select(*by, "block", "_t", "_v", "_stuck")
-    last = covered.groupBy(*by, "_pos").agg(F.max("block").alias("block"))
-    marks = last.join(held, [*by, "block"]).drop("block")
-    joined = _attach(rows, marks, [*by, "_pos"], n_marks)
-    stuck = F.col("_stuck").isNotNull()
+    few = int(total * rate / FLAT["mean_length"])
+    sources = _flat_sources(plan, by)
+    small = few <= PLAN_BROADCAST_BLOCKS
+    at = sources.select(*by, F.col("_source").alias("_pos")).distinct()
+    raw = edit(rows.join(F.broadcast(at) if small else at, [*by, "_pos"], "left_semi"))
+    held = sources.withColumnRenamed("_source", "_pos").join(
+        raw.select(*by, "_pos", F.col("temperature").alias("_t"), F.col("voltage").alias("_v")),
+        [*by, "_pos"]).drop("_pos")
+    index = block_index(plan.join(held, [*by, "block"]), by, ["_t", "_v"])
+    joined = _indexed(edit(rows), index, by, "_pos", few).withColumn(
+        "_last", F.try_element_at(_covering("_blocks", F.col("_pos")), F.lit(-1)))
+    stuck = F.col("_last").isNotNull()
     return joined.withColumns({
-        "temperature": F.when(stuck, F.col("_t")).otherwise(F.col("temperature")),
-        "voltage": F.when(stuck, F.col("_v")).otherwise(F.col("voltage")),
+        "temperature": F.when(stuck, F.col("_last._t")).otherwise(F.col("temperature")),
+        "voltage": F.when(stuck, F.col("_last._v")).otherwise(F.col("voltage")),
         "flat_type": F.when(stuck, "FLATLINE"),
-    }).drop("_t", "_v", "_stuck")
+    }).drop("_blocks", "_last")
 
 
 def _prepared(df: DataFrame, order: Sequence[str], scope: str, key: Sequence[str]):
@@ -241,9 +279,13 @@ def inject_anomalies(df: DataFrame, seed: int = 42, spikes: float = 0.012,
         rows = ordered_sequence(rows, order, name="_gpos")
     else:
         rows = rows.withColumn("_gpos", F.col("_pos"))
-    edited = _drift(_spikes(rows, spikes, seed, total), drift, seed, sizes, total, by)
-    edited = written(edited, "edited")  # read twice below
-    return anomaly_label(_flatline(edited, flatline, seed, sizes, total, by)).drop("_pos", "_gpos")
+    hit = _pick_rows(rows, spikes, seed, total)
+
+    def edit(part: DataFrame) -> DataFrame:
+        return _drift(_shocked(part, hit, seed), drift, seed, sizes, total, by)
+
+    return anomaly_label(_flatline(rows, flatline, seed, sizes, total, by, edit)).drop(
+        "_pos", "_gpos")
 
 
 def split_bounds(df: DataFrame, ts: str = "ts") -> DataFrame:

@@ -184,6 +184,43 @@ def test_external_failures_become_rows(spark, table):
     assert all((r["p_final"] is None) == (r["inference_status"] != "OK") for r in out)
 
 
+def test_one_slow_request_delays_no_other(spark, table):
+    rows = table.where("uncertain").limit(30).coalesce(1)
+    slowest = rows.agg(F.max("seq")).first()[0]
+
+    def call(requests):
+        body = json.loads(requests[0])
+        time.sleep(2.5 if body["temperature"] == marked else 0.01)
+        return [(200, json.dumps({"decision": "NORMAL", "confidence": 0.1}))]
+
+    marked = rows.where(F.col("seq") == slowest).first()["temperature"]
+    started = time.time() * 1000
+    out = external_decision(rows, call, batch=1, concurrency=2).collect()
+    times = {r["seq"]: r["processed_at_epoch_ms"] for r in out}
+    assert len(out) == rows.count() and set(r["inference_status"] for r in out) == {"OK"}
+    late = times.pop(slowest)
+    assert late - max(times.values()) > 500 and late - started > 2_000
+
+
+def test_failed_requests_are_tried_again_within_their_deadline(spark, table, tmp_path):
+    rows = table.where("uncertain").limit(6).coalesce(1)
+
+    def flaky(requests):
+        seen = tmp_path / str(abs(hash(requests[0])))
+        if not seen.exists():
+            seen.touch()
+            raise ConnectionError("reset")
+        return [(200, json.dumps({"decision": "NORMAL", "confidence": 0.1}))] * len(requests)
+
+    def dead(requests):
+        raise ConnectionError("down")
+
+    once = external_decision(rows, flaky, batch=1, retries=1).collect()
+    assert {r["inference_status"] for r in once} == {"OK"}
+    never = external_decision(rows, dead, batch=2, retries=3).collect()
+    assert len(never) == 6 and {r["inference_status"] for r in never} == {"FAILED:down"}
+
+
 def test_external_timeout(spark, table):
     def slow(requests):
         time.sleep(2.0)

@@ -124,7 +124,7 @@ def test_same_seed_same_edits_on_any_partitioning(spark):
 def test_large_plans_join_without_broadcast(spark, monkeypatch):
     df = base(spark)
     small = P.inject_anomalies(df, order=ORDER).orderBy("seq").collect()
-    monkeypatch.setattr(P, "PLAN_BROADCAST_ROWS", 0)
+    monkeypatch.setattr(P, "PLAN_BROADCAST_BLOCKS", 0)
     monkeypatch.setattr(P, "PLAN_CHUNK", 2)
     assert [r["temperature"] for r in P.inject_anomalies(df, order=ORDER).orderBy("seq").collect()
             ] == [r["temperature"] for r in small]

@@ -13,10 +13,10 @@ from sieveguard.functions.columns import heuristic_prob
 from sieveguard.plans.flow import decide_records
 from sieveguard.scratch import scratch_path
 from sieveguard.sources.commits import CommittedTable
-from sieveguard.sources.sinks import read_events
+from sieveguard.sources.sinks import AlertList, event_table, read_events
 from sieveguard.streaming.features import stream_features
 from sieveguard.streaming.run import (
-    run_external, run_stream, stream_dedup, stream_series)
+    fan_out, run_external, run_stream, stream_dedup, stream_series, writer_name)
 from workload.base import (
     ORDER, SQL_READINGS, SQL_RECORDS, WEIGHTS, probabilities, processed_at, query,
     rounded, s6, sensor_rows, sql)
@@ -154,6 +154,87 @@ def _(spark, sf):
     return rows.select(F.col("epoch").cast("long").alias("epoch"), "engine", "is_anomaly")
 
 
+@query("stream_external_retry", sql(SQL_RECORDS, """
+select seq as epoch, 'fallback' as engine, is_anomaly from rec
+where system_name = 'selective' and escalated
+union all
+select seq, 'external', case when p_if >= 2e-1 then case when p_if >= 4e-1 then 1 else 0 end end
+from rec where system_name = 'selective' and uncertain"""))
+def _(spark, sf):
+    """The main stream tries its first batch again, with other times, after the second stream has
+    read it; then both go on. Every case is decided once."""
+    path, source = scratch_path(spark, "retried"), scratch_path(spark, "slices")
+    states = scratch_path(spark, "main_state"), scratch_path(spark, "external_state")
+    for first, last in ((0, SLICES // 2), (SLICES // 2, SLICES)):
+        put_slices(spark, sf, source, first, last)
+        run_stream(decided(sliced_stream(spark, source)), path, states[0], DRAIN).awaitTermination()
+        run_external(spark, path, states[1],
+                     lambda cases: external_decision(cases, partial(answer, limit=0.4), concurrency=2),
+                     DRAIN).awaitTermination()
+        again = CommittedTable(spark, f"{path}/uncertain").read().where("batch = 0").drop(
+            "written_at_epoch_ms", "writer", "batch")
+        fan_out(path, writer=writer_name(states[0]))(
+            again.withColumn("processed_at_epoch_ms", F.lit(1).cast("long")), 0)
+    rows = read_events(spark, f"{path}/events").where("engine <> 'fast-path'")
+    return rows.select(F.col("epoch").cast("long").alias("epoch"), "engine", "is_anomaly")
+
+
+@query("sink_events_compacted", sql(SQL_RECORDS, f"""
+select event_id, engine, is_anomaly, {s6('p_final')}, processed_at_epoch_ms
+from rec where system_name = 'selective'"""))
+def _(spark, sf):
+    """A table compacted and cleaned while a stream adds to it, which stops and starts again."""
+    path, state = scratch_path(spark, "compacted"), scratch_path(spark, "compacted_state")
+    source, table = scratch_path(spark, "slices"), event_table(spark, f"{path}/events")
+
+    def tidy(batch: DataFrame, batch_id: int) -> None:
+        if batch_id % 3 == 2:
+            table.compact()
+            table.clean(grace_ms=0)
+
+    for first, last in ((0, SLICES // 2), (SLICES // 2, SLICES)):
+        put_slices(spark, sf, source, first, last)
+        run_stream(decided(sliced_stream(spark, source)), path, state, DRAIN,
+                   tidy).awaitTermination()
+    rows = read_events(spark, f"{path}/events")
+    return rounded(rows.select("event_id", "engine", "is_anomaly", "p_final",
+                               "processed_at_epoch_ms"), "p_final")
+
+
+@query("stream_alerts_capped", sql(SQL_RECORDS + """,
+a as (select *, row_number() over (partition by run_id
+    order by processed_at_epoch_ms desc, event_id desc) as place
+  from rec where is_anomaly = 1 and system_name = 'selective')""", """
+select run_id, event_id, processed_at_epoch_ms, prediction, moteid from a where place <= 300"""))
+def _(spark, sf):
+    """The list that a stream keeps, after its last batch."""
+    path = scratch_path(spark, "listed")
+    run_stream(sliced_records(spark, sf), path, scratch_path(spark, "listed_state"), DRAIN,
+               alert_cap=300).awaitTermination()
+    out = AlertList(spark, f"{path}/alert_list", 300).read()
+    body = F.from_json("alert", "prediction string, moteid int")
+    return out.select("run_id", "event_id", "processed_at_epoch_ms",
+                      body["prediction"].alias("prediction"), body["moteid"].alias("moteid"))
+
+
+@query("stream_state_expiry", FEATURE_SQL.replace(
+    "partition by moteid order by", "partition by moteid, seq % 2 order by"))
+def _(spark, sf):
+    """Every sensor is silent for longer than its state lives between two halves of the events."""
+    source, out = scratch_path(spark, "halves"), scratch_path(spark, "expired")
+    state = scratch_path(spark, "expired_state")
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    for half in (0, 1):
+        events.where(F.col("event_id") % 2 == half).repartition("user_id").write.mode(
+            "append").parquet(source)
+        stream = sensor_rows(spark.readStream.schema(events.schema).parquet(source))
+        feats = stream_features(stream, order=ORDER, expiry_ms=1)
+        (feats.writeStream.format("parquet").option("path", out).option("checkpointLocation", state)
+         .trigger(**DRAIN).start().awaitTermination())
+    return rounded(spark.read.schema(feats.schema).parquet(out).select(
+        "seq", "moteid", *S.FEATURES), *DERIVED)
+
+
 @query("stream_dedup", sql(SQL_READINGS, "select seq, moteid from r"))
 def _(spark, sf):
     stream = event_stream(spark, sf).withColumn("at", F.col("ts").cast("timestamp"))
