@@ -16,7 +16,6 @@ is ``und``. Repeated rows are predicted alike; empty tables give empty results.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -41,7 +40,6 @@ UNKNOWN = "und"
 # given documents score 0.57 or more; random letters in five words or more, 0.2 or less.
 MIN_SCORE = 0.2
 
-LETTER = re.compile(r"[^\W\d_]")
 # ASCII letters stay, all other ASCII becomes a space, bytes of longer characters stay.
 PLAIN = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93,
@@ -61,6 +59,11 @@ class Filters:
         return 64 - (len(self.cells).bit_length() - 1)
 
 
+def has_letter(text: str | None) -> bool:
+    """Number signs such as a half or a superscript two are no letters."""
+    return text is not None and any(map(str.isalpha, text))
+
+
 def normal(text: str) -> bytes:
     """Letters of a text in lower case, words divided by one space and set in spaces."""
     return b" " + b" ".join(text.lower().encode("utf-8", "replace").translate(PLAIN)
@@ -177,7 +180,7 @@ def count_languages(filters: Filters, texts: list[bytes]) -> tuple[np.ndarray, n
 
 def decide(filters: Filters, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
     """Language and score (share of n-grams the language holds, corrected) of each text."""
-    lettered = [t is not None and LETTER.search(t) is not None for t in texts]
+    lettered = [has_letter(t) for t in texts]
     if not filters.langs or not any(lettered):
         return [UNKNOWN] * len(texts), np.zeros(len(texts))
     counts, total = count_languages(
@@ -220,7 +223,7 @@ def known_languages(docs: DataFrame, filters: Filters) -> DataFrame:
                 langs, score = decide(shared.value, texts)
                 told = [x != UNKNOWN and s >= MIN_SCORE for x, s in zip(langs, score)]
             else:
-                told = [t is not None and LETTER.search(t) is not None for t in texts]
+                told = [has_letter(t) for t in texts]
             yield batch.filter(pa.array(told, pa.bool_()))
 
     return docs.mapInArrow(compute, docs.schema)

@@ -8,7 +8,9 @@ then rounded into whole copies: in an order drawn from the record itself, docume
 extra copy until the words missing from their source are filled.
 
 Nulls: a null source is a source of its own, ordered last; a null text has no words. Records
-equal in id and text are rounded alike. Empty tables give empty results. Reruns agree.
+equal in id and text come next to each other in that order, told apart by their place in the
+input alone: which of them takes a copy is of no account, how many do is. Long texts are counted
+whole. Columns named like an added one are refused. Empty tables give empty results. Reruns agree.
 """
 
 from __future__ import annotations
@@ -24,6 +26,9 @@ from sieveguard.scratch import written
 
 MAX_SOURCES = 100_000
 BLOCKS = 4096             # parts of a source searched for the place where it is full
+EDGE_ROWS = 20_000        # rows of such a part that are put in order; more are parted again
+LEVELS = 4                # of parts; the last tell all places of the order apart
+TIE_BITS = 20             # of a place, by the record's place in the input
 STEPS = 60
 
 
@@ -58,14 +63,14 @@ def capped_targets(sizes: list[int], weights: list[float], share: float,
 def balance(profile: DataFrame, targets: dict[int, float], cap: float) -> dict[int, float]:
     """Dual variables of ``profile(sid, prior, words)`` for the targets of each source.
 
-    One aggregation over the profile per Newton step; steps are cut to 1 in size, and end
-    when every source is within 1e-9 of its target or no rate can grow any more.
+    The duals start at 0, where every rate is its prior. One aggregation over the profile per
+    Newton step; steps are cut to 1 in size, and end when every source is within 1e-9 of its
+    target or no rate can grow any more.
     """
     spark = profile.sparkSession
     start = {r["sid"]: r["w"] for r in profile.groupBy("sid").agg(
         F.sum(F.col("prior") * F.col("words")).alias("w")).collect()}
-    duals = {s: math.log(t / start[s]) if t > 0 and start.get(s) else -math.inf
-             for s, t in targets.items()}
+    duals = {s: 0.0 if t > 0 and start.get(s) else -math.inf for s, t in targets.items()}
     live = {s for s, d in duals.items() if d > -math.inf}
     for _ in range(STEPS):
         if not live:
@@ -86,6 +91,13 @@ def balance(profile: DataFrame, targets: dict[int, float], cap: float) -> dict[i
     return duals
 
 
+def _place() -> Column:
+    """53 bits: drawn from the record, the last TIE_BITS of them from where it stands."""
+    own = F.shiftrightunsigned(F.xxhash64(F.lit("mix"), "doc_id", "text"), 11 + TIE_BITS)
+    row = F.xxhash64(F.lit("tie"), F.monotonically_increasing_id())
+    return F.shiftleft(own, TIE_BITS) + F.shiftrightunsigned(row, 64 - TIE_BITS)
+
+
 def mix_copies(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (5, 2, 1),
                cap: float = 2.0, prior: str | None = None) -> DataFrame:
     """Add ``size``, ``source_size``, ``target``, ``rate``, ``copies`` and ``taken``.
@@ -98,7 +110,7 @@ def mix_copies(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] =
     base = F.col(prior).cast("double") if prior else F.lit(1.0)
     sized = docs.withColumns({
         "size": word_count(), "_prior": F.greatest(F.coalesce(base, F.lit(0.0)), F.lit(0.0)),
-        "_u": F.shiftrightunsigned(F.xxhash64(F.lit("mix"), "doc_id", "text"), 11)})
+        "_u": _place()})
     narrow = written(sized.select("source", "size", "_prior", "_u"), "mix")
     rows = checked_rows(narrow.groupBy("source").agg(F.sum("size").alias("n")),
                         MAX_SOURCES, "sources")
@@ -111,8 +123,8 @@ def mix_copies(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] =
                                   "sid int, _source string")
     keyed = narrow.join(F.broadcast(names), narrow["source"].eqNullSafe(
         names["_source"])).drop("_source")
-    profile = keyed.groupBy("sid", F.col("_prior").alias("prior")).agg(
-        F.sum("size").alias("words"))
+    profile = written(keyed.groupBy("sid", F.col("_prior").alias("prior")).agg(
+        F.sum("size").alias("words")), "mix_profile")
     duals = balance(profile, dict(enumerate(aims)), cap)
     facts = spark.createDataFrame(
         [(i, r["source"], r["n"], aims[i], duals[i]) for i, r in enumerate(rows)],
@@ -141,34 +153,59 @@ def _rates(df: DataFrame, cap: float) -> DataFrame:
             .withColumn("_t", F.when(left > 1e-9, F.col("_u") / F.lit(2.0 ** 53) / left)))
 
 
+def _edge_parts(open_rows: DataFrame, need: DataFrame) -> DataFrame:
+    """(sid, _need, _low, _width, _start): the part of each source's order, from place _low on, in
+    which its missing words end, and the words before it.
+
+    Words are summed by source and part. A part that holds more than EDGE_ROWS rows, as equal
+    records do, is parted again, so no part is large however many rows are alike.
+    """
+    edge = need.select("sid", "_need", F.lit(0.0).alias("_low"),
+                       F.lit(2.0).alias("_width"), F.lit(0).cast("long").alias("_start"))
+    for level in range(LEVELS):
+        step = F.col("_width") / BLOCKS
+        inside = open_rows.join(F.broadcast(edge), "sid").where(
+            (F.col("_t") >= F.col("_low")) & ((F.col("_t") < F.col("_low") + F.col("_width"))
+                                              | (F.lit(level == 0))))
+        block = F.least(F.floor((F.col("_t") - F.col("_low")) / step), F.lit(BLOCKS - 1))
+        sums = inside.groupBy("sid", block.alias("_block")).agg(
+            F.sum("size").alias("_n"), F.count("*").alias("_rows"),
+            *[F.first(c).alias(c) for c in ("_need", "_low", "_width", "_start")])
+        upto = Window.partitionBy("sid").orderBy("_block").rowsBetween(
+            Window.unboundedPreceding, 0)
+        runs = sums.withColumn("_from", F.col("_start") + F.sum("_n").over(upto) - F.col("_n"))
+        edge = written(runs.where("_from <= _need").groupBy("sid").agg(
+            F.max(F.struct("_block", "_from", "_rows", "_need", "_low", "_width")).alias("e"))
+            .select("sid", "e._need", (F.col("e._low") + F.col("e._block") * F.col("e._width")
+                                       / BLOCKS).alias("_low"),
+                    # The last part of all reaches as far as places do.
+                    F.when((F.col("e._block") == BLOCKS - 1) & F.lit(level == 0), F.lit(1e300))
+                    .otherwise(F.col("e._width") / BLOCKS).alias("_width"),
+                    F.col("e._from").alias("_start"), "e._rows"), "mix_edges")
+        if not edge.agg(F.max("_rows") > EDGE_ROWS).first()[0]:
+            break
+    return edge.drop("_rows")
+
+
 def _fill_points(rated: DataFrame) -> DataFrame:
     """(sid, _at, _fill): records up to the first place, and at the second, take one more copy.
 
-    Words are summed by source and block of the order; only the one block of each source in
-    which the missing words end is put in order itself.
+    Only the one part of each source's order in which the missing words end is put in order.
     """
     need = rated.groupBy("sid").agg((F.first("target") - F.sum(
         F.col("_base") * F.col("size"))).alias("_need"))
-    open_rows = rated.filter("_t is not null and size > 0").withColumn(
-        "_block", F.floor(F.least(F.col("_t"), F.lit(2.0)) * (BLOCKS // 2)).cast("int"))
-    sums = open_rows.groupBy("sid", "_block").agg(F.sum("size").alias("_n"))
-    upto = Window.partitionBy("sid").orderBy("_block").rowsBetween(Window.unboundedPreceding, 0)
-    runs = (sums.withColumn("_end", F.sum("_n").over(upto)).join(F.broadcast(need), "sid")
-            .withColumn("_start", F.col("_end") - F.col("_n")))
-    edge = runs.filter("_start <= _need").groupBy("sid").agg(
-        F.max("_block").alias("_block"), F.max("_start").alias("_start"),
-        F.first("_need").alias("_need"))
-    inside = Window.partitionBy("sid", "_block").orderBy("_t").rangeBetween(
-        Window.unboundedPreceding, 0)
-    ranked = open_rows.join(F.broadcast(edge), ["sid", "_block"]).withColumn(
+    open_rows = rated.filter("_t is not null and size > 0")
+    edge = _edge_parts(open_rows, need)
+    inside = Window.partitionBy("sid").orderBy("_t").rangeBetween(Window.unboundedPreceding, 0)
+    ranked = open_rows.join(F.broadcast(edge), "sid").where(
+        (F.col("_t") >= F.col("_low")) & (F.col("_t") < F.col("_low") + F.col("_width"))).withColumn(
         "_sum", F.col("_start") + F.sum("size").over(inside))
     ends = ranked.groupBy("sid").agg(
-        F.max(F.when(F.col("_sum") <= F.col("_need"), F.struct("_sum", "_t"))).alias("_low"),
-        F.first("_start").alias("_start"), F.first("_block").alias("_b"),
+        F.max(F.when(F.col("_sum") <= F.col("_need"), F.struct("_sum", "_t"))).alias("_last"),
+        F.first("_start").alias("_start"), F.first("_low").alias("_low"),
         F.first("_need").alias("_need")).select(
-            "sid", (F.col("_need") - F.coalesce("_low._sum", "_start")).alias("_gap"),
-            F.coalesce(F.col("_low._t"), F.col("_b") / F.lit(float(BLOCKS // 2)) - 1e-12)
-            .alias("_at"))
+            "sid", (F.col("_need") - F.coalesce("_last._sum", "_start")).alias("_gap"),
+            F.coalesce(F.col("_last._t"), F.col("_low") - 1e-12).alias("_at"))
     # One later record per source, of the size nearest to what is still missing, fills up.
     off = F.abs(F.col("size") - F.col("_gap"))
     fill = (open_rows.join(F.broadcast(ends), "sid").filter((F.col("_t") > F.col("_at"))

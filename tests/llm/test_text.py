@@ -127,6 +127,35 @@ def test_mix_meets_targets_and_reruns_agree(spark):
     assert mixing.mix_copies(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("edge_rows", [20_000, 5])
+def test_equal_rows_share_what_is_missing(spark, monkeypatch, edge_rows):
+    monkeypatch.setattr(mixing, "EDGE_ROWS", edge_rows)
+    rows = [(i, " ".join(f"w{i}" for _ in range(10)), None, "a") for i in range(1000)]
+    rows += [(5000, "same " * 50, None, "a")] * 300 + [(None, None, None, "a")] * 20
+    got = mixing.mix_copies(spark.createDataFrame(rows, DOC)).collect()
+    assert got[0]["target"] == 37_500.0
+    assert abs(sum(r["taken"] for r in got) - 37_500) <= 50
+    equal = collections.Counter(r["copies"] for r in got if r["doc_id"] == 5000)
+    assert set(equal) == {1, 2}
+
+
+def test_newton_moves_from_zero(spark, monkeypatch):
+    steps = []
+    session = type(spark)
+    made = session.createDataFrame
+
+    def counted(self, data, schema=None, *more, **rest):
+        if schema == "sid int, dual double":
+            steps.append(dict(data))
+        return made(self, data, schema, *more, **rest)
+
+    monkeypatch.setattr(session, "createDataFrame", counted)
+    profile = made(spark, [(0, 1.0, 100), (1, 1.0, 50)], "sid int, prior double, words long")
+    duals = mixing.balance(profile, {0: 150.0, 1: 20.0}, 2.0)
+    assert steps[0] == {0: 0.0, 1: 0.0} and len(steps) > 3
+    assert duals == pytest.approx({0: math.log(1.5), 1: math.log(0.4)})
+
+
 def test_newton_meets_targets_with_uneven_priors(spark):
     profile = spark.createDataFrame(
         [(0, 1.0, 100), (0, 0.2, 300), (0, 3.0, 50), (1, 0.5, 10)], "sid int, prior double, words long")
@@ -138,6 +167,12 @@ def test_newton_meets_targets_with_uneven_priors(spark):
 
 # --- language ---------------------------------------------------------------------------------
 
+def test_number_signs_are_no_letters():
+    filters = language_id.Filters(["en"], np.ones(2048, np.uint8), np.zeros(1))
+    langs, scores = language_id.decide(filters, ["½ ² ③", "12 _ !", "½a", None, "", "字"])
+    assert langs == ["und", "und", "en", "und", "und", "en"] and list(scores[:2]) == [0, 0]
+
+
 TONGUES = {"aa": ["kala", "mala", "tavi", "kavi", "lavima"], "bb": ["ströd", "brun", "grost", "dröst"],
            "cc": ["zeno", "pizo", "cuzo", "nizzo", "zopi"]}
 
