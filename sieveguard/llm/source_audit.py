@@ -19,7 +19,6 @@ empty result.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +31,7 @@ from pyspark.sql import functions as F
 
 from sieveguard.llm.common import sized_batches, table
 from sieveguard.llm.registry import query
-from sieveguard.llm.terms import WORDS, joined_terms, term_lists
+from sieveguard.llm.terms import WORDS, joined_terms, term_hashes, term_lists
 from sieveguard.scratch import scratch_path, written
 
 MIN_DOCS = 3
@@ -66,16 +65,15 @@ def term_blocks(rows: DataFrame, block_terms: int) -> dict[str, int]:
         for batch in sized_batches(batches, "text", BATCH_BYTES):
             flat, sizes = term_lists(batch.column(1), WORDS)
             langs = batch.column(0).dictionary_encode()
-            owner = np.repeat(langs.indices.to_numpy(), sizes)
+            seen = np.flatnonzero(term_hashes(flat) % SEEN == 0)
+            owner = np.repeat(langs.indices.to_numpy(), sizes)[seen]
+            terms = flat.take(pa.array(seen))
             for i, lang in enumerate(langs.dictionary.to_pylist()):
-                hashes = [zlib.crc32(t.encode()) for t in
-                          flat.filter(pa.array(owner == i)).unique().to_pylist()]
-                seen = [h for h in hashes if h % SEEN == 0]
+                own = terms.filter(pa.array(owner == i)).unique().cast(pa.string())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(seen), pa.string()), pa.array(seen, pa.int64())],
-                    names=["lang", "term"])
+                    [pa.array([lang] * len(own), pa.string()), own], names=["lang", "term"])
 
-    seen = rows.select("lang", "text").mapInArrow(compute, "lang string, term long")
+    seen = rows.select("lang", "text").mapInArrow(compute, "lang string, term string")
     counted = seen.groupBy("lang").agg((SEEN * F.count_distinct("term")).alias("n"))
     return {r["lang"]: -(-r["n"] // block_terms) for r in counted.where(
         F.col("n") > block_terms).toLocalIterator()}
