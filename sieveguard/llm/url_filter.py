@@ -6,8 +6,10 @@ All set bits of a key lie in one 512-bit block, so one block lookup answers a ke
 pass meet the list itself in an equi-join, which removes the false positives; the longest
 rule (host plus path, then host) that is left decides.
 
-Nulls and texts without ``://`` have an empty host and path and no rule. Repeated pages are
-judged one by one. An empty list gives every page the default verdict.
+Nulls and texts without ``://`` have an empty host and path and no rule. Repeated urls are looked
+up once, and repeated pages stay rows of their own. Long urls are read whole. Columns named like
+an added one are refused. An empty list gives every page the default verdict; of rules equally
+long, the one with the longer host holds.
 """
 
 from __future__ import annotations
@@ -62,14 +64,13 @@ def blocked_bloom(keys: DataFrame, blocks: int) -> DataFrame:
 
 
 def possible(keyed: DataFrame, bloom: DataFrame, blocks: int, small: bool) -> DataFrame:
-    """Rows of ``keyed(h)`` whose key may be listed; ``h`` null passes."""
+    """Rows of ``keyed(h)`` whose key may be listed."""
     side = F.broadcast(bloom) if small else bloom
     hit = F.lit(True)
     for i in range(PROBES):
         hit = hit & (F.col(f"w{i}").bitwiseAND(probe_mask(F.col("h"), i)) != 0)
-    joined = keyed.withColumn("block", F.pmod("h", F.lit(blocks))).join(side, "block", "left")
-    return joined.filter(F.col("h").isNull() | F.coalesce(hit, F.lit(False))).drop(
-        "block", *[f"w{i}" for i in range(WORDS)])
+    joined = keyed.withColumn("block", F.pmod("h", F.lit(blocks))).join(side, "block")
+    return joined.filter(hit).drop("block", *[f"w{i}" for i in range(WORDS)])
 
 
 def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow",
@@ -79,7 +80,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow",
     ``rules(host, path, verdict)`` may be long; its rows are counted to size the filter.
     Where several verdicts are listed for one prefix, ``block`` holds.
     """
-    clear_names(pages, ["rule", "verdict", "rule_host", "rule_path", "_row", "_rest"])
+    clear_names(pages, ["rule", "verdict", "rule_host", "rule_path", "_host", "_path", "_best", "_rest"])
     # A host without a path lists the whole host.
     listed = (rules.select(lower_ascii(F.col("host")).alias("rule_host"),
                            F.coalesce("path", F.lit("")).alias("rule_path"), "verdict")
@@ -100,23 +101,23 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow",
                          lambda n: F.substring("path", F.lit(1), n))
     keys = F.flatten(F.transform(hosts, lambda h: F.transform(
         begins, lambda p: F.struct(h.alias("rule_host"), p.alias("rule_path")))))
-    none = F.struct(F.lit(None).cast("string").alias("rule_host"),
-                    F.lit(None).cast("string").alias("rule_path"))
-    # The page itself stays as a row without a key, so that it keeps its place in the result.
-    asked = (parts.withColumn("_row", F.monotonically_increasing_id())
-             .withColumn("_k", F.explode(F.concat(keys, F.array(none))))
-             .select(*parts.columns, "_row", "_k.rule_host", "_k.rule_path")
-             .withColumn("h", F.when(F.col("rule_host").isNotNull(), key_hash(
-                 F.col("rule_host"), F.col("rule_path")))))
+    # Urls are judged once for each host and path, without the pages' columns; a page then
+    # takes its verdict from there.
+    asked = (parts.select("host", "path").where("host <> ''").distinct()
+             .withColumn("_k", F.explode(keys)).select(
+                 "host", "path", "_k.rule_host", "_k.rule_path")
+             .withColumn("h", key_hash(F.col("rule_host"), F.col("rule_path"))))
     left = possible(asked, bloom, blocks, blocks <= block_broadcast)
-    found = left.join(listed, ["rule_host", "rule_path"], "left")
-    best = F.max(F.when(F.col("verdict").isNotNull(), F.struct(
+    found = left.join(listed, ["rule_host", "rule_path"])
+    best = F.max(F.struct(
         F.length("rule_host") + F.length("rule_path"), F.length("rule_host"),
-        F.concat("rule_host", "rule_path").alias("rule"), F.col("verdict").alias("verdict"))))
-    judged = found.groupBy("_row").agg(
-        *[F.any_value(c).alias(c) for c in parts.columns], best.alias("_best"))
-    return judged.select(*parts.columns, F.col("_best.rule").alias("rule"),
-                         F.coalesce("_best.verdict", F.lit(default)).alias("verdict"))
+        F.concat("rule_host", "rule_path").alias("rule"), F.col("verdict").alias("verdict")))
+    judged = found.groupBy("host", "path").agg(best.alias("_best")).select(
+        F.col("host").alias("_host"), F.col("path").alias("_path"), "_best")
+    return parts.join(judged, (F.col("host") == F.col("_host")) & (F.col("path") == F.col("_path")),
+                      "left").select(
+        *parts.columns, F.col("_best.rule").alias("rule"),
+        F.coalesce("_best.verdict", F.lit(default)).alias("verdict"))
 
 
 SQL = r"""
