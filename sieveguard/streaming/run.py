@@ -122,3 +122,45 @@ def stream_series(records: DataFrame, bucket: str = "60 seconds", delay: str = "
     ).select("run_id", "system_name",
              F.unix_millis(F.col("_w.start")).alias("bucket_ms"), "readings", "anomalies",
              "escalated")
+
+
+MINUTE_MS = 60_000
+SERIES_COUNTS = ["readings", "anomalies", "escalated"]
+
+
+def series_table(spark: SparkSession, path: str) -> CommittedTable:
+    return CommittedTable(spark, path, ("run_id", "system_name"))
+
+
+def run_series(records: DataFrame, path: str, checkpoint: str, horizon: str = "1 day",
+               key: Sequence[str] = ("run_id", "event_id", "engine"),
+               trigger: dict | None = None) -> StreamingQuery:
+    """Keep counts per minute of processing time, only ever adding to them.
+
+    Each micro-batch commits what it adds to its minutes, so a late row corrects its minute
+    whenever it comes, and no count waits for a watermark. Rows repeated within ``horizon`` of
+    each other count once; a row later than that cannot be told from a repetition and is left out.
+    """
+    timed = records.withColumn("_at", F.timestamp_millis("processed_at_epoch_ms"))
+    once = timed.withWatermark("_at", horizon).dropDuplicatesWithinWatermark(list(key))
+    writer = writer_name(checkpoint)
+
+    def add(batch: DataFrame, batch_id: int) -> None:
+        minute = F.floor(F.col("processed_at_epoch_ms") / MINUTE_MS) * MINUTE_MS
+        counts = batch.groupBy("run_id", "system_name", minute.alias("bucket_ms")).agg(
+            F.count("*").alias("readings"), F.count_if(F.col("is_anomaly") == 1).alias("anomalies"),
+            F.count_if(F.col("escalated").cast("int") == 1).alias("escalated"))
+        series_table(batch.sparkSession, path).append(counts, writer, batch_id)
+
+    return (once.writeStream.option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or {"processingTime": "1 second"})).foreachBatch(add).start())
+
+
+def read_series(spark: SparkSession, path: str, bucket_ms: int = MINUTE_MS, **values: str
+                ) -> DataFrame:
+    """Counts per run, system and bucket of whole minutes (of one ``run_id``, ``system_name``)."""
+    if bucket_ms % MINUTE_MS:
+        raise ValueError("buckets are whole minutes")
+    start = (F.floor(F.col("bucket_ms") / bucket_ms) * bucket_ms).alias("bucket_ms")
+    return series_table(spark, path).read(**values).groupBy("run_id", "system_name", start).agg(
+        *[F.sum(c).alias(c) for c in SERIES_COUNTS])

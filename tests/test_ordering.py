@@ -118,3 +118,17 @@ def test_nulls_and_nan_rank_as_sorted(spark, order):
         for n in (30, 45, 390):
             got = O.take_first(df, order, n, sort_limit=5, slice_rows=slice_rows)
             assert sorted(r["i"] for r in got.collect()) == sorted(want[:n])
+
+
+def test_ranks_of_a_level_share_their_scans(spark, monkeypatch):
+    df = spark.range(20_000).select(F.col("id"), (F.col("id") * 7_919 % 20_011).cast("double").alias("x"))
+    levels, scans = [], []
+    edges, kind = O._edges, type(df)
+    agg = kind.agg
+    monkeypatch.setattr(O, "_edges", lambda *a: levels.append(1) or edges(*a))
+    monkeypatch.setattr(kind, "agg", lambda self, *a: scans.append(1) or agg(self, *a))
+    ranks = [0, 500, 1_000, 2_000, 4_000, 8_000, 19_999]
+    cuts = O.order_cuts(df, ["-x", "id"], ranks, slice_rows=3)
+    want = [r["x"] for r in df.orderBy(F.desc("x")).collect()]
+    assert [c["x"] for c in cuts] == [want[k] for k in ranks]
+    assert len(scans) <= 2 * len(levels) + 1

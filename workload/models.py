@@ -113,18 +113,20 @@ def _(spark, sf):
     more than their splits, children that are missing, and whether the first weighs 1."""
     nodes = written(fit_fallback(scored(spark, sf)), "fallback_nodes")
     inner = nodes.where("left <> node")
-    level, deep = nodes.where("node = 0").select("tree", "node"), 0
+    level = nodes.where("node = 0").select("tree", "node")
     for _ in range(DEPTH):
         found = inner.join(level, ["tree", "node"])
         level = found.select("tree", F.col("left").alias("node")).union(
             found.select("tree", F.col("right").alias("node")))
     deep = inner.join(level, ["tree", "node"]).count()
-    shape = nodes.groupBy("tree").agg(F.count("*").alias("all"), F.count_if("left <> node").alias("splits"))
+    shape = nodes.groupBy("tree").agg(
+        F.count("*").alias("all"), F.count_if(F.col("left") != F.col("node")).alias("splits"))
     children = inner.select("tree", F.explode(F.array("left", "right")).alias("node"))
     return shape.agg(
-        F.count("*").cast("int").alias("trees"), F.lit(deep).alias("too_deep"),
+        F.count("*").cast("int").alias("trees"), F.lit(deep).cast("int").alias("too_deep"),
         F.count_if(F.col("all") != 2 * F.col("splits") + 1).cast("int").alias("without_leaves"),
-        F.lit(children.join(nodes, ["tree", "node"], "left_anti").count()).alias("lost_children"),
+        F.lit(children.join(nodes, ["tree", "node"], "left_anti").count()).cast("int")
+        .alias("lost_children"),
         F.lit(nodes.where("tree = 0 and left = node").agg(F.max(F.abs("value"))).first()[0] <= 1.0)
         .alias("first_whole"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,14 +11,15 @@ from sieveguard import schema as S
 from sieveguard.detectors.external import external_decision
 from sieveguard.functions.columns import heuristic_prob
 from sieveguard.plans.flow import decide_records
-from sieveguard.scratch import scratch_path
+from sieveguard.scratch import scratch_path, written
 from sieveguard.sources.commits import CommittedTable
 from sieveguard.sources.sinks import AlertList, event_table, read_events
 from sieveguard.streaming.features import stream_features
 from sieveguard.streaming.run import (
-    fan_out, run_external, run_stream, stream_dedup, stream_series, writer_name)
+    SERIES_COUNTS, fan_out, read_series, run_external, run_series, run_stream, series_table,
+    stream_dedup, stream_series, writer_name)
 from workload.base import (
-    ORDER, SQL_READINGS, SQL_RECORDS, WEIGHTS, probabilities, processed_at, query,
+    ORDER, SQL_READINGS, SQL_RECORDS, WEIGHTS, probabilities, processed_at, query, records,
     rounded, s6, sensor_rows, sql)
 from workload.models import answer
 from workload.windows import DERIVED, FEATURE_SQL
@@ -261,3 +262,28 @@ def _(spark, sf):
     last = every.agg(F.max("batch")).scalar()
     return every.where(F.col("batch") == last).select(
         "bucket_ms", "readings", "anomalies", "escalated")
+
+
+SERIES_PARTS = {"1m": 60_000, "1h": 3_600_000, "6h": 21_600_000, "24h": 86_400_000}
+
+
+@query("stream_series_late", sql(SQL_RECORDS, "\nunion all\n".join(f"""
+select '{name}' as window, cast(processed_at_epoch_ms // {size} * {size} as bigint) as bucket_ms,
+  count(*) as readings, count(*) filter (is_anomaly = 1) as anomalies,
+  count(*) filter (escalated) as escalated
+from rec where system_name = 'selective' group by 2""" for name, size in SERIES_PARTS.items())))
+def _(spark, sf):
+    """The later half of the records comes first, and a part of them comes twice."""
+    rows = written(records(spark, sf), "series_rows")
+    source, path = scratch_path(spark, "late"), scratch_path(spark, "series")
+    late = rows.where("seq % 2 = 0")
+    for part in (rows.where("seq % 2 = 1"), late, rows.where("seq % 5 = 0")):
+        part.coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    run_series(stream, path, scratch_path(spark, "series_state"), "400 days",
+               trigger=DRAIN).awaitTermination()
+    series_table(spark, path).compact()
+    parts = [read_series(spark, path, size).select(F.lit(name).alias("window"), "bucket_ms",
+                                                   *SERIES_COUNTS)
+             for name, size in SERIES_PARTS.items()]
+    return reduce(DataFrame.unionAll, parts)
