@@ -38,7 +38,7 @@ MIN_DOCS = 3
 TOP_TERMS = 200
 EVERY_TERM = 2 ** 31 - 1
 SCALE = 1_000_000_000     # shares are counted in parts of this
-BLOCK_TERMS = 1 << 21
+BLOCK_TERMS = 1 << 19
 SEEN = 64                 # one in so many terms tells how many there are
 BATCH_BYTES = 4 << 20     # text looked at at once
 ROWS = 1 << 16            # counts looked at at once, about
@@ -80,25 +80,29 @@ def term_blocks(rows: DataFrame, block_terms: int) -> dict[str, int]:
 
 
 def write_terms(rows: DataFrame, path: str, blocks: dict[str, int]) -> None:
-    """Terms of every document, in folders by language and block of terms.
+    """Terms of every document, a row for each, in folders by language: a column for each block of
+    terms, null where the language has fewer.
 
-    They are one string, each after a space: cut at spaces, it starts with the FILLER.
+    A column is one string with each term after a space: cut at spaces, it starts with the FILLER.
     """
+    columns = [f"terms_{b}" for b in range(max(blocks.values(), default=1))]
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sized_batches(batches, "text", BATCH_BYTES):
             parts = np.array([blocks.get(x, 1) for x in batch.column(0).to_pylist()], np.int64)
-            for b, terms in enumerate(joined_terms(batch.column(2), WORDS, parts)):
-                own = pa.array(np.flatnonzero(parts > b))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(own), batch.column(1).take(own),
-                     pa.array(np.full(len(own), b, np.int32)), terms],
-                    names=["lang", "source", "block", "terms"])
+            found = joined_terms(batch.column(2), WORDS, parts)
+            dealt = []
+            for b in range(len(columns)):
+                place = np.cumsum(parts > b) - 1
+                dealt.append(pa.nulls(len(parts), pa.string()) if b >= len(found) else
+                             found[b].take(pa.array(place, mask=parts <= b)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *dealt],
+                                             names=["lang", "source", *columns])
 
-    out = rows.select("lang", "source", "text").mapInArrow(
-        compute, "lang string, source string, block int, terms string")
-    (out.select(lang_key(F.col("lang")).alias("lang_key"), "block", "source", "terms")
-     .write.partitionBy("lang_key", "block").parquet(path))
+    layout = ", ".join(f"{c} string" for c in ["lang", "source", *columns])
+    out = rows.select("lang", "source", "text").mapInArrow(compute, layout)
+    (out.select(lang_key(F.col("lang")).alias("lang_key"), "source", *columns)
+     .write.partitionBy("lang_key").parquet(path))
 
 
 def group_sums(vectors: DataFrame) -> DataFrame:
@@ -146,9 +150,9 @@ def count_terms(docs: DataFrame, min_docs: int = MIN_DOCS, block_terms: int = BL
     for lang, key in langs.toLocalIterator():
         size = 0
         for block in range(blocks.get(lang, 1)):
-            own = spark.read.schema("source string, terms string").parquet(
-                f"{terms}/lang_key={key}/block={block}").withColumn(
-                "terms", F.split("terms", " ", -1))
+            own = spark.read.schema(f"source string, terms_{block} string").parquet(
+                f"{terms}/lang_key={key}").select(
+                "source", F.split(f"terms_{block}", " ", -1).alias("terms"))
             # Which terms are kept depends on documents alone, so each term is shown once here.
             model = CountVectorizer(
                 inputCol="terms", outputCol="vector", minDF=float(min_docs),
