@@ -72,6 +72,9 @@ def balance(profile: DataFrame, targets: dict[int, float], cap: float) -> dict[i
         F.sum(F.col("prior") * F.col("words")).alias("w")).collect()}
     duals = {s: 0.0 if t > 0 and start.get(s) else -math.inf for s, t in targets.items()}
     live = {s for s, d in duals.items() if d > -math.inf}
+    # Where rates are cut off the curve bends, so steps stay between the duals known to be too
+    # small and too large.
+    low, high = {s: -math.inf for s in live}, {s: math.inf for s in live}
     for _ in range(STEPS):
         if not live:
             break
@@ -86,8 +89,12 @@ def balance(profile: DataFrame, targets: dict[int, float], cap: float) -> dict[i
             if abs(gap) <= 1e-9 * targets[r["sid"]] or (r["slope"] == 0 and gap < 0):
                 live.discard(r["sid"])
             else:
+                s, now_at = r["sid"], duals[r["sid"]]
+                (low if gap < 0 else high)[s] = now_at
                 step = -gap / r["slope"] if r["slope"] > 0 else -1.0
-                duals[r["sid"]] += max(-1.0, min(1.0, step))
+                duals[s] = now_at + max(-1.0, min(1.0, step))
+                if not low[s] < duals[s] < high[s]:
+                    duals[s] = (low[s] + high[s]) / 2
     return duals
 
 

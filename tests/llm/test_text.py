@@ -150,10 +150,12 @@ def test_newton_moves_from_zero(spark, monkeypatch):
         return made(self, data, schema, *more, **rest)
 
     monkeypatch.setattr(session, "createDataFrame", counted)
-    profile = made(spark, [(0, 1.0, 100), (1, 1.0, 50)], "sid int, prior double, words long")
-    duals = mixing.balance(profile, {0: 150.0, 1: 20.0}, 2.0)
-    assert steps[0] == {0: 0.0, 1: 0.0} and len(steps) > 3
-    assert duals == pytest.approx({0: math.log(1.5), 1: math.log(0.4)})
+    # A step from 0 towards 1.9 goes past the cap, where the curve is flat.
+    profile = made(spark, [(0, 1.0, 100), (1, 1.0, 50), (2, 1.0, 10)],
+                   "sid int, prior double, words long")
+    duals = mixing.balance(profile, {0: 150.0, 1: 20.0, 2: 19.0}, 2.0)
+    assert steps[0] == {0: 0.0, 1: 0.0, 2: 0.0} and len(steps) > 3
+    assert duals == pytest.approx({0: math.log(1.5), 1: math.log(0.4), 2: math.log(1.9)})
 
 
 def test_newton_meets_targets_with_uneven_priors(spark):
