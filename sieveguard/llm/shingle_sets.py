@@ -4,10 +4,9 @@ Two texts are linked if the Jaccard similarity of their sets of shingles (runs o
 lower-cased words; a shorter text is one shingle) reaches ``similarity``; classes are the
 connected components.
 
-Search. Only distinct sets are compared. The smallest values of a set under some mixings of its
-hashes make one key (equal with probability J ** ROWS at similarity J, whatever the sizes), and
-there are as many keys as let a pair right at the threshold meet with probability RECALL. Sets
-with a common key share a place; places with the same members count once. Only there are whole
+Search. Only distinct sets are compared. Wide SimHash fingerprints of the sets are linked by
+pivot tables (``simhash.py``, to its recall), with a radius that leaves room for the spread of
+fingerprints at the threshold. The classes of these links are the places: only there are whole
 sets brought together, and an exact comparison decides every link.
 
 Crowded places are dealt into chunks, each with the place's smallest id as its hub, and links
@@ -20,7 +19,6 @@ Texts without words have the same empty set and form one class. Empty tables giv
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,14 +29,10 @@ from pyspark.sql import functions as F
 
 from sieveguard.llm.common import sized_batches
 from sieveguard.llm.components import components
+from sieveguard.llm.simhash import LANES, SEED, SIMILARITY, fp_names, set_print, wide_edges
 from sieveguard.scratch import written
 
-SIMILARITY = 0.8
-RECALL = 0.9999           # of pairs right at the threshold; closer ones meet more often
-ROWS = 4                  # smallest values in a key
 CHUNK = 512               # sets of a crowded place in one chunk
-SEED = 42
-MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shingle_set(text: str | None, words: int) -> np.ndarray:
@@ -52,49 +46,24 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
                                  len(tokens) - size + 1))
 
 
-def key_count(similarity: float, recall: float = RECALL, rows: int = ROWS) -> int:
-    """How many keys let a pair at the threshold meet with probability ``recall``."""
-    if similarity >= 1:
-        return 1
-    return math.ceil(math.log(1 - recall) / math.log(1 - similarity ** rows))
-
-
-def set_keys(sets: list[np.ndarray], count: int, rows: int = ROWS) -> np.ndarray:
-    """(sets x count) keys of non-empty sets."""
-    draw = np.random.default_rng(SEED).integers(0, 2 ** 64, (count, rows, 2), dtype=np.uint64)
-    flat = np.concatenate(sets)
-    starts = np.cumsum([0] + [len(s) for s in sets[:-1]])
-    keys = np.empty((len(sets), count), np.uint64)
-    for k in range(count):
-        key = np.full(len(sets), k + 1, np.uint64)
-        for flip, factor in draw[k]:
-            least = np.minimum.reduceat((flat ^ flip) * (factor | np.uint64(1)), starts)
-            key = (key ^ least) * MUL
-            key ^= key >> np.uint64(29)
-        keys[:, k] = key
-    return keys
-
-
-def with_set_keys(docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(doc_id, text_key, id, keys) of every document: ``id`` stands for its set."""
-    count = key_count(similarity)
+def with_set_prints(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, text_key, id, n, fp, ...) of every document: ``id`` stands for its set of ``n``
+    shingles, of which the fingerprint's bits come as longs."""
+    names = ["id", "n", *fp_names(LANES)]
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sized_batches(batches, "_text"):
             sets = [shingle_set(t, words) for t in batch.column(2).to_pylist()]
             ids = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64)
-            some = [s for s in sets if len(s)]
-            keys = set_keys(some, count) if some else np.zeros((0, count), np.uint64)
-            ends = np.cumsum([0] + [count if len(s) else 0 for s in sets])
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()),
-                                             pa.array(keys.reshape(-1).view(np.int64)))
+            prints = np.array([set_print(s) for s in sets], np.uint64).reshape(-1, LANES)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(ids.view(np.int64)), lists],
-                names=["doc_id", "text_key", "id", "keys"])
+                [batch.column(0), batch.column(1), pa.array(ids.view(np.int64)),
+                 pa.array([len(s) for s in sets], pa.int64())]
+                + [pa.array(prints[:, i].copy().view(np.int64)) for i in range(LANES)],
+                names=["doc_id", "text_key", *names])
 
     slim = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.col("text").alias("_text"))
-    schema = slim.drop("_text").withColumns(
-        {"id": F.lit(0).cast("long"), "keys": F.array(F.lit(0).cast("long"))}).schema
+    schema = slim.drop("_text").withColumns({c: F.lit(0).cast("long") for c in names}).schema
     return slim.mapInArrow(compute, schema)
 
 
@@ -231,17 +200,16 @@ def set_classes(docs: DataFrame, words: int = 5, similarity: float = SIMILARITY,
                 chunk: int = CHUNK) -> DataFrame:
     """(doc_id, text_key, root) of every row of ``docs(doc_id, text)``: the root tells classes
     apart. ``docs`` is read twice."""
-    marked = written(with_set_keys(docs, words, similarity), "sets")
+    marked = written(with_set_prints(docs, words), "sets")
+    prints = ["n", *fp_names(LANES)]
     distinct = written(marked.groupBy("id").agg(
-        F.first("keys").alias("keys"), F.min("text_key").alias("text_key")), "distinct")
-    keyed = distinct.select("id", F.explode("keys").alias("key"))
-    places = keyed.groupBy("key").agg(
-        F.count("*").alias("n"), F.min("id").alias("hub"), F.max("id").alias("last"),
-        F.bit_xor(F.xxhash64("id")).alias("sign")).filter("n > 1").groupBy(
-        "n", "hub", "last", "sign").agg(F.min("key").alias("key"))
-    members = written(keyed.join(places.select("key", "n", "hub"), "key"), "members")
-    asked = distinct.join(members.select("id").distinct(), "id", "left_semi").select(
-        "id", "text_key")
+        *[F.min(c).alias(c) for c in [*prints, "text_key"]]), "distinct")
+    alike = written(components(wide_edges(distinct.filter("n > 0").select("id", *prints),
+                                          similarity)), "alike")
+    places = alike.groupBy(F.col("root").alias("key")).agg(F.count("*").alias("n"))
+    members = written(alike.join(places, alike["root"] == places["key"]).select(
+        "key", "n", F.col("root").alias("hub"), F.col("node").alias("id")), "members")
+    asked = distinct.join(members, "id", "left_semi").select("id", "text_key")
     texts = docs.select(F.xxhash64("text").alias("text_key"), "text").join(
         asked, "text_key").dropDuplicates(["id"])
     sets = written(sets_of(texts, words), "shingles")

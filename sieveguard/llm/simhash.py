@@ -15,9 +15,12 @@ lie apart are never formed. Each pair of chunks returns a spanning forest of its
 the pairs: every link's two ends stay connected, and the number of rows stays linear.
 
 Wider fingerprints (``LANES`` words of 64 bits, the further ones from remixed shingle hashes)
-serve similarities below those that three bits stand for: there the meeting places are keyed
-by sampled bits instead of pieces, as many and as often as the number of fingerprints and the
-target recall ask for.
+serve similarities below those that three bits stand for. They are made of shingle sets, so that
+their distance stands for the part two sets share. There the meeting places are keyed by sampled
+bits instead of pieces, as many and as often as the number of fingerprints and the target recall
+ask for; the references are fingerprints of the table, which lie near its crowds; and of a place
+only pairs are formed whose set sizes allow the similarity. ``keep_one`` takes the classes of
+such links as candidates and lets an exact comparison of the sets decide (``shingle_sets.py``).
 
 Nulls and texts without words have fingerprint 0 and are linked like any other. Repeated
 rows share their fingerprint. Empty tables give empty results.
@@ -38,7 +41,6 @@ from pyspark.sql import functions as F
 from sieveguard.llm.common import clear_names, sized_batches, table, unsigned_hex
 from sieveguard.llm.components import components
 from sieveguard.llm.registry import query
-from sieveguard.llm.shingle_sets import SIMILARITY, set_classes
 from sieveguard.scratch import written
 
 RADIUS = 3
@@ -48,11 +50,18 @@ CHUNK = 2048              # fingerprints of a crowded place compared in one task
 SMALL = 32                # places up to this size are compared side by side
 SEED = 42
 LANES = 4
-# Of 256 bits: sets of equal size that share 0.8 of their union (cosine 0.89) differ in 39 of
-# them on average, 6 more or less; those that share 0.6 in 59.
-WIDE_RADIUS = 46
+SIMILARITY = 0.8
+# Of 256 bits: sets that share 0.8 of their union (cosine 0.89) differ in 39 of them on average,
+# 6 more or less; sets of four and five shingles, where ties are frequent, in 48. The radius
+# lies five deviations above the one and nearly four above the other.
+WIDE_RADIUS = 72
 SOUGHT = 39 / 256         # share of differing bits for which wide fingerprints reach RECALL
-RECALL = 0.99
+TINY = 5                  # sets up to this many shingles get the keys for TINY_SOUGHT
+TINY_SOUGHT = 48 / 256
+RECALL = 0.9999           # of pairs right at the threshold; closer ones meet more often
+PLACE = 1024              # wide fingerprints of a place, at most, if bits were even
+WIDE_CHUNK = 4096
+BLOCK = 128               # rows of a place compared with the others at a time
 
 
 def remixed(hashes: np.ndarray, lane: int) -> np.ndarray:
@@ -85,6 +94,20 @@ def fingerprints(text: str | None, words: int = 3, lanes: int = 1) -> np.ndarray
         part = np.fromiter((digest(b" ".join(s), SEED) for s in islice(shingles, 65536)), np.uint64)
         for lane in range(lanes):
             counts[lane] += bit_counts(remixed(part, lane))
+    return packed(counts, total)
+
+
+def set_print(hashes: np.ndarray, lanes: int = LANES) -> np.ndarray:
+    """Unsigned SimHash words of a set of shingle hashes."""
+    counts = np.zeros((lanes, 64), np.int64)
+    for start in range(0, len(hashes), 65536):
+        for lane in range(lanes):
+            counts[lane] += bit_counts(remixed(hashes[start:start + 65536], lane))
+    return packed(counts, len(hashes))
+
+
+def packed(counts: np.ndarray, total: int) -> np.ndarray:
+    """The words of which bits are set where over half of ``total`` hashes have them."""
     return np.packbits(counts * 2 > total, axis=1, bitorder="little").view("<u8")[:, 0]
 
 
@@ -131,23 +154,37 @@ def piece_keys(pieces: int, radius: int) -> Column:
     return F.array(*keys)
 
 
-def sampled_keys(rows: int, lanes: int, differing: float, recall: float) -> Column:
-    """Keys of sampled bits, for pairs that differ in a share ``differing`` of their bits.
+def key_count(bits: int, width: int, differing: float, recall: float) -> int:
+    """How many keys of ``bits`` sampled bits let a pair meet with probability ``recall`` whose
+    ``width`` bits differ independently, each with probability ``differing``."""
+    at = np.arange(width + 1)
+    logs = np.array([math.lgamma(width + 1) - math.lgamma(k + 1) - math.lgamma(width - k + 1)
+                     for k in at.tolist()])
+    chance = np.exp(logs + at * math.log(differing) + (width - at) * math.log(1 - differing))
+    apart = 1 - (1 - at / width) ** bits
+    count = 1
+    while (chance * apart ** count).sum() > 1 - recall:
+        count += 1
+    return count
+
 
-    A key samples about as many bits as leave a few of ``rows`` in one place; there are as many
-    keys as let such a pair meet with probability ``recall``.
+def sampled_keys(rows: int, lanes: int, place: int = PLACE) -> Column:
+    """Keys of sampled bits for rows with a set size ``n``.
+
+    A key samples as many bits as leave up to ``place`` of ``rows`` in one place; there are as
+    many keys as let pairs of SOUGHT (of TINY_SOUGHT for tiny sets) meet with RECALL.
     """
-    bits = max(8, math.ceil(math.log2(max(rows, 2))) - 2)
-    meet = (1 - differing) ** bits
+    bits = max(0, math.ceil(math.log2(max(rows, 1) / place)))
+    usual, most = (key_count(bits, 64 * lanes, x, RECALL) for x in (SOUGHT, TINY_SOUGHT))
     rng = np.random.default_rng(SEED)
     keys = []
-    for n in range(math.ceil(math.log(1 - recall) / math.log(1 - meet))):
+    for n in range(most):
         masks = [0] * lanes
         for at in rng.choice(64 * lanes, bits, replace=False).tolist():
             masks[at // 64] |= 1 << at % 64
         keys.append(F.xxhash64(F.lit(n), *[
             F.col(c).bitwiseAND(F.lit(signed(m))) for c, m in zip(fp_names(lanes), masks)]))
-    return F.array(*keys)
+    return F.when(F.col("n") <= TINY, F.array(*keys)).otherwise(F.array(*keys[:usual]))
 
 
 def bit_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -188,32 +225,35 @@ def crowd_links(fps: np.ndarray, split: int, tables: np.ndarray, radius: int) ->
     return out
 
 
-def link_edges(distinct: DataFrame, keys: Column, radius: int = RADIUS, lanes: int = 1,
-               chunk: int = CHUNK) -> DataFrame:
-    """Edges (a, b) that connect what links of ``distinct(id, fp, ...)`` connect.
+def dealt_units(distinct: DataFrame, keys: Column, refs: np.ndarray, names: list[str],
+                radius: int, chunk: int) -> DataFrame:
+    """(unit, side, id, names ...): the rows that meet, in the order of units and sides.
 
-    ``distinct`` must be a written table: it is read several times.
+    A unit is a place, a chunk of a crowded place, or a pair of such chunks (the sides) whose
+    ranges of distances to the first reference do not lie apart.
     """
-    refs, names = pivots(lanes), fp_names(lanes)
-    first = sum((F.bit_count(F.col(n).bitwiseXOR(F.lit(signed(int(r)))))
-                 for n, r in zip(names, refs[0])), F.lit(0))
+    width = max(1, radius // 3)
+    away = sum((F.bit_count(F.col(n).bitwiseXOR(F.lit(signed(int(r)))))
+                for n, r in zip(fp_names(refs.shape[1]), refs[0])), F.lit(0))
+    first = F.floor(away / F.lit(width)).cast("int")
     keyed = distinct.select("id", *names, first.alias("d"), F.explode(keys).alias("key"))
-    # Crowded places, and how many rows they have at each distance from the first pivot: one
-    # row per place with at most 64 * lanes + 1 entries.
+    # Crowded places, and how many rows they have in each range of distances from the first
+    # pivot: one row per place with at most 64 * lanes + 1 entries.
     crowded = written(keyed.groupBy("key").agg(F.count("*").alias("n")).filter(
         F.col("n") > chunk).select("key"), "crowded")
     hists = written(keyed.join(crowded, "key").groupBy("key", "d").agg(F.count("*").alias("n"))
                     .groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("d", "n")))
                                         .alias("hist")), "hists")
     met = keyed.join(hists, "key", "left")
-    # Chunks follow the pivot distance; a distance with many rows takes several chunks.
+    # Chunks follow the pivot distance; a range with many rows takes several chunks.
     full = F.col("hist").isNotNull()
     parts = F.ceil(F.element_at("hist", F.col("d")) / F.lit(chunk))
     part = F.pmod(F.xxhash64("id", F.lit("part")), parts).cast("int")
     own = F.when(full, F.struct(F.col("d").alias("d"), part.alias("p"))).otherwise(
         F.struct(F.lit(-1).alias("d"), F.lit(0).alias("p")))
     other = F.when(full, F.flatten(F.transform(
-        F.filter(F.map_entries("hist"), lambda e: F.abs(e["key"] - F.col("d")) <= radius),
+        F.filter(F.map_entries("hist"),
+                 lambda e: (F.abs(e["key"] - F.col("d")) - 1) * width < radius),
         lambda e: F.transform(
             F.sequence(F.lit(0), F.ceil(e["value"] / F.lit(chunk)).cast("int") - 1),
             lambda p: F.struct(e["key"].alias("d"), p.alias("p")))))).otherwise(F.array(own))
@@ -222,11 +262,36 @@ def link_edges(distinct: DataFrame, keys: Column, radius: int = RADIUS, lanes: i
     # Two units of one hash are compared as one, which finds no false links.
     dealt = pairs.select(F.xxhash64("key", left, right).alias("unit"), F.when(
         F.col("own") == left, 0).otherwise(1).cast("byte").alias("side"), "id", *names)
-    ordered = dealt.repartition("unit").sortWithinPartitions("unit", "side", "id")
+    return dealt.repartition("unit").sortWithinPartitions("unit", "side", "id")
 
-    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
 
+def whole_units(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """Rows of batches led by ``unit``, as blocks of longs that hold complete units."""
+    held: list[np.ndarray] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(np.column_stack([c.to_numpy().astype(np.int64) for c in batch.columns]))
+        last = held[-1]
+        cut = np.flatnonzero(last[:, 0] != last[-1, 0])
+        if len(cut):
+            whole = np.concatenate(held[:-1] + [last[:cut[-1] + 1]])
+            held = [last[cut[-1] + 1:]]
+            yield whole
+    if held:
+        yield np.concatenate(held)
+
+
+def link_edges(distinct: DataFrame, keys: Column, radius: int = RADIUS, lanes: int = 1,
+               chunk: int = CHUNK) -> DataFrame:
+    """Edges (a, b) that connect what links of ``distinct(id, fp, ...)`` connect.
+
+    ``distinct`` must be a written table: it is read several times.
+    """
+    refs = pivots(lanes)
+    ordered = dealt_units(distinct, keys, refs, fp_names(lanes), radius, chunk)
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def close(block: np.ndarray) -> pa.RecordBatch:
             """Links of all complete units in rows of (unit, side, id, fp, ...).
 
@@ -273,56 +338,128 @@ def link_edges(distinct: DataFrame, keys: Column, radius: int = RADIUS, lanes: i
             return pa.RecordBatch.from_arrays(
                 [pa.array(edges[:, 0].copy()), pa.array(edges[:, 1].copy())], names=["a", "b"])
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(np.column_stack([c.to_numpy().astype(np.int64)
-                                         for c in batch.columns]))
-            last = held[-1]
-            cut = np.flatnonzero(last[:, 0] != last[-1, 0])
-            if len(cut):
-                whole = np.concatenate(held[:-1] + [last[:cut[-1] + 1]])
-                held = [last[cut[-1] + 1:]]
-                yield close(whole)
-        if held:
-            yield close(np.concatenate(held))
+        for block in whole_units(batches):
+            yield close(block)
 
     return ordered.mapInArrow(link, "a long, b long")
 
 
-def classes(marked: DataFrame, radius: int = RADIUS, lanes: int = 1, pieces: int = PIECES,
-            recall: float = RECALL) -> DataFrame:
-    """(fp, ..., root, component_id) for ``marked(doc_id, fp, ...)``, a written table.
+def merged(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """``label``, the smallest row of each row's class, after linking rows ``i`` to rows ``j``."""
+    while True:
+        a, b = label[i], label[j]
+        if (a == b).all():
+            return label
+        label = label.copy()
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while (label[label] != label).any():
+            label = label[label]
 
-    ``root`` tells classes apart; ``component_id``, the smallest doc_id, is a label only: it is
-    null where all doc_ids are, and classes that hold the same doc_id may share it. One lane
-    is searched exactly, by pieces; more lanes by sampled bits, to the recall.
+
+def place_labels(fps: np.ndarray, sizes: np.ndarray, split: int, tables: np.ndarray,
+                 radius: int, similarity: float) -> np.ndarray:
+    """For each row of a unit the smallest row that links lead to.
+
+    ``tables`` holds the distances to the references, one line each. Rows come in order of
+    ``sizes``; ``split`` > 0: in either part, and only pairs across the first ``split`` rows and
+    the others count. Pairs whose sizes lie too far apart for ``similarity`` are left out.
+    """
+    label = np.arange(len(fps))
+    low, high = sizes * similarity - 1e-6, sizes / similarity + 1e-6
+    for s in range(0, split or len(fps), BLOCK):
+        e = min(s + BLOCK, split or len(fps))
+        a = split + np.searchsorted(sizes[split:], low[s], "left") if split else s
+        b = split + np.searchsorted(sizes[split:], high[e - 1], "right")
+        near = (sizes[a:b] >= low[s:e, None]) & (sizes[a:b] <= high[s:e, None])
+        if not split:
+            near &= np.arange(a, b) > np.arange(s, e)[:, None]
+        near &= label[a:b] != label[s:e, None]
+        if not near.any():
+            continue
+        for line in tables:
+            mine, others = line[s:e], line[a:b]
+            # A reference to which all are about as far discards nothing here.
+            if max(mine.max() - others.min(), others.max() - mine.min()) > radius:
+                near &= np.abs(mine[:, None] - others) <= radius
+        left = np.flatnonzero(near.any(axis=0))
+        far = np.zeros((e - s, len(left)), np.uint16)
+        for lane in range(fps.shape[1]):
+            far += np.bitwise_count(fps[s:e, lane, None] ^ fps[a + left, lane])
+        i, j = np.nonzero(near[:, left] & (far <= radius))
+        label = merged(label, i + s, a + left[j])
+    return label
+
+
+def wide_edges(distinct: DataFrame, similarity: float, radius: int = WIDE_RADIUS,
+               lanes: int = LANES, place: int = PLACE, chunk: int = WIDE_CHUNK) -> DataFrame:
+    """Edges (a, b) that connect what links of ``distinct(id, n, fp, ...)`` connect: wide
+    fingerprints within the radius, of sets whose sizes ``n`` allow the similarity.
+
+    ``distinct`` must be a written table: it is read several times.
     """
     names = fp_names(lanes)
-    number = F.col("fp") if lanes == 1 else F.monotonically_increasing_id()
-    distinct = written(marked.groupBy(*names).agg(F.min("doc_id").alias("least"))
-                       .withColumn("id", number), "prints")
-    keys = piece_keys(pieces, radius) if lanes == 1 else sampled_keys(
-        distinct.count(), lanes, SOUGHT, recall)
-    edges = link_edges(distinct.select("id", *names), keys, radius, lanes)
+    drawn = [[x % (1 << 64) for x in row] for row in
+             distinct.select("id", *names).orderBy("id").limit(PIVOTS).drop("id").collect()]
+    refs = np.array(drawn, np.uint64) if drawn else pivots(lanes)
+    keys = sampled_keys(distinct.count(), lanes, place)
+    ordered = dealt_units(distinct, keys, refs, ["n", *names], radius, chunk)
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in whole_units(batches):
+            order = np.lexsort((block[:, 3], block[:, 1], block[:, 0]))
+            block = block[order]
+            ids, sides, sizes = block[:, 2], block[:, 1], block[:, 3]
+            fps = np.ascontiguousarray(block[:, 4:]).view(np.uint64)
+            tables = np.stack([bit_distance(fps, r) for r in refs])
+            edges = []
+            starts = np.flatnonzero(np.diff(block[:, 0], prepend=block[0, 0] - 1))
+            for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(block)]):
+                split = int((sides[s:e] == 0).sum()) if sides[e - 1] else 0
+                # Chunk pairs without a row on the first side hold no pairs.
+                if sides[s]:
+                    continue
+                label = place_labels(fps[s:e], sizes[s:e], split, tables[:, s:e], radius,
+                                     similarity)
+                some = np.flatnonzero(label != np.arange(e - s))
+                edges.append(np.stack([ids[s + some], ids[s + label[some]]], axis=1))
+            both = np.concatenate([np.zeros((0, 2), np.int64), *edges])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["a", "b"])
+
+    return ordered.mapInArrow(link, "a long, b long")
+
+
+def classes(marked: DataFrame, radius: int = RADIUS, pieces: int = PIECES) -> DataFrame:
+    """(fp, root, component_id) for ``marked(doc_id, fp)``, a written table.
+
+    ``root`` tells classes apart; ``component_id``, the smallest doc_id, is a label only: it is
+    null where all doc_ids are, and classes that hold the same doc_id may share it.
+    """
+    distinct = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
+                       .withColumn("id", F.col("fp")), "prints")
+    edges = link_edges(distinct.select("id", "fp"), piece_keys(pieces, radius), radius)
     roots = written(components(edges), "roots")
     rooted = distinct.join(roots, distinct["id"] == roots["node"], "left").select(
-        *names, "least", F.coalesce("root", "id").alias("root"))
+        "fp", "least", F.coalesce("root", "id").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rooted.join(named, "root").select(*names, "root", "component_id")
+    return rooted.join(named, "root").select("fp", "root", "component_id")
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, radius: int = RADIUS,
-                    lanes: int = 1) -> DataFrame:
-    """(doc_id, text_key, fp, ..., root, component_id) of all documents with ``doc_id, text``."""
+def near_duplicates(docs: DataFrame, words: int = 3, radius: int = RADIUS) -> DataFrame:
+    """(doc_id, text_key, fp, root, component_id) of all documents with ``doc_id, text``."""
     marked = written(with_fingerprints(
-        docs, [F.col("doc_id"), F.xxhash64("text").alias("text_key")], words, lanes), "simhash")
-    return marked.join(classes(marked, radius, lanes), fp_names(lanes))
+        docs, [F.col("doc_id"), F.xxhash64("text").alias("text_key")], words), "simhash")
+    return marked.join(classes(marked, radius), "fp")
 
 
 def keep_one(docs: DataFrame, words: int = 5, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with one row of each class of texts that share ``similarity`` of their shingle
-    sets: its smallest doc_id; equal rows count once."""
+    sets: its smallest doc_id; equal rows count once.
+
+    Wide fingerprints find the candidates by pivot tables, the sets decide every link.
+    """
+    from sieveguard.llm.shingle_sets import set_classes  # built on this module
+
     clear_names(docs, ["text_key"])
     near = set_classes(docs.select("doc_id", "text"), words, similarity)
     chosen = near.groupBy("root").agg(

@@ -154,6 +154,83 @@ def test_shared_shingles_decide_what_is_kept(spark, chunk):
         assert kept == {rows[i][0] for i in set(want)}
 
 
+@pytest.mark.parametrize("place,chunk", [(1024, 4096), (16, 12)])
+def test_wide_links_reach_what_all_pairs_reach(spark, place, chunk):
+    rng = random.Random(place)
+    prints = [(rng.randint(4, 60), rng.getrandbits(256)) for _ in range(80)]
+    for size, spread, copies in ((40, 20, 60), (52, 34, 40), (20, 45, 10)):  # crowds
+        centre = rng.getrandbits(256)
+        for k in range(copies):
+            p = centre
+            for bit in rng.sample(range(256), rng.randint(0, spread)):
+                p ^= 1 << bit
+            prints.append((size + k % 4, p))
+    signed = [[simhash.signed(p >> 64 * i & (1 << 64) - 1) for i in range(4)] for _, p in prints]
+    rows = [(i, n, *fps) for i, ((n, _), fps) in enumerate(zip(prints, signed))]
+    frame = written(spark.createDataFrame(
+        rows, "id long, n long, fp long, fp1 long, fp2 long, fp3 long"), "fps")
+    edges = [(r["a"], r["b"]) for r in simhash.wide_edges(
+        frame, 0.8, place=place, chunk=chunk).collect()]
+    links = [(i, j) for i, (m, p) in enumerate(prints) for j, (n, q) in enumerate(prints[:i])
+             if (p ^ q).bit_count() <= simhash.WIDE_RADIUS and min(m, n) / max(m, n) >= 0.8]
+    assert len(links) > 2000
+    allowed = roots(len(prints), links)
+    assert all(allowed[a] == allowed[b] for a, b in edges)
+    close = [(i, j) for i, j in links
+             if (prints[i][1] ^ prints[j][1]).bit_count() <= 39]  # met but for 1 in 10,000
+    found = roots(len(prints), edges)
+    assert all(found[i] == found[j] for i, j in close)
+    if place == 1024:
+        assert found == allowed
+
+
+def test_references_discard_only_what_is_too_far():
+    rng = np.random.default_rng(8)
+    fps = rng.integers(0, 2 ** 64, (300, 4), dtype=np.uint64)
+    fps[100:200] = fps[100] ^ (np.uint64(1) << rng.integers(0, 64, (100, 4), dtype=np.uint64))
+    sizes = np.sort(rng.integers(5, 30, 300))
+    tables = np.stack([simhash.bit_distance(fps, fps[r]) for r in (0, 100, 150)])
+    for split in (0, 130):
+        order = np.lexsort((sizes, np.arange(300) >= split)) if split else np.arange(300)
+        f, n = fps[order], sizes[order]
+        links = [(i, j) for i in range(split or 300) for j in range(split or i + 1, 300)
+                 if simhash.bit_distance(f[i], f[j]) <= 72 and n[i] >= 0.8 * n[j] - 1e-9
+                 and n[j] >= 0.8 * n[i] - 1e-9]
+        got = simhash.place_labels(f, n, split, tables[:, order], 72, 0.8)
+        assert got.tolist() == roots(300, links)
+
+
+def test_candidates_come_from_fingerprints_alone(spark, monkeypatch):
+    rng = random.Random(1)
+    rows = []
+    for k in range(20):
+        a, b, _ = kin_texts(rng, 300, 0.85)
+        rows += [(2 * k, a), (2 * k + 1, b)]
+    rows += [(100 + k, " ".join(f"t{k % 5}_{i}" for i in range(8 + k // 5))) for k in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"] for r in simhash.keep_one(docs).collect()} == {
+        *range(0, 40, 2), *range(100, 105)}
+    asked, edges = [], simhash.wide_edges
+
+    def none(distinct, *rest):
+        asked.append(distinct.count())
+        return edges(distinct, *rest).limit(0)
+
+    monkeypatch.setattr(shingle_sets, "wide_edges", none)
+    assert simhash.keep_one(docs).count() == 50
+    assert asked == [50]
+
+
+def test_keys_are_as_many_as_the_recall_asks_for():
+    rng = np.random.default_rng(5)
+    for bits, differing in ((3, 39 / 256), (8, 39 / 256), (8, 48 / 256)):
+        count = simhash.key_count(bits, 256, differing, 0.99)
+        far = rng.binomial(256, differing, 200_000) / 256
+        missed = [((1 - (1 - far) ** bits) ** c).mean() for c in (count, count - 1)]
+        assert missed[0] <= 0.0102 and missed[1] >= 0.0098
+    assert simhash.key_count(0, 256, 39 / 256, 0.9999) == 1
+
+
 @pytest.mark.parametrize("cell,fan_out", [(1024, 64), (40, 8), (10, 8)])
 def test_vectors_against_all_pairs(spark, cell, fan_out):
     rng = np.random.default_rng(cell)
