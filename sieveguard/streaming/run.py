@@ -16,13 +16,17 @@ from sieveguard.sources.commits import COMMIT, CommittedTable
 from sieveguard.sources.sinks import AlertList, append_events, event_rows
 
 
+FILE_ROWS = 125_000   # of a micro-batch in one file of a table, about
+
+
 def fan_out(path: str, branches: Callable[[DataFrame, int], None] | None = None,
             writer: str = "stream", alert_cap: int | None = None
             ) -> Callable[[DataFrame, int], None]:
     """Micro-batch writer: committed tables ``events``, ``alerts`` and ``uncertain`` under
     ``path``, and with ``alert_cap`` the ``alert_list`` of the newest alerts of each run.
 
-    The batch is kept while its branches are written, so it is scored once. A retried batch
+    The batch is kept while its branches are written, so it is scored once. Every table gets as
+    many files as its rows fill, however many tasks the state of the stream has. A retried batch
     writes only the tables it had not committed before, so several runs and modes share one table
     and readers of any branch see every batch once.
     """
@@ -30,15 +34,17 @@ def fan_out(path: str, branches: Callable[[DataFrame, int], None] | None = None,
         spark = batch.sparkSession
         batch.persist()
         try:
-            append_events(event_rows(batch), batch_id, f"{path}/events", writer)
+            # The count computes the batch in the tasks of its state; the writers read what is kept.
+            rows = batch.coalesce(max(1, -(-batch.count() // FILE_ROWS)))
+            append_events(event_rows(rows), batch_id, f"{path}/events", writer)
             CommittedTable(spark, f"{path}/alerts").append(
-                alerts(batch).select("run_id", "event_id", "processed_at_epoch_ms", "is_anomaly",
-                                     F.to_json(F.struct(*batch.columns)).alias("alert")),
+                alerts(rows).select("run_id", "event_id", "processed_at_epoch_ms", "is_anomaly",
+                                    F.to_json(F.struct(*batch.columns)).alias("alert")),
                 writer, batch_id)
             CommittedTable(spark, f"{path}/uncertain").append(
-                uncertain_branch(batch), writer, batch_id)
+                uncertain_branch(rows), writer, batch_id)
             if alert_cap is not None:
-                AlertList(spark, f"{path}/alert_list", alert_cap).update(batch, writer, batch_id)
+                AlertList(spark, f"{path}/alert_list", alert_cap).update(rows, writer, batch_id)
             if branches is not None:
                 branches(batch, batch_id)
         finally:

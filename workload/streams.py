@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import partial, reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieveguard import schema as S
@@ -13,6 +13,7 @@ from sieveguard.functions.columns import heuristic_prob
 from sieveguard.plans.flow import decide_records
 from sieveguard.scratch import scratch_path, written
 from sieveguard.sources.commits import CommittedTable
+from sieveguard.sources.readings import BATCH_FILES
 from sieveguard.sources.sinks import AlertList, event_table, read_events
 from sieveguard.streaming.features import stream_features
 from sieveguard.streaming.run import (
@@ -35,29 +36,53 @@ def event_stream(spark: SparkSession, sf: str) -> DataFrame:
 
 
 SLICES = 8
+FILE_ROWS = 125_000   # of a slice's file, about; a busy user's rows stay in one
 
 
-def put_slices(spark: SparkSession, sf: str, path: str, first: int, last: int) -> None:
+def slice_ends(spark: SparkSession, sf: str) -> list[int]:
+    """Times that part the events into slices. They come from a sketch and may differ from call to
+    call: slices that are put in several steps need the same ones."""
+    at = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
+    return spark.read.parquet(f"{sf}/events.parquet").agg(F.percentile_approx(
+        at, [i / SLICES for i in range(1, SLICES)])).first()[0]
+
+
+def moment(micros: int) -> Column:
+    return F.expr(f"timestampadd(MICROSECOND, {micros}, TIMESTAMP_NTZ'1970-01-01 00:00:00')")
+
+
+def put_slices(spark: SparkSession, sf: str, path: str, first: int, last: int,
+               ends: list[int] | None = None) -> None:
     """Add slices ``first`` up to ``last`` of the events by time, each after the one before.
 
     A slice may be several files; each holds whole users, so their order does not matter.
     """
     events = spark.read.parquet(f"{sf}/events.parquet")
-    at = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
-    ends = events.agg(F.percentile_approx(at, [i / SLICES for i in range(1, SLICES)])).first()[0]
+    ends = [moment(e) for e in (slice_ends(spark, sf) if ends is None else ends) or []]
+    slices = []
     for i in range(first, last):
         own = F.lit(True)
         if i:
-            own = own & (at > ends[i - 1])
+            own = own & (F.col("ts") > ends[i - 1])
         if i < SLICES - 1:
-            own = own & (at <= ends[i])
-        events.where(own).repartition("user_id").write.mode("append").parquet(path)
+            own = own & (F.col("ts") <= ends[i])
+        slices.append(own)
+    sizes = events.agg(*[F.count_if(own) for own in slices]).first()
+    for own, size in zip(slices, sizes):
+        events.where(own).repartition(max(1, -(-size // FILE_ROWS)), "user_id").write.mode(
+            "append").parquet(path)
 
 
-def sliced_stream(spark: SparkSession, path: str) -> DataFrame:
-    """The written slices as a stream, a file in each micro-batch."""
-    layout = spark.read.parquet(path).schema
-    return sensor_rows(spark.readStream.schema(layout).option("maxFilesPerTrigger", 1).parquet(path))
+def sliced_stream(spark: SparkSession, path: str, slices: int = SLICES) -> DataFrame:
+    """The written slices as a stream, about a slice in each micro-batch.
+
+    A micro-batch costs a fixed time besides its rows, so their number must not grow with the
+    files of a slice; it takes BATCH_FILES of them at most.
+    """
+    slices_now = spark.read.parquet(path)
+    files = min(BATCH_FILES, max(1, -(-len(slices_now.inputFiles()) // slices)))
+    return sensor_rows(spark.readStream.schema(slices_now.schema).option(
+        "maxFilesPerTrigger", files).parquet(path))
 
 
 def decided(readings: DataFrame) -> DataFrame:
@@ -132,9 +157,10 @@ def _(spark, sf):
     """Stopped after half of the input and started again from its checkpoint."""
     path, state = scratch_path(spark, "fanout"), scratch_path(spark, "fanout_state")
     source = scratch_path(spark, "slices")
+    ends = slice_ends(spark, sf)
     for first, last in ((0, SLICES // 2), (SLICES // 2, SLICES)):
-        put_slices(spark, sf, source, first, last)
-        run_stream(decided(sliced_stream(spark, source)), path, state, DRAIN).awaitTermination()
+        put_slices(spark, sf, source, first, last, ends)
+        run_stream(decided(sliced_stream(spark, source, last)), path, state, DRAIN).awaitTermination()
     return branches_of(spark, path)
 
 
@@ -166,9 +192,11 @@ def _(spark, sf):
     read it; then both go on. Every case is decided once."""
     path, source = scratch_path(spark, "retried"), scratch_path(spark, "slices")
     states = scratch_path(spark, "main_state"), scratch_path(spark, "external_state")
+    ends = slice_ends(spark, sf)
     for first, last in ((0, SLICES // 2), (SLICES // 2, SLICES)):
-        put_slices(spark, sf, source, first, last)
-        run_stream(decided(sliced_stream(spark, source)), path, states[0], DRAIN).awaitTermination()
+        put_slices(spark, sf, source, first, last, ends)
+        run_stream(decided(sliced_stream(spark, source, last)), path, states[0],
+                   DRAIN).awaitTermination()
         run_external(spark, path, states[1],
                      lambda cases: external_decision(cases, partial(answer, limit=0.4), concurrency=2),
                      DRAIN).awaitTermination()
@@ -193,9 +221,10 @@ def _(spark, sf):
             table.compact()
             table.clean(grace_ms=0)
 
+    ends = slice_ends(spark, sf)
     for first, last in ((0, SLICES // 2), (SLICES // 2, SLICES)):
-        put_slices(spark, sf, source, first, last)
-        run_stream(decided(sliced_stream(spark, source)), path, state, DRAIN,
+        put_slices(spark, sf, source, first, last, ends)
+        run_stream(decided(sliced_stream(spark, source, last)), path, state, DRAIN,
                    tidy).awaitTermination()
     rows = read_events(spark, f"{path}/events")
     return rounded(rows.select("event_id", "engine", "is_anomaly", "p_final",
