@@ -128,8 +128,8 @@ NEWEST = ("-processed_at_epoch_ms", "-event_id")
 class AlertList:
     """The newest alerts of every run, kept up to date as batches come.
 
-    A batch is cut to ``cap`` alerts a run and merged with the list before it: it costs its own
-    alerts and one list, however many alerts a run has had. Every list is a committed version
+    A batch is merged with the list before it and cut to ``cap`` alerts a run in one pass: it costs
+    its own alerts and one list, however many alerts a run has had. Every list is a committed version
     named by writer and batch. A batch not after the last one changes nothing; versions before
     the last two are deleted.
     """
@@ -141,11 +141,11 @@ class AlertList:
         versions = self.table.commits_of(writer)
         if versions and batch <= versions[-1][0]:
             return
-        merged = capped_alerts(records, self.cap)
+        lists = alert_rows(alerts(records))
         if versions:
-            merged = self._merged(merged.unionByName(self.table.read_commit(versions[-1][1])
-                                                     .select(*merged.columns)))
-        self.table.append(merged, writer, batch)
+            lists = lists.unionByName(self.table.read_commit(versions[-1][1])
+                                      .select(*lists.columns))
+        self.table.append(self._merged(lists), writer, batch)
         for _, name in versions[:-1]:
             self.table.drop_commit(name)
 

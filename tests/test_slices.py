@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sieveguard.sources.commits import CommittedTable
+from sieveguard.sources.sinks import AlertList
 from sieveguard.streaming import run
 from workload import streams
 
@@ -85,3 +86,19 @@ def test_fan_out_leaves_as_many_files_as_its_rows_fill(spark, tmp_path):
         table = CommittedTable(spark, f"{tmp_path}/out/{name}")
         assert table.read().count() == 120
         assert sum(p.files for p in table.state().parts) == 1
+
+
+def test_an_alert_list_is_cut_once_for_each_batch(spark, tmp_path, monkeypatch):
+    from sieveguard.sources import sinks
+    cuts, cut = [], sinks.top_per_group
+    monkeypatch.setattr(sinks, "top_per_group", lambda *a, **k: cuts.append(1) or cut(*a, **k))
+    kept = AlertList(spark, str(tmp_path / "list"), cap=3)
+    for number in range(3):
+        rows = spark.range(10 * number, 10 * number + 10, 1, 1).select(
+            F.lit("r").alias("run_id"), F.lit("e").alias("event_id"), (F.col("id") % 2 + F.lit(
+                number)).alias("processed_at_epoch_ms"), F.lit(1).alias("is_anomaly"), "id")
+        kept.update(rows, "s", number)
+    assert len(cuts) == 3
+    # Alerts of one event at one time rank by their text, in the first batch as in later ones.
+    got = sorted(r["alert"] for r in kept.read().collect())
+    assert [a.split('"id":')[1] for a in got] == ["25}", "27}", "29}"]
